@@ -16,12 +16,12 @@ from .common import checkpointed, running_offsets
 
 _GOLDEN = 0.6180339887498949
 _CELLS = 4096
+ADDED = ("size", "source_size", "target", "source_no", "span_from")
 
 
 def word_count(text: Column) -> Column:
     """Runs of bytes other than space and 0x09-0x0D; null: 0."""
-    squeezed = F.btrim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "), F.lit(" "))
-    return F.when(squeezed == "", 0).otherwise(F.size(F.split(squeezed, " +"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3) -> DataFrame:
@@ -71,27 +71,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     documents: docs with size, source_size, target, source_no, span_from added, the place of each in its source's
     stream. takes: (slot, source_no, span_from, pass_no, words_from, words_to), the words of a document that a
     slot of the mix takes. A null text has no words and is never taken; a null source is a source; repeated
-    rows stand one after another in their stream; an empty table gives an empty mix. Other columns stay.
+    rows stand one after another in their stream; an empty table gives an empty mix. Other columns stay, but those
+    named like an added one are replaced.
     """
+    sized = docs.drop(*ADDED).withColumn("size", word_count(F.col("text"))).withColumn("_tie", F.xxhash64("text"))
+    return _mix(sized, weights, most, block, seed)
+
+
+def _mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 1024, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """mix() of rows whose size and _tie, a hash of the text, are known."""
     name = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_order", name)
+    sized = sized.withColumn("_order", name)
     sizes = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     shares = checkpointed(targets(sizes, weights, most))
     named = shares.select(F.col("source").alias("_source"), "source_size", "target", "quota", "source_no")
     placed = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    order = [F.col("_order"), F.col("size"), F.xxhash64("text")]
+    order = [F.col("_order"), F.col("size"), F.col("_tie")]
     placed = running_offsets(placed, ["source_no"], order, F.substring("_order", 1, 3), F.col("size"), "span_from")
     spans = placed.where("size > 0").select("source_no", "span_from", "size", "source_size", "quota").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
     spans = spans.withColumn("a", F.col("pass_no") * F.col("source_size") + F.col("span_from")).where("a < quota").withColumn("b", F.col("a") + F.col("size"))
     spans = spans.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     takes = spans.join(schedule(shares, block), ["source_no", "block_no"]).withColumn("f", F.greatest("a", "word_from")).withColumn("t", F.least("b", "word_to")).where("f < t")
     takes = takes.select("slot", "source_no", "span_from", "pass_no", (F.col("f") - F.col("a")).alias("words_from"), (F.col("t") - F.col("a")).alias("words_to"))
-    return placed.drop("_order", "quota"), takes
+    return placed.drop("_order", "_tie", "quota"), takes
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """documents of mix() with `taken`: the words that the mix takes of each, repeats counted."""
-    placed, takes = mix(docs, **options)
+    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document, repeats counted.
+
+    Texts are read once, for their sizes, and never shuffled.
+    """
+    lean = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie")))
+    placed, takes = _mix(lean, **options)
     sums = takes.groupBy("source_no", "span_from").agg(F.sum(F.col("words_to") - F.col("words_from")).alias("_taken"))
     sums = sums.withColumnRenamed("source_no", "_no").withColumnRenamed("span_from", "_from")
     # A document without words shares its place with the next one, which takes the words.
