@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, lines, mixing, packing
+from . import chat, jaccard, langid, lines, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return chat.read_conversations(chat.format_conversations(turns, vocabulary), vocabulary)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
@@ -39,7 +47,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_line_dedup, op6_source_mixing, op8_language_id, op9_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_best_fit_packing, op5_line_dedup, op6_source_mixing, op8_language_id, op9_ngram_jaccard)}
 
 ORACLES = {
     "op5_line_dedup": r"""
