@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, lines, mixing, packing
+from . import chat, epsilon, jaccard, langid, lines, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_conversations(chat.format_conversations(turns, vocabulary), vocabulary)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon.epsilon_join(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
@@ -47,7 +51,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_best_fit_packing, op5_line_dedup, op6_source_mixing, op8_language_id, op9_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op5_line_dedup, op6_source_mixing, op8_language_id, op9_ngram_jaccard)}
 
 ORACLES = {
     "op5_line_dedup": r"""
