@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,8 +73,13 @@ def running_offsets(df: DataFrame, keys: list[str], order: list[Column], chunk:
     return df.join(totals, same).withColumn(out, F.col("_base") + F.col("_in")).drop("_chunk", "_size", "_c", "_base", "_in", *[f"_k{i}" for i in range(len(keys))])
 
 
+def zipped(x: np.ndarray) -> bytes:
+    """Partial arrays are sparse when there are many of them."""
+    return zlib.compress(x.tobytes(), 1)
+
+
 def merged_slices(parts: DataFrame, how: str, dtype: str) -> np.ndarray:
-    """Rows (part long, slice int, data binary) added or or-ed by slice into one array of fixed length.
+    """Rows (part long, slice int, data binary: zipped) added or or-ed by slice into one array of fixed length.
 
     Partial arrays meet in groups of at most 32, level by level; the driver gets the final slices alone,
     whose total length the caller fixes.
@@ -84,15 +90,15 @@ def merged_slices(parts: DataFrame, how: str, dtype: str) -> np.ndarray:
 
         total = None
         for x in pdf["data"]:
-            v = np.frombuffer(x, dtype)
+            v = np.frombuffer(zlib.decompress(x), dtype)
             total = v.copy() if total is None else (total + v if how == "add" else total | v)
-        return pd.DataFrame({"part": [int(key[1])], "slice": [int(key[0])], "data": [total.tobytes()]})
+        return pd.DataFrame({"part": [int(key[1])], "slice": [int(key[0])], "data": [zipped(total)]})
 
     most = parts.agg(F.max("part")).first()[0]
     for _ in range(math.ceil(math.log(max(2, (most or 0) + 1), 32))):
         parts = parts.groupBy("slice", F.floor(F.col("part") / 32).alias("p")).applyInPandas(merge, "part long, slice int, data binary")
     got = sorted((r["slice"], bytes(r["data"])) for r in parts.select("slice", "data").collect())
-    return np.concatenate([np.frombuffer(d, dtype) for _, d in got]) if got else np.zeros(0, dtype)
+    return np.concatenate([np.frombuffer(zlib.decompress(d), dtype) for _, d in got]) if got else np.zeros(0, dtype)
 
 
 BITMAP_BITS = 1 << 26
@@ -113,7 +119,7 @@ def bitmap_of(keys: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
         part = TaskContext.get().partitionId()
         for i in range(0, len(seen), _SLICE):
             if (s := seen[i : i + _SLICE]).any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "slice": pa.array([i // _SLICE], pa.int32()), "data": pa.array([s.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "slice": pa.array([i // _SLICE], pa.int32()), "data": pa.array([zipped(s)], pa.binary())})
 
     parts = checkpointed(keys.mapInArrow(fill, "part long, slice int, data binary"))
     out = np.zeros(bits // 8, np.uint8)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed, connected_components, merged_slices
+from .common import checkpointed, connected_components, merged_slices, zipped
 from .vectors import matrix, unit, usable
 
 _BOX = 12  # principal dimensions that boxes have
@@ -45,7 +45,7 @@ def principal_dimensions(vectors: DataFrame, width: int) -> np.ndarray:
                 x = np.hstack([np.ones((len(x), 1)), unit(x)[:, :d]])
                 total += x.T @ x
         if total[0, 0]:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "slice": pa.array([0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "slice": pa.array([0], pa.int32()), "data": pa.array([zipped(total)], pa.binary())})
 
     got = merged_slices(checkpointed(vectors.select("v").mapInArrow(moments, "part long, slice int, data binary")), "add", "<f8").reshape(d + 1, d + 1)
     mean = got[0, 1:] / got[0, 0]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, checkpointed, connected_components, in_bitmap, merged_slices
+from .common import bitmap_of, checkpointed, connected_components, in_bitmap, merged_slices, zipped
 from .words import mix, shingle_sets
 
 _SLOTS = 1 << 21  # counters of the sketch that orders columns; it changes speed, never results
@@ -67,7 +67,7 @@ def _signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         part, small = TaskContext.get().partitionId(), np.minimum(counts, 65535).astype("<u2")
         for i in range(0, _SLOTS, _SLICE):
             if small[i : i + _SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, None, part, i // _SLICE, small[i : i + _SLICE].astype("<i8").tobytes()), types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, None, part, i // _SLICE, zipped(small[i : i + _SLICE].astype("<i8"))), types, strict=True)], names=names)
 
     schema = "key long, doc_id long, n long, sig long, parity binary, part long, slice int, data binary"
     got = checkpointed(docs.mapInArrow(run, schema))
