@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, epsilon, jaccard, langid, lines, mixing, packing
+from . import ann, chat, epsilon, flatfiles, jaccard, langid, lines, mixing, packing
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +58,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op8_language_id, op9_ngram_jaccard)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return flatfiles.token_counts(docs, f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}", public_tokenizers.path("word_bpe_49k.json"), end_id=49407)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op8_language_id, op9_ngram_jaccard, op10_token_counts)}
 
 ORACLES = {
     "op5_line_dedup": r"""
