@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, epsilon, flatfiles, jaccard, langid, lines, mixing, packing
+from . import ann, chat, epsilon, flatfiles, jaccard, langid, lines, lm, mixing, packing
 from .common import shared_dir
 
 
@@ -46,6 +46,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.stupid_backoff(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(langid.training_rows(docs))
@@ -63,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatfiles.token_counts(docs, f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}", public_tokenizers.path("word_bpe_49k.json"), end_id=49407)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op8_language_id, op9_ngram_jaccard, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_language_id, op9_ngram_jaccard, op10_token_counts)}
 
 ORACLES = {
     "op5_line_dedup": r"""
