@@ -56,10 +56,17 @@ class LineRuns:
         runs = self.spark.read.schema("h1 long, h2 long, docs long, first_doc long").parquet(*paths)
         return runs.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc"))
 
-    def add(self, docs: DataFrame) -> None:
-        """Adds the lines of a batch (doc_id, text) as a run. Every row counts as a document."""
+    def add(self, docs: DataFrame, min_docs: int | None = None) -> None:
+        """Adds the lines of a batch (doc_id, text) as a run. Every row counts as a document.
+
+        With min_docs, keys that the runs before hold in so many documents are settled: the batch is merge-anti-joined
+        with them, and only what they leave becomes a run.
+        """
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(key_hashes(F.col("text"))).alias("h"))
-        self._write(rows.groupBy("h.h1", "h.h2").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")), 0)
+        run = rows.groupBy("h.h1", "h.h2").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+        if min_docs and self.levels:
+            run = run.hint("merge").join(self.heavy(min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self._write(run, 0)
 
     def keys(self) -> DataFrame:
         """All runs together, one row per key."""
@@ -81,13 +88,13 @@ class LineRuns:
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, batches: int = 2, fanout: int = 2) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped added: lines whose key is in at least min_docs rows of docs are dropped.
 
-    keep_first: the row with the least doc_id that holds the key keeps it. A null or empty text is one empty
+    keep_first: one row that holds the key keeps it, the one with the least doc_id in the first batches that settled it. A null or empty text is one empty
     line, which stays. Every row counts as a document, also if doc_ids repeat or are null. Other columns stay.
     The table is added to the runs in `batches` parts; then each document's keys are joined with the heavy ones.
     """
     runs = LineRuns(docs.sparkSession, fanout=fanout)
     for i in range(batches):
-        runs.add(docs.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(batches)) == i) if batches > 1 else docs)
+        runs.add(docs.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(batches)) == i) if batches > 1 else docs, min_docs)
     heavy = runs.heavy(min_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.explode(key_hashes(F.col("text"))).alias("h")).select("_doc", "h.h1", "h.h2")
     hit = rows.join(heavy, ["h1", "h2"])
