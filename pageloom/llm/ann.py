@@ -155,7 +155,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
         """Rows of a bucket in blocks of about `block` rows, by hash."""
         counts = df.groupBy("t", "bucket").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
         dealt = df.join(counts, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
-        return dealt.groupBy("t", "bucket", "block").applyInArrow(pack, packed)
+        # Dealt anew: the join may have left all blocks of a bucket in one partition.
+        return dealt.repartition("t", "bucket", "block").groupBy("t", "bucket", "block").applyInArrow(pack, packed)
 
     asked = rows.where(is_query)
     there = checkpointed(blocks(rows.mapInArrow(hashed, schema)))
