@@ -1,0 +1 @@
+"""Paginated documents as Spark tables: page algebra, insertion planning, media accounting, annotation edits."""

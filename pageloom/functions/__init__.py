@@ -1,0 +1 @@
+"""Columns built from columns."""

@@ -1,0 +1 @@
+"""Operators that plan before they act."""

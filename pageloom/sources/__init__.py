@@ -1,0 +1 @@
+"""Where documents, rules and logs come from, and where results go."""

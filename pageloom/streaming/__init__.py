@@ -1,0 +1 @@
+"""The stateful operators over streams."""
