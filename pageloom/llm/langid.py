@@ -18,12 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .words import text_buffer
+from .words import batches_by_bytes, text_buffer
 
 ORDER = 3
+WINDOW = 128  # bytes
 _PIECE = 1 << 19
 
 
+def windows(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, owner): where the stretches of `width` bytes of all texts begin, with the end of the last, and the text of each stretch."""
+    size = np.diff(offsets)
+    n = -(-size // width)
+    owner = np.repeat(np.arange(len(size)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return np.append(offsets[:-1][owner] + place * width, offsets[-1]), owner
+
+
 class Contexts:
     """The frozen trees of all languages.
 
@@ -90,9 +100,12 @@ class Contexts:
             out[todo] = number[j](code[todo] % n**j)
         return out
 
-    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits that each text takes in each language, (text, language)."""
-        out = np.zeros((len(offsets) - 1, len(self.languages)))
+    def lengths(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Bits that each stretch of the texts takes in each language, (stretch, language). offsets: of texts; cuts: of stretches, each within a text.
+
+        A stretch's contexts go back into the one before it, but not into another text.
+        """
+        out = np.zeros((len(cuts) - 1, len(self.languages)))
         n, blank, at, stop = self.n, int(self.symbol[0x20]), int(offsets[0]), int(offsets[-1])
         edges = offsets[:-1]
         while at < stop:
@@ -109,9 +122,9 @@ class Contexts:
                     before[j - 1][x] = blank
             code = before[2] * (n * n) + before[1] * n + before[0]
             cost = self.bits[self.state[code].astype(np.int64) * n + s[ORDER:]]
-            inner = offsets[(offsets > at) & (offsets < to)] - at
-            starts = np.concatenate([[0], inner])
-            owner = np.searchsorted(offsets, starts + at, "right") - 1
+            first, last = np.searchsorted(cuts, [at + 1, to])
+            starts = np.concatenate([[0], cuts[first:last] - at])
+            owner = np.searchsorted(cuts, starts + at, "right") - 1
             keep = np.diff(np.append(starts, size)) > 0
             out_rows = np.add.reduceat(cost, starts[keep], axis=0, dtype=np.float64)
             np.add.at(out, owner[keep], out_rows)
@@ -119,7 +132,7 @@ class Contexts:
         return out
 
 
-def train(docs: DataFrame, docs_per_language: int = 300) -> Contexts:
+def train(docs: DataFrame, docs_per_language: int = 600) -> Contexts:
     """Trees of every non-null lang of docs (doc_id, text, lang): from the docs_per_language documents with the least hash of doc_id each, whole.
 
     That number bounds what reaches the driver; all of the table's labelled rows are candidates.
@@ -136,8 +149,9 @@ def train(docs: DataFrame, docs_per_language: int = 300) -> Contexts:
 def predict(docs: DataFrame, model: Contexts) -> DataFrame:
     """docs with lang_pred and score added, from the whole text.
 
-    score is the probability of lang_pred if all languages are equally likely beforehand and the text is one
-    message. A null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned.
+    Each stretch of WINDOW bytes gives every language its probability, all being equally likely beforehand, and lang_pred
+    is the language with the largest part of the text; score is that part. So a passage in another language counts by its
+    length, not by the bits that it costs. A null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned.
     """
     if not model.languages:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
@@ -150,12 +164,20 @@ def predict(docs: DataFrame, model: Contexts) -> DataFrame:
         m = shared.value
         known = np.array(m.languages, object)
         for b in it:
-            bits = m.lengths(*text_buffer(b.column("text")))
-            best = bits.argmin(1)
-            odds = np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
+            data, offsets = text_buffer(b.column("text"))
+            share = np.zeros((b.num_rows, len(known)))
+            for lo, hi in batches_by_bytes(offsets):
+                some = offsets[lo : hi + 1]
+                cuts, owner = windows(some, WINDOW)
+                bits = m.lengths(data, some, cuts)
+                chance = np.exp2(bits.min(1, keepdims=True) - bits)
+                chance *= (np.diff(cuts) / chance.sum(1))[:, None]
+                np.add.at(share, owner + lo, chance)
+            share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
+            best = share.argmax(1)
             letter = b.column("_letter").to_numpy(zero_copy_only=False)
             lang = np.where(letter, known[best], "und")
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(np.where(letter, 1 / odds, 0.0))], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(np.where(letter, share.max(1), 0.0))], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 
