@@ -25,8 +25,9 @@ from .common import checkpointed, merged_slices, zipped
 from .tokens import encoder
 
 ALPHA = 0.4
-_FLUSH = 4 << 20  # tokens that a task gathers
-_PART = 12 << 20  # bigrams of documents in a partition, about
+_FLUSH = 1 << 20  # tokens that a task gathers
+_KNOWN = 2 << 20  # bigrams that a task counts before it hands them over
+_PART = 6 << 20  # bigrams of documents in a partition, about
 _ONE = 1 << 20  # scores are summed as whole multiples of 1 / _ONE, so the order of the sum doesn't matter
 
 
@@ -85,7 +86,7 @@ def count_table(texts: DataFrame, tokenizer_path: str, bits: int) -> DataFrame:
         for _, _, new, _ in _flushes(it, tokenizer_path):
             u, n = np.unique(new, return_counts=True)
             codes, counts = _summed(np.concatenate([codes, u]), np.concatenate([counts, n]))
-            if len(codes) > _FLUSH:
+            if len(codes) > _KNOWN:
                 yield out()
                 codes, counts = codes[:0], counts[:0]
         if len(codes):
@@ -115,13 +116,13 @@ def unigrams(table: DataFrame, base: int) -> np.ndarray:
     return merged_slices(checkpointed(table.mapInArrow(run, "part long, slice int, data binary")), "add", "<i8")
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The numbers' first bytes, then their second ones and so on: long runs of zeros, which shuffles compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _narrow(x: np.ndarray) -> bytes:
+    """The numbers, all in as few bytes each as the largest needs."""
+    return x.astype("<u1" if x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4").tobytes()
 
 
-def _unplaned(data) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _widened(data: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data.size // n}").astype(np.int64)
 
 
 def exploded(texts: DataFrame, tokenizer_path: str, bits: int, salts: int) -> DataFrame:
@@ -143,7 +144,7 @@ def exploded(texts: DataFrame, tokenizer_path: str, bits: int, salts: int) -> Da
             for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 at = order[a:z]
                 begin = np.flatnonzero(np.diff(doc[at], prepend=-1))
-                row = (int(part[at[0]]), salt, keys[doc[at][begin]].tobytes(), _planes(np.diff(np.append(begin, len(at)))), code[at].tobytes(), _planes(m[at]))
+                row = (int(part[at[0]]), salt, keys[doc[at][begin]].tobytes(), _narrow(np.diff(np.append(begin, len(at)))), code[at].tobytes(), _narrow(m[at]))
                 types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "salt", "keys", "runs", "codes", "m"])
 
@@ -183,7 +184,7 @@ def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -
         out = []
         for i in range(left.num_rows):
             keys, codes = (np.frombuffer(left.column(c)[i].as_buffer(), k) for c, k in (("keys", "<i8"), ("codes", "<u4")))
-            runs, m = (_unplaned(left.column(c)[i].as_buffer()).astype(np.int64) for c in ("runs", "m"))
+            runs, m = (_widened(left.column(c)[i].as_buffer(), len(x)) for c, x in (("runs", keys), ("m", codes)))
             a, b = np.divmod(codes, np.uint32(base))
             rest = counts[np.searchsorted(known, codes)] - m
             seen = rest > 0
