@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences: language ID, line dedup, near dedup, mixing, packing.
 
 Each stage reads what its predecessor kept, as Parquet. Choices that the operators leave open: language ID rejects
-texts that no language explains better than all others together; a line found in ten or more documents stays in the one
-with the least doc_id; near copies share 80 % of their five-word shingles and the least doc_id stays; the mix repeats no
+texts without a letter and those of which no language makes up two fifths; a line found in ten or more documents stays in
+one of them; near copies share 80 % of their five-word shingles and the least doc_id stays; the mix repeats no
 document more than three times, and a document that a source's target cuts keeps its first words.
 """
 
@@ -21,7 +21,7 @@ from pageloom.llm.common import shared_dir
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is found."""
     model = langid.train(langid.training_rows(docs))
-    return langid.predict(docs, model).where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    return langid.predict(docs, model).where("lang_pred <> 'und' and score >= 0.4").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,8 @@ class Contexts:
 
     def __init__(self, languages: list[str], texts: list[list[bytes]]):
         self.languages = languages
+        if not languages:
+            return
         seen = np.zeros(256, bool)
         for some in texts:
             for t in some:
