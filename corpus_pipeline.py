@@ -38,12 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass over a document that the mix takes words of."""
-    placed, takes = mixing.mix(docs, weights=(1, 2, 3), most=3)
-    passes = takes.groupBy(F.col("source_no").alias("_no"), F.col("span_from").alias("_from"), "pass_no").agg(F.sum(F.col("words_to") - F.col("words_from")).alias("_words"))
-    out = placed.join(passes, (F.col("source_no") == F.col("_no")) & (F.col("span_from") == F.col("_from")) & (F.col("size") > 0))
-    first_words = F.array_join(F.slice(F.filter(F.split("text", "[ \\t\\n\\x0b\\f\\r]+"), lambda x: x != ""), F.lit(1), F.col("_words").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("_words") < F.col("size"), first_words).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return mixing.mixed(docs, weights=(1, 2, 3), most=3).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

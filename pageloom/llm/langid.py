@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from .words import batches_by_bytes, text_buffer
 
@@ -149,7 +150,7 @@ def train(docs: DataFrame, docs_per_language: int = 600) -> Contexts:
 
 
 def predict(docs: DataFrame, model: Contexts) -> DataFrame:
-    """docs with lang_pred and score added, from the whole text.
+    """docs with lang_pred and score added, from the whole text; columns of these names are replaced, others stay.
 
     Each stretch of WINDOW bytes gives every language its probability, all being equally likely beforehand, and lang_pred
     is the language with the largest part of the text; score is that part. So a passage in another language counts by its
@@ -158,8 +159,9 @@ def predict(docs: DataFrame, model: Contexts) -> DataFrame:
     if not model.languages:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     docs = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,6 @@ from .common import checkpointed, running_offsets
 
 _GOLDEN = 0.6180339887498949
 _CELLS = 4096
-ADDED = ("size", "source_size", "target", "source_no", "span_from")
 
 
 def word_count(text: Column) -> Column:
@@ -68,43 +67,61 @@ def schedule(shares: DataFrame, block: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 1024, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(documents, takes).
 
-    documents: docs with size, source_size, target, source_no, span_from added, the place of each in its source's
-    stream. takes: (slot, source_no, span_from, pass_no, words_from, words_to), the words of a document that a
-    slot of the mix takes. A null text has no words and is never taken; a null source is a source; repeated
-    rows stand one after another in their stream; an empty table gives an empty mix. Other columns stay, but those
-    named like an added one are replaced.
+    documents: doc_id, source, size, source_size, target, source_no, span_from of every row, its place in its source's stream.
+    takes: (slot, source_no, span_from, pass_no, words_from, words_to), the words of a document that a slot of the
+    mix takes. A null text has no words and is never taken; a null source is a source; repeated rows stand one after
+    another in their stream; an empty table gives an empty mix. Texts are read once, for their sizes, and never shuffled.
     """
-    sized = docs.drop(*ADDED).withColumn("size", word_count(F.col("text"))).withColumn("_tie", F.xxhash64("text"))
-    return _mix(sized, weights, most, block, seed)
+    return _mix(_lean(docs, F.xxhash64("text"), F.lit(0)), weights, most, block, seed)
+
+
+def _lean(docs: DataFrame, k1: Column, k2: Column) -> DataFrame:
+    return checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), k1.alias("_k1"), k2.alias("_k2")))
 
 
 def _mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 1024, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """mix() of rows whose size and _tie, a hash of the text, are known."""
+    """mix() of rows whose size and hashes, _k1 and _k2, are known."""
     name = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = sized.withColumn("_order", name)
     sizes = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     shares = checkpointed(targets(sizes, weights, most))
     named = shares.select(F.col("source").alias("_source"), "source_size", "target", "quota", "source_no")
     placed = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    order = [F.col("_order"), F.col("size"), F.col("_tie")]
+    order = [F.col("_order"), F.col("size"), F.col("_k1"), F.col("_k2")]
     placed = running_offsets(placed, ["source_no"], order, F.substring("_order", 1, 3), F.col("size"), "span_from")
     spans = placed.where("size > 0").select("source_no", "span_from", "size", "source_size", "quota").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
     spans = spans.withColumn("a", F.col("pass_no") * F.col("source_size") + F.col("span_from")).where("a < quota").withColumn("b", F.col("a") + F.col("size"))
     spans = spans.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     takes = spans.join(schedule(shares, block), ["source_no", "block_no"]).withColumn("f", F.greatest("a", "word_from")).withColumn("t", F.least("b", "word_to")).where("f < t")
     takes = takes.select("slot", "source_no", "span_from", "pass_no", (F.col("f") - F.col("a")).alias("words_from"), (F.col("t") - F.col("a")).alias("words_to"))
-    return placed.drop("_order", "_tie", "quota"), takes
+    return placed.drop("_order", "quota"), takes
+
+
+def _with_passes(placed: DataFrame, takes: DataFrame, by: list[str]) -> DataFrame:
+    """placed with _words, the words taken of each document, by document or by pass. One without words shares its place with the next, which takes the words."""
+    sums = takes.groupBy(F.col("source_no").alias("_no"), F.col("span_from").alias("_from"), *by).agg(F.sum(F.col("words_to") - F.col("words_from")).alias("_words"))
+    same = (F.col("source_no") == F.col("_no")) & (F.col("span_from") == F.col("_from")) & (F.col("size") > 0)
+    return placed.join(sums, same, "left").drop("_no", "_from", *by)
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document, repeats counted.
+    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document, repeats counted."""
+    found = _with_passes(*mix(docs, **options), [])
+    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_words", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row of docs, with all its columns, for each pass over a document; one that its source's target cuts keeps its first words, with a blank between.
 
-    Texts are read once, for their sizes, and never shuffled.
+    Rows are told apart by two hashes of all columns, so texts are shuffled once, to meet what is taken of them, and
+    rows that are equal meet it together.
     """
-    lean = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie")))
-    placed, takes = _mix(lean, **options)
-    sums = takes.groupBy("source_no", "span_from").agg(F.sum(F.col("words_to") - F.col("words_from")).alias("_taken"))
-    sums = sums.withColumnRenamed("source_no", "_no").withColumnRenamed("span_from", "_from")
-    # A document without words shares its place with the next one, which takes the words.
-    found = placed.join(sums, (F.col("source_no") == F.col("_no")) & (F.col("span_from") == F.col("_from")) & (F.col("size") > 0), "left")
-    return found.withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_no", "_from", "_taken")
+    names = docs.columns
+    k1, k2 = F.xxhash64(*names), F.xxhash64(F.lit(13), *names)
+    placed, takes = _mix(_lean(docs, k1, k2), **options)
+    passes = _with_passes(placed, takes, ["pass_no"]).where("_words is not null").groupBy("_k1", "_k2", "size", "_words").agg(F.count("*").alias("_n"))
+    whole = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.struct(*names).alias("_row")).groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
+    out = whole.join(passes, ["_k1", "_k2"]).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    words = F.filter(F.split("_row.text", "[ \\t\\n\\x0b\\f\\r]+"), lambda x: x != "")
+    text = F.when(F.col("_words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("_row.text"))
+    return out.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])

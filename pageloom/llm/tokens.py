@@ -27,7 +27,7 @@ _SHOWN = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + i) for i, b in enumerat
 class WordEncoder:
     """Ids of texts, through an open-addressing table from word hashes to ranges of a pool of ids."""
 
-    def __init__(self, path: str, special_as_text: bool = False, slots: int = 1 << 22):
+    def __init__(self, path: str, special_as_text: bool = False, slots: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

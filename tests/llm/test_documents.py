@@ -157,8 +157,9 @@ def test_mix_reaches_targets_and_bounds(spark):
 
 def test_mix_of_nothing_and_clashing_columns(spark):
     assert mixing.taken(spark.createDataFrame([], DOCS)).count() == 0
-    placed, _ = mixing.mix(spark.createDataFrame([(1, "a b", "s", 99, "t")], "doc_id long, text string, source string, size int, target string"))
-    assert placed.first()["size"] == 2
+    df = spark.createDataFrame([(1, "a b", "s", 99, "t"), (1, "a b", "s", 99, "t"), (2, "c", "s", 7, "u"), (3, None, None, 0, None)], "doc_id long, text string, source string, size int, target string")
+    assert sorted((r["doc_id"], r["taken"]) for r in mixing.taken(df).collect()) == [(1, 2), (1, 2), (2, 1), (3, 0)]
+    assert sorted(map(tuple, mixing.mixed(df).collect())) == [(1, "a b", "s", 99, "t"), (1, "a b", "s", 99, "t"), (2, "c", "s", 7, "u")]
 
 
 def test_schedule_is_even(spark):
