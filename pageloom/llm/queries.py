@@ -70,6 +70,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_language_id, op9_ngram_jaccard, op10_token_counts)}
 
 ORACLES = {
+    "op1_chat_formatting": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|/?ROLE\])')) AS n,
+    length(role) + len(regexp_extract_all(role, '[<\[]\\*(/?s>|/?INST\]|/?ROLE\])')) AS m FROM c),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS said,
+    3 + sum(CASE role WHEN 'user' THEN n + 13 WHEN 'assistant' THEN n + 4 ELSE m + n + 17 END) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, turns_sha256, CAST(length(said) AS BIGINT) AS loss_chars, sha256(said) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""",
+    "op2_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm, coalesce(len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0, false) AS ok FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.ok AND b.ok AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM u UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+k AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT k.vec_id, coalesce(n.n, 0) AS n_links, component_id, k.vec_id = component_id AS kept FROM k LEFT JOIN n ON k.vec_id = n.a""",
     "op5_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, i AS line_no, x[i] AS line, lower_az AS k FROM (
