@@ -28,6 +28,23 @@ def _axis(points: Column, k: int) -> Column:
     return F.filter(points, lambda v, i: i % 2 == k)
 
 
+def created(presses: DataFrame) -> DataFrame:
+    """presses (page_id, object_id, type, px, py, stroke_width) with the x, y, width, height, points and opacity that a new object starts with."""
+    kind, box = F.col("type"), F.col("type").isin("rect", "circle")
+    points = F.when(kind.isin("pen", "highlighter"), F.array("px", "py")).when(kind == "line", F.array("px", "py", "px", "py"))
+    return presses.withColumns(
+        {
+            "x": F.when(box, F.col("px")).otherwise(0.0),
+            "y": F.when(box, F.col("py")).otherwise(0.0),
+            "width": F.when(box, 0.0),
+            "height": F.when(box, 0.0),
+            "points": points,
+            "stroke_width": F.when(kind == "highlighter", HIGHLIGHTER_WIDTH).otherwise(F.col("stroke_width")).cast("int"),
+            "opacity": F.when(kind == "highlighter", HIGHLIGHTER_OPACITY).when(kind == "pen", 1.0),
+        }
+    )
+
+
 def bounding_box(objects: DataFrame) -> DataFrame:
     """objects with x1, y1, x2, y2; null for a stroke without points. A text without width is taken as 0.6 of its font size a letter."""
     xs, ys = _axis(F.col("points"), 0), _axis(F.col("points"), 1)

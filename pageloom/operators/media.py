@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.geometry import letterbox, page_size, turned
 from ..functions.text import concat
 
+# How rendered pages are encoded.
+ENCODING = {"jpeg": {"quality": 90, "optimize": True}, "png": {"optimize": True}, "webp": {"quality": 90}}
+
 
 def percent(part: Column, whole: Column) -> Column:
     """part / whole in per cent with one decimal, halves to even."""
@@ -84,6 +88,20 @@ def rendering_plan(pages: DataFrame, image_format: str) -> DataFrame:
     return pages.withColumn("entry_name", name).withColumn("archive", archive)
 
 
+def image_document(images: DataFrame, size: Column) -> DataFrame:
+    """(doc_id, ordinal, page_no, page_w, page_h, x0, y0, x1, y1, error): images (doc_id, ordinal, width, height, rotation, error) as pages of a document.
+
+    size: a page size by name, of images. Images that failed are left out and the rest close up; a document without any
+    good one is an error row.
+    """
+    good = images.where("error is null").withColumn("_i", turned(F.col("width"), F.col("height"), F.coalesce("rotation", F.lit(0))))
+    good = good.withColumn("page_no", F.row_number().over(W.partitionBy("doc_id").orderBy("ordinal"))).withColumn("_p", page_size(size, F.col("_i.w"), F.col("_i.h")))
+    good = good.withColumn("_b", letterbox(F.col("_i.w"), F.col("_i.h"), F.col("_p.w"), F.col("_p.h")))
+    good = good.select("doc_id", "ordinal", "page_no", F.col("_p.w").alias("page_w"), F.col("_p.h").alias("page_h"), *[F.col(f"_b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    bad = best_effort(images).where("error is not null").select("doc_id", "error")
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
 def best_effort(items: DataFrame, least: int = 1) -> DataFrame:
     """(doc_id, good, failed, error) of items (doc_id, error): failures are left out, unless fewer than `least` remain."""
     x = items.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("failed"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.geometry import PAGE_SIZES, letterbox, turned
 from ..functions.ranges import rule_pages
 from ..functions.text import concat
 from ..operators.pages import page_counts
@@ -83,6 +84,20 @@ def inserted(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return own.unionByName(blocks).withColumn("out_page", n).select("doc_id", "out_page", "page_no", "rule_id", "source_file_id", "source_page")
 
 
+def image_boxes(rules: DataFrame, pages: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, page_w, page_h, scale, x0, y0, x1, y1): the page that each image rule brings, and where the image is on it.
+
+    The page is as large as the one that the rule names, or A4 if that has no size. pages: (doc_id, page_no, width, height);
+    images: (source_file_id, width, height, rotation), turned before it is placed.
+    """
+    like = pages.select("doc_id", F.col("page_no").alias("target_page"), F.col("width").cast("double").alias("_w"), F.col("height").cast("double").alias("_h"))
+    size = images.select("source_file_id", turned(F.col("width"), F.col("height"), F.coalesce("rotation", F.lit(0))).alias("_i"))
+    x = rules.where("source_type = 'image'").join(like, ["doc_id", "target_page"], "left").join(size, "source_file_id")
+    w, h = PAGE_SIZES["a4"]
+    x = x.withColumn("page_w", F.coalesce("_w", F.lit(float(w)))).withColumn("page_h", F.coalesce("_h", F.lit(float(h))))
+    return x.select("doc_id", "rule_id", "page_w", "page_h", letterbox(F.col("_i.w"), F.col("_i.h"), F.col("page_w"), F.col("page_h")).alias("b")).select("doc_id", "rule_id", "page_w", "page_h", "b.*")
+
+
 def insertion_counts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, rules_applied, final_pages)."""
     delta = rules.groupBy("doc_id").agg(F.count("*").cast("int").alias("rules_applied"), F.sum(F.when(F.col("insert_mode") == "replace", F.col("n") - 1).otherwise(F.col("n"))).alias("_d"))

@@ -104,3 +104,16 @@ def rules_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr("CASE event_id % 4 WHEN 2 THEN '{}' WHEN 3 THEN '[{' ELSE concat('[{\"rule_id\": \"e', event_id, '\", \"target_page\": ', event_id % 6, '}]') END")
     x = table(spark, sf_dir, "events").select("event_id", body.alias("rules"))
     return rules_from_json(x).select("event_id", "input_no", "rule_id", "target_page", "error")
+
+
+@query(f"""
+WITH {_SQL}, z AS (SELECT doc_id, page_no, CASE WHEN page_no % 2 = 0 THEN 612.0 ELSE 842.0 END::DOUBLE AS w, CAST(500 + page_no AS DOUBLE) AS h FROM p),
+m AS (SELECT CAST(p_partkey AS VARCHAR) AS source_file_id, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_partkey % 40 END AS DOUBLE) AS w, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 40 ELSE p_size END AS DOUBLE) AS h FROM part),
+k AS (SELECT c.doc_id, rule_id, z.w AS pw, z.h AS ph, m.w, m.h, CASE WHEN m.w > 0 AND m.h > 0 THEN least(z.w / m.w, z.h / m.h) ELSE 1.0::DOUBLE END AS scale
+  FROM c JOIN z ON c.doc_id = z.doc_id AND c.target_page = z.page_no JOIN m ON c.source_file_id = m.source_file_id WHERE c.error IS NULL AND c.source_type = 'image')
+SELECT doc_id, rule_id, pw AS page_w, ph AS page_h, scale, (pw - w * scale) / 2 AS x0, (ph - h * scale) / 2 AS y0, (pw - w * scale) / 2 + w * scale AS x1, (ph - h * scale) / 2 + h * scale AS y1 FROM k""")
+def insertion_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = conversation_pages(spark, sf_dir).select("doc_id", "page_no", F.when(F.col("page_no") % 2 == 0, 612.0).otherwise(842.0).alias("width"), (F.col("page_no") + 500).alias("height"))
+    k = F.col("p_partkey")
+    images = table(spark, sf_dir, "part").select(k.cast("string").alias("source_file_id"), F.col("p_size").cast("long").alias("width"), (k % 40).alias("height"), F.when(k % 2 == 0, 180).otherwise(270).alias("rotation"))
+    return I.image_boxes(_checked(spark, sf_dir).where("error is null"), pages, images)
