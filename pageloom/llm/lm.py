@@ -151,7 +151,36 @@ def exploded(texts: DataFrame, tokenizer_path: str, bits: int, salts: int) -> Da
     return texts.mapInArrow(run, "part int, salt int, keys binary, runs binary, codes binary, m binary")
 
 
-SUMS = "key long, tokens long, score long, backoffs long, copies long"
+SUMS = ("tokens", "score", "backoffs", "copies")
+PACKED = "bucket int, keys binary, " + ", ".join(f"{c} binary" for c in SUMS)
+
+
+def _packed(keys: np.ndarray, sums: list[np.ndarray], bits: int) -> pa.Table:
+    """The documents' sums, in blocks by hash of the document; no more blocks than there are partitions."""
+    bucket = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    rows: list[tuple] = []
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        at = order[a:z]
+        tokens, score, backoffs, copies = (x[at] for x in sums)
+        rows.append((int(bucket[at[0]]), keys[at].tobytes(), _narrow(tokens), score.tobytes(), _narrow(backoffs), _narrow(copies)))
+    return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in zip(("bucket", "keys", *SUMS), zip(*rows, strict=True), strict=True)})
+
+
+def _totals(key: tuple, t: pa.Table) -> pa.Table:
+    """The sums of each document in a bucket, from all partitions."""
+    keys, sums = [], []
+    for i in range(t.num_rows):
+        k = np.frombuffer(t.column("keys")[i].as_buffer(), "<i8")
+        keys.append(k)
+        sums.append([np.frombuffer(t.column(c)[i].as_buffer(), "<i8") if c == "score" else _widened(t.column(c)[i].as_buffer(), len(k)) for c in SUMS])
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    out = {"key": own}
+    for c, x in zip(SUMS, zip(*sums, strict=True), strict=True):
+        out[c] = np.zeros(len(own), np.int64)
+        np.add.at(out[c], at, np.concatenate(x))
+    return pa.table(out)
 
 
 def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -> DataFrame:
@@ -181,7 +210,7 @@ def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         one = shared.value
         known, counts = (np.frombuffer(right.column(c)[0].as_buffer(), k) for c, k in (("codes", "<u4"), ("counts", "<i8")))
-        out = []
+        every, sums = [], []
         for i in range(left.num_rows):
             keys, codes = (np.frombuffer(left.column(c)[i].as_buffer(), k) for c, k in (("keys", "<i8"), ("codes", "<u4")))
             runs, m = (_widened(left.column(c)[i].as_buffer(), len(x)) for c, x in (("runs", keys), ("m", codes)))
@@ -191,12 +220,13 @@ def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -
             ratio = np.where(seen, rest, np.maximum(one[b] - m, 0.5) * alpha) / np.where(seen, np.maximum(one[a] - m, 1), 1)
             score = np.rint(np.log2(ratio) * _ONE).astype(np.int64) * m
             begin = np.cumsum(runs) - runs
-            out.append([keys, *(np.add.reduceat(x.astype(np.int64), begin) for x in (m, score, np.where(seen, 0, m), a == base - 1))])
-        return pa.table({c: np.concatenate(x) for c, x in zip(("key", "tokens", "score", "backoffs", "copies"), zip(*out, strict=True), strict=True)})
+            every.append(keys)
+            sums.append([np.add.reduceat(x.astype(np.int64), begin) for x in (m, score, np.where(seen, 0, m), a == base - 1)])
+        return _packed(np.concatenate(every), [np.concatenate(x) for x in zip(*sums, strict=True)], bits)
 
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    parts = exploded(texts, tokenizer_path, bits, salts).groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInArrow(join, SUMS)
-    sums = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("tokens", "score", "backoffs", "copies")])
+    parts = exploded(texts, tokenizer_path, bits, salts).groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInArrow(join, PACKED)
+    sums = parts.groupBy("bucket").applyInArrow(_totals, "key long, " + ", ".join(f"{c} long" for c in SUMS))
     each = sums.select("key", *[F.expr(f"{c} div copies").alias(c) for c in ("tokens", "backoffs")], (F.col("score") / F.col("copies") / _ONE).alias("score"))
     out = docs.select("doc_id", row_key(docs).alias("key")).join(each, "key", "left")
     n = F.coalesce("tokens", F.lit(0))
