@@ -171,8 +171,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     send = spark.sparkContext.broadcast
     rank = send(rank)
     one_each = send(bitmap_of(classes.select("key")))
-    met = _prefixes(docs, words, percent, rank, one_each).select("g", "sig").groupBy("g").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
-    shared = send(bitmap_of(met.where("lo < hi").select("g")))
+    # Columns are counted over one row of each class; a row more, that shares a slot, makes a column count as shared for nothing.
+    met = _prefixes(docs, words, percent, rank, one_each).groupBy("g").agg(F.count("*").alias("rows"))
+    shared = send(bitmap_of(met.where("rows > 1").select("g")))
     entries = checkpointed(_prefixes(docs, words, percent, rank, one_each, shared).groupBy("g", "sig", "n").agg(F.min("pos").alias("pos")))
 
     def surviving(pairs: DataFrame) -> DataFrame:
@@ -192,6 +193,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     pairs = entries.join(heads.select("g", F.col("head.sig").alias("h"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hp")), "g").where("sig != h")
     near = lambda n, pos, m, q: (n - pos >= required(n, m, percent)) & (m - q >= required(n, m, percent))
     pairs = pairs.where(near(F.col("n"), F.col("pos"), F.col("hn"), F.col("hp"))).select(F.greatest("sig", "h").alias("a"), F.least("sig", "h").alias("b")).distinct()
+    pairs = checkpointed(pairs)
     links = checkpointed(surviving(pairs))
     reach = connected_components(links, "a", "b")
 

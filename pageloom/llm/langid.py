@@ -136,11 +136,15 @@ class Contexts:
 
 
 def train(docs: DataFrame, docs_per_language: int = 600) -> Contexts:
-    """Trees of every non-null lang of docs (doc_id, text, lang): from the docs_per_language documents with the least hash of doc_id each, whole.
+    """Trees of every non-null lang of docs (doc_id, text, lang): from docs_per_language documents each, chosen by hashes of doc_id, whole; of all that it has, if it has no more.
 
     That number bounds what reaches the driver; all of the table's labelled rows are candidates.
     """
-    rows = docs.where("lang is not null and text is not null and text != ''").withColumn("_h", F.xxhash64("doc_id"))
+    labelled = docs.where("lang is not null")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_rows"))
+    # Twice as many as are needed, by hash, so that a language's window is small however many rows it has.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    rows = labelled.where("text is not null and text != ''").join(sizes, "lang").where(place < F.lit(2 * docs_per_language) / F.col("_rows")).withColumn("_h", F.xxhash64("doc_id", F.lit(1)))
     few = rows.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id", F.length("text")))).where(F.col("_r") <= docs_per_language)
     texts: dict[str, list[bytes]] = {}
     for r in few.select("lang", "text").orderBy("lang", "_h", "doc_id").toLocalIterator():
