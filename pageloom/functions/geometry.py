@@ -49,6 +49,14 @@ def turned(width: Column, height: Column, rotation: Column) -> Column:
     return F.struct(F.when(aside, height).otherwise(width).alias("w"), F.when(aside, width).otherwise(height).alias("h"))
 
 
+def upright(width: Column, height: Column, orientation: Column) -> Column:
+    """struct(w, h, mirrored, rotation): the size of a picture once its EXIF orientation is undone, and how: mirrored first, then turned clockwise."""
+    o = F.when(orientation.between(2, 8), orientation).otherwise(1)
+    aside = o >= 5
+    rotation = F.when(o.isin(3, 4), 180).when(o.isin(6, 7), 90).when(o.isin(5, 8), 270).otherwise(0)
+    return F.struct(F.when(aside, height).otherwise(width).alias("w"), F.when(aside, width).otherwise(height).alias("h"), o.isin(2, 4, 5, 7).alias("mirrored"), rotation.alias("rotation"))
+
+
 def rotate_step(rotation: Column, degrees: int) -> Column:
     return F.pmod(rotation + degrees, F.lit(360))
 

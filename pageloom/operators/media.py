@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.geometry import letterbox, page_size, turned
+from ..functions.geometry import letterbox, page_size, preview_dpi, turned
 from ..functions.text import concat
 
 # How rendered pages are encoded.
@@ -102,6 +102,21 @@ def image_document(images: DataFrame, size: Column) -> DataFrame:
     return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
 
+def preview_plan(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (doc_id, page_no, quality, dpi) with the resolution to render the page at, or an error and its status.
+
+    pages: (doc_id, page_no, width, height, is_encrypted). An unknown document is 404, an encrypted one 403, a page
+    outside it 422.
+    """
+    docs = pages.groupBy("doc_id").agg(F.count("*").alias("_total"), F.bool_or("is_encrypted").alias("_locked"))
+    x = requests.join(docs, "doc_id", "left").join(pages.select("doc_id", "page_no", "width", "height"), ["doc_id", "page_no"], "left")
+    status = F.when(F.col("_total").isNull(), 404).when(F.col("_locked"), 403).when((F.col("page_no") < 1) | (F.col("page_no") > F.col("_total")), 422).otherwise(200)
+    x = x.withColumn("status", status)
+    error = F.when(F.col("status") == 404, "no such document").when(F.col("status") == 403, "the document is protected").when(F.col("status") == 422, concat("no page ", F.col("page_no").cast("string")))
+    x = x.withColumn("error", error).withColumn("render_dpi", F.when(F.col("status") == 200, preview_dpi(F.col("width"), F.col("height"), F.col("quality"), F.col("dpi"))))
+    return x.drop("_total", "_locked", "width", "height")
+
+
 def best_effort(items: DataFrame, least: int = 1) -> DataFrame:
     """(doc_id, good, failed, error) of items (doc_id, error): failures are left out, unless fewer than `least` remain."""
     x = items.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("failed"))

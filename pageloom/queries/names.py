@@ -160,3 +160,11 @@ SELECT p_partkey, 800.0::DOUBLE / p_size * 1.5 AS base, (p_partkey + 400.0::DOUB
 def view_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", G.base_scale(F.col("p_size"), F.lit(1.5)).alias("base"), G.scroll_after_zoom(k, F.lit(400.0), F.lit(1.0), F.lit(1.5)).alias("scroll"), G.splash_progress(k.cast("double") * 10).alias("splash"), G.font_size(F.col("p_retailprice") / 100).alias("font"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, p_size AS w, CAST(p_partkey % 40 AS INTEGER) AS h, CASE WHEN p_partkey % 10 BETWEEN 2 AND 8 THEN p_partkey % 10 ELSE 1 END AS o FROM part)
+SELECT p_partkey, CASE WHEN o >= 5 THEN h ELSE w END AS w, CASE WHEN o >= 5 THEN w ELSE h END AS h, o IN (2, 4, 5, 7) AS mirrored, CAST(CASE o WHEN 3 THEN 180 WHEN 4 THEN 180 WHEN 5 THEN 270 WHEN 6 THEN 90 WHEN 7 THEN 90 WHEN 8 THEN 270 ELSE 0 END AS INTEGER) AS rotation FROM s""")
+def exif_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", G.upright(F.col("p_size"), (k % 40).cast("int"), k % 10).alias("u")).select("p_partkey", "u.*")
