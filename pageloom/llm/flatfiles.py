@@ -52,14 +52,16 @@ def write_flat(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
                         store.create_dir(folder, recursive=True)
                         out = store.open_output_stream(f"{folder}/{name}")
                     out.write(np.insert(ids, np.cumsum(counts), end_id).astype(kind).tobytes())
-                    rows = pa.array(np.arange(n, n + len(counts)))
+                    some = b.column(0).slice(lo, len(counts))
+                    packed = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([n]), packed], names=["file", "first", "doc_ids"])
                     n += len(counts)
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"] * len(counts)), rows, b.column(0).slice(lo, len(counts))], names=["file", "ordinal", "doc_id"])
         finally:
             if out is not None:
                 out.close()
 
-    return checkpointed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, "file string, ordinal long, doc_id long"))
+    listed = checkpointed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, "file string, first long, doc_ids array<long>"))
+    return listed.select("file", "first", F.posexplode("doc_ids").alias("_i", "doc_id")).select("file", (F.col("first") + F.col("_i")).alias("ordinal"), "doc_id")
 
 
 def scan_flat(files: DataFrame, end_id: int, kind: str = "<u2", block_bytes: int = 4 << 20) -> DataFrame:
