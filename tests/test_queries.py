@@ -18,3 +18,13 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["doc_id", "page_no", "out_page", "role", "text_md5", "error"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_training_data_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['pageloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'pipeline' not in q; print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[1])
+    assert int(out.stdout) == len(QUERIES)
