@@ -47,41 +47,37 @@ def requested(pages: DataFrame, requests: DataFrame) -> DataFrame:
     return parsed.withColumn("groups", F.col("_p.groups")).withColumn("error", F.when(F.col("total_pages").isNull(), "no such document").otherwise(F.col("_p.error"))).drop("_p")
 
 
-def _gathered(pages: DataFrame, picks: DataFrame, bad: DataFrame, keep: list[str]) -> DataFrame:
-    """Pages joined to picks (doc_id, page_no, ...), and the error rows."""
-    good = picks.join(pages, ["doc_id", "page_no"]).withColumn("error", F.lit(None).cast("string"))
-    return good.unionByName(bad.select(*keep, "error"), allowMissingColumns=True)
+def _gathered(pages: DataFrame, picks: DataFrame) -> DataFrame:
+    """picks (doc_id, page_no, ..., error) with their pages; a row with an error has none. Requests without pages or an error leave nothing."""
+    return picks.where("page_no is not null or error is not null").join(pages, ["doc_id", "page_no"], "left")
+
+
+def _place(i: str) -> Column:
+    return (F.col(i) + 1).cast("int")
 
 
 def extract_combined(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """All pages asked for as one output, in the order and as often as asked: pages with out_page and error added."""
-    r = requested(pages, requests)
-    picks = r.where("error is null").select("doc_id", F.posexplode(F.flatten("groups")).alias("_i", "page_no")).select("doc_id", "page_no", (F.col("_i") + 1).alias("out_page"))
-    return _gathered(pages, picks, r.where("error is not null"), ["doc_id"])
+    r = requested(pages, requests).select("doc_id", F.posexplode_outer(F.flatten("groups")).alias("_i", "page_no"), "error")
+    return _gathered(pages, r.select("doc_id", "page_no", _place("_i").alias("out_page"), "error"))
 
 
 def extract_pages(pages: DataFrame, requests: DataFrame, stem: Column) -> DataFrame:
     """A file for each different page asked for, ascending: pages with entry_no, entry_name and error added. stem: of the requests."""
     r = requested(pages, requests).withColumn("_stem", sanitize_stem(stem))
-    one = F.array_sort(F.array_distinct(F.flatten("groups")))
-    picks = r.where("error is null").select("doc_id", "_stem", F.posexplode(one).alias("_i", "page_no"))
-    picks = picks.select("doc_id", "page_no", (F.col("_i") + 1).alias("entry_no"), F.format_string("%s_page%04d.pdf", "_stem", "page_no").alias("entry_name"))
-    return _gathered(pages, picks, r.where("error is not null"), ["doc_id"])
-
-
-def _entries(groups: DataFrame) -> DataFrame:
-    """(doc_id, page_no, entry_no, entry_name, out_page) of (doc_id, _stem, groups)."""
-    g = groups.select("doc_id", "_stem", F.posexplode("groups").alias("_g", "group"))
-    lo, hi = F.element_at("group", 1).cast("string"), F.element_at("group", -1).cast("string")
-    label = F.when(F.size("group") == 1, lo).otherwise(concat(lo, "-", hi))
-    g = g.select("doc_id", (F.col("_g") + 1).alias("entry_no"), concat(F.col("_stem"), "_page", label, ".pdf").alias("entry_name"), F.posexplode("group").alias("_i", "page_no"))
-    return g.select("doc_id", "page_no", "entry_no", "entry_name", (F.col("_i") + 1).alias("out_page"))
+    r = r.select("doc_id", "_stem", F.posexplode_outer(F.array_sort(F.array_distinct(F.flatten("groups")))).alias("_i", "page_no"), "error")
+    name = F.when(F.col("page_no").isNotNull(), F.format_string("%s_page%04d.pdf", "_stem", "page_no"))
+    return _gathered(pages, r.select("doc_id", "page_no", _place("_i").alias("entry_no"), name.alias("entry_name"), "error"))
 
 
 def extract_ranges(pages: DataFrame, requests: DataFrame, stem: Column) -> DataFrame:
-    """A file for each part of the request; parts that repeat share a name and differ in entry_no."""
+    """A file for each part of the request, with the part's pages in out_page order; parts that repeat share a name and differ in entry_no."""
     r = requested(pages, requests).withColumn("_stem", sanitize_stem(stem))
-    return _gathered(pages, _entries(r.where("error is null").select("doc_id", "_stem", "groups")), r.where("error is not null"), ["doc_id"])
+    r = r.select("doc_id", "_stem", F.posexplode_outer("groups").alias("_g", "group"), "error")
+    lo, hi = F.element_at("group", 1).cast("string"), F.element_at("group", -1).cast("string")
+    label = F.when(F.size("group") == 1, lo).otherwise(concat(lo, "-", hi))
+    r = r.select("doc_id", _place("_g").alias("entry_no"), concat(F.col("_stem"), "_page", label, ".pdf").alias("entry_name"), F.posexplode_outer("group").alias("_i", "page_no"), "error")
+    return _gathered(pages, r.select("doc_id", "page_no", "entry_no", _place("_i").alias("out_page"), "entry_name", "error"))
 
 
 def split_all(pages: DataFrame, stem: Column) -> DataFrame:
@@ -112,10 +108,9 @@ def organize(pages: DataFrame, configs: DataFrame) -> DataFrame:
         .when(F.size("_c") == 0, F.lit("no pages left"))
         .when(outside.isNotNull(), concat("no page ", outside["page"].cast("string")))
     )
-    known = known.withColumn("_chosen", chosen).withColumn("error", error)
-    picks = known.where("error is null").select("doc_id", F.posexplode("_chosen").alias("_i", "c"))
-    picks = picks.select("doc_id", F.col("c.page").alias("page_no"), F.col("c.rotation").alias("_turn"), (F.col("_i") + 1).alias("out_page"))
-    out = _gathered(pages, picks, known.where("error is not null"), ["doc_id"])
+    picks = known.select("doc_id", F.posexplode_outer(F.when(error.isNull(), chosen)).alias("_i", "c"), error.alias("error"))
+    picks = picks.select("doc_id", F.col("c.page").alias("page_no"), F.col("c.rotation").alias("_turn"), _place("_i").alias("out_page"), "error")
+    out = _gathered(pages, picks)
     return out.withColumn("rotation", F.pmod(F.coalesce("rotation", F.lit(0)) + F.coalesce("_turn", F.lit(0)), F.lit(360))).drop("_turn")
 
 
@@ -124,9 +119,9 @@ def select_for_rendering(pages: DataFrame, requests: DataFrame) -> DataFrame:
     totals = requests.join(page_counts(pages), "doc_id", "left")
     every = concat("1-", F.col("total_pages").cast("string"))
     r = requested(pages, totals.select("doc_id", F.when(F.trim(F.coalesce("spec", F.lit(""))) == "", every).otherwise(F.col("spec")).alias("spec")))
-    r = r.withColumn("_p", F.array_sort(F.array_distinct(F.flatten("groups")))).withColumn("error", F.coalesce("error", F.when(F.size("_p") == 0, F.lit("no pages selected"))))
-    picks = r.where("error is null").select("doc_id", F.posexplode("_p").alias("_i", "page_no")).select("doc_id", "page_no", (F.col("_i") + 1).alias("out_page"))
-    return _gathered(pages, picks, r.where("error is not null"), ["doc_id"])
+    chosen = F.array_sort(F.array_distinct(F.flatten("groups")))
+    r = r.select("doc_id", F.posexplode_outer(chosen).alias("_i", "page_no"), F.coalesce("error", F.when(F.size(chosen) == 0, F.lit("no pages selected"))).alias("error"))
+    return _gathered(pages, r.select("doc_id", "page_no", _place("_i").alias("out_page"), "error"))
 
 
 # Edits of a list of pages at an index from 0. `at` and the like are columns of pages, the same all over a document.
