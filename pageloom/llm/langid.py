@@ -53,14 +53,15 @@ class Contexts:
         self.symbol = np.zeros(256, np.int32)
         self.symbol[seen] = np.arange(1, seen.sum() + 1)
         n = self.n = int(seen.sum()) + 1
+        whole = np.int32 if n ** (ORDER + 1) < 1 << 31 else np.int64
         counts, contexts = [], [np.zeros(1, np.int64)]
         for k in range(ORDER + 1):
             of_lang = []
             for some in texts:
-                codes = [np.zeros(0, np.int64)]
+                codes = [np.zeros(0, whole)]
                 for t in some:
-                    s = self.symbol[np.frombuffer(b" " * ORDER + t, np.uint8)].astype(np.int64)
-                    code = np.zeros(len(t), np.int64)
+                    s = self.symbol[np.frombuffer(b" " * ORDER + t, np.uint8)].astype(whole)
+                    code = np.zeros(len(t), whole)
                     for j in range(ORDER - k, ORDER + 1):
                         code = code * n + s[j : j + len(t)]
                     codes.append(code)
@@ -71,7 +72,7 @@ class Contexts:
                 contexts.append(found[often > 1])
         base = np.cumsum([0] + [len(c) for c in contexts])
         states, langs = int(base[-1]), len(languages)
-        p = np.full((states, n, langs), 1 / 256)
+        p = np.full((states, n, langs), 1 / 256, np.float32)
         number = [lambda c: np.zeros(len(c), np.int64)]
         for k in range(1, ORDER + 1):
             table = np.full(n**k, -1, np.int32)
@@ -91,7 +92,8 @@ class Contexts:
                 escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
                 p[own, :, j] *= escape[:, None]
                 p[base[k] + row, col, j] += m / (total + kinds)[row]
-        self.bits = -np.log2(p).astype(np.float32).reshape(states * n, langs)
+        np.log2(p, out=p)
+        self.bits = np.negative(p, out=p).reshape(states * n, langs)
         self.state = self._longest(np.arange(n**ORDER, dtype=np.int64), ORDER, number, n).astype(np.int32)
 
     @staticmethod
@@ -135,22 +137,22 @@ class Contexts:
         return out
 
 
-def train(docs: DataFrame, docs_per_language: int = 600) -> Contexts:
-    """Trees of every non-null lang of docs (doc_id, text, lang): from docs_per_language documents each, chosen by hashes of doc_id, whole; of all that it has, if it has no more.
+def train(docs: DataFrame, docs_per_language: int = 300) -> Contexts:
+    """Trees of every non-null lang of docs (doc_id, text, lang): from docs_per_language documents each, chosen by hashes, whole; from all that it has, if it has no more.
 
     That number bounds what reaches the driver; all of the table's labelled rows are candidates.
     """
-    labelled = docs.where("lang is not null")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_rows"))
-    # Twice as many as are needed, by hash, so that a language's window is small however many rows it has.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = labelled.where("text is not null and text != ''").join(sizes, "lang").where(place < F.lit(2 * docs_per_language) / F.col("_rows")).withColumn("_h", F.xxhash64("doc_id", F.lit(1)))
-    few = rows.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id", F.length("text")))).where(F.col("_r") <= docs_per_language)
-    texts: dict[str, list[bytes]] = {}
-    for r in few.select("lang", "text").orderBy("lang", "_h", "doc_id").toLocalIterator():
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
+    rows = docs.where("lang is not null and text is not null and text != ''").withColumn("_k", F.xxhash64("doc_id", "text"))
+    # Rows are chosen without their texts, so that a language's window is narrow; the chosen ones are a fixed number.
+    first = F.row_number().over(W.partitionBy("lang").orderBy("_k"))
+    chosen = rows.select("lang", "_k").withColumn("_r", first).where(F.col("_r") <= docs_per_language).select("_k").distinct().collect()
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_k long"))
+    few = rows.join(chosen, "_k", "left_semi").dropDuplicates(["_k", "lang"])
+    texts: dict[str, list[tuple[int, bytes]]] = {}
+    for r in few.select("lang", "text", "_k").toLocalIterator():
+        texts.setdefault(r["lang"], []).append((r["_k"], r["text"].encode()))
     names = sorted(texts)
-    return Contexts(names, [texts[x] for x in names])
+    return Contexts(names, [[t for _, t in sorted(texts[x])] for x in names])
 
 
 def predict(docs: DataFrame, model: Contexts) -> DataFrame:

@@ -88,7 +88,7 @@ def _mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     named = shares.select(F.col("source").alias("_source"), "source_size", "target", "quota", "source_no")
     placed = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     order = [F.col("_order"), F.col("size"), F.col("_k1"), F.col("_k2")]
-    placed = running_offsets(placed, ["source_no"], order, F.substring("_order", 1, 3), F.col("size"), "span_from")
+    placed = checkpointed(running_offsets(placed, ["source_no"], order, F.substring("_order", 1, 3), F.col("size"), "span_from"))
     spans = placed.where("size > 0").select("source_no", "span_from", "size", "source_size", "quota").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
     spans = spans.withColumn("a", F.col("pass_no") * F.col("source_size") + F.col("span_from")).where("a < quota").withColumn("b", F.col("a") + F.col("size"))
     spans = spans.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
