@@ -97,7 +97,7 @@ def _compare(a: dict, b: dict | None, basis: np.ndarray, cosine: float) -> tuple
     for p, q in zip(*np.nonzero(near), strict=True):
         if b is None and q < p:
             continue
-        i, j = slice(p * _LEAF, (p + 1) * _LEAF), slice(q * _LEAF, (q + 1) * _LEAF)
+        i, j = slice(p * _LEAF, min((p + 1) * _LEAF, na)), slice(q * _LEAF, (q + 1) * _LEAF)
         if (x4[i] @ y4[j].T).max() < cosine - 1e-4:
             continue
         hit = x[i] @ y[j].T >= cosine
