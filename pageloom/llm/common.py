@@ -33,6 +33,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the session's limit of rows in an Arrow batch: whole texts are long rows, and a batch is held by the JVM and by Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node that an edge between different nodes touches; component is the smallest node reachable.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed
+from .common import checkpointed, text_batches
 from .tokens import encoder
 
 _CHUNK = 1 << 10  # blocks that are scanned together
@@ -40,6 +40,8 @@ def write_flat(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
     holds end_id.
     """
 
+    text_batches(docs.sparkSession)
+
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, n, out = encoder(tokenizer_path, special_as_text=True), 0, None
         kind = id_type(enc.tokenizer.get_vocab_size())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, checkpointed, connected_components, in_bitmap, merged_slices, zipped
+from .common import bitmap_of, checkpointed, connected_components, in_bitmap, merged_slices, text_batches, zipped
 from .words import mix, shingle_sets
 
 _SLOTS = 1 << 21  # counters of the sketch that orders columns; it changes speed, never results
@@ -165,6 +165,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     each component: of rows that share the least doc_id, all are marked; of an unlinked row, itself.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows, rank = _signatures(docs, words)
     classes = checkpointed(rows.where("n > 0").groupBy("sig", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("parity").alias("parity")))

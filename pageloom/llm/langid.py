@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from .common import text_batches
 from .words import batches_by_bytes, text_buffer
 
 ORDER = 3
@@ -164,6 +165,7 @@ def predict(docs: DataFrame, model: Contexts) -> DataFrame:
     """
     if not model.languages:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns

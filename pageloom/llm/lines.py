@@ -1,7 +1,8 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
 Every batch of documents becomes a run: its distinct line keys, as 128-bit hashes, each with the number of
-documents that hold it and the least of their ids, sorted by hash. A level that has `fanout` runs is merged
+documents that hold it and the least of their ids, sorted by hash. Keys that the runs have settled by then, being in enough
+documents, are taken out of the batch by a merge anti join. A level that has `fanout` runs is merged
 into one run of the next level, so each key is rewritten a number of times logarithmic in the number of batches.
 """
 
@@ -88,8 +89,8 @@ class LineRuns:
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, batches: int = 2, fanout: int = 2) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped added: lines whose key is in at least min_docs rows of docs are dropped.
 
-    keep_first: one row that holds the key keeps it, the one with the least doc_id in the first batches that settled it. A null or empty text is one empty
-    line, which stays. Every row counts as a document, also if doc_ids repeat or are null. Other columns stay.
+    keep_first: one row that holds the key keeps it, the one with the least doc_id in the batches until it was settled.
+    A null or empty text is one empty line, which stays. Every row counts as a document, also if doc_ids repeat or are null. Other columns stay.
     The table is added to the runs in `batches` parts; then each document's keys are joined with the heavy ones.
     """
     runs = LineRuns(docs.sparkSession, fanout=fanout)

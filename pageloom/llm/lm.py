@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, merged_slices, zipped
+from .common import checkpointed, merged_slices, text_batches, zipped
 from .tokens import encoder
 
 ALPHA = 0.4
@@ -195,6 +195,7 @@ def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -
     base = encoder(tokenizer_path, special_as_text=True).tokenizer.get_vocab_size() + 1
     if base * base > 1 << 32:
         raise ValueError("bigrams of this vocabulary don't fit 32 bits")
+    text_batches(spark)
     docs = docs.select("doc_id", "text")
     texts = docs.select(row_key(docs).alias("key"), "text")
     rows, octets = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()

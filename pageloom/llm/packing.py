@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, text_batches
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,6 +27,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """Every document's ids and end_id, cut into pieces of `capacity` ids; the last may be shorter. A null text is empty."""
 
+    text_batches(docs.sparkSession)
+
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for b in it:
