@@ -3,9 +3,11 @@
 Largest inner products become least distances: with M the largest norm, x turns into (x, sqrt(M^2 - |x|^2)) / M and a
 query into (q, 0) / |q|. A table hashes a point to the cells, `width` wide, of a few Gaussian projections. A query visits
 the cells around the place where a neighbour of it is expected, in the order of their estimated success, until the
-chances of the cells visited add up to `success`; where that is comes from a regression of neighbours' projections on the
-queries' in a sample. The rows of a bucket are dealt into blocks of bounded size, as are the queries that visit it; a
-pair of blocks is one matrix product that leaves each query's nearest, scored by inner products of the original vectors.
+chances of the cells visited add up to `success`. That place follows from the inner product with the neighbour, and the
+query's own nearest in a sample tell what that is: a query in a crowd visits few cells and one by itself many. The rows
+of a bucket are dealt into blocks of bounded size, as are the queries that visit it; a pair of blocks is one matrix
+product that leaves each query's nearest, scored by inner products of the original vectors. Queries that found fewer than
+k rows, though there are more, are compared with all.
 """
 
 from __future__ import annotations
@@ -28,13 +30,18 @@ _REACH = 2  # cells on either side of the expected one
 
 
 class Hashes:
-    """Tables of p-stable hashes, and where a neighbour's projection is expected: around slope * the query's, spread by a normal deviate."""
+    """Tables of p-stable hashes, and a sample that tells where a query's neighbours are expected.
+
+    A neighbour whose inner product with the query is c, both of length 1, is projected to c * the query's projection
+    and a normal deviate of sqrt(1 - c^2).
+    """
 
     def __init__(self, width: int, largest: float, tables: int, projections: int, cell: float, seed: int):
         rng = np.random.default_rng(seed)
         self.axes = rng.normal(size=(width + 1, tables, projections))
         self.shift = rng.uniform(0, cell, (tables, projections))
-        self.largest, self.cell, self.tables, self.slope, self.spread = largest, cell, tables, 1.0, 1.0
+        self.largest, self.cell, self.tables = largest, cell, tables
+        self.sample, self.ids, self.nearest = np.zeros((0, width)), np.zeros(0, np.int64), 1
 
     def projected(self, x: np.ndarray, query: bool) -> np.ndarray:
         """(row, table, projection)."""
@@ -46,36 +53,42 @@ class Hashes:
             x = x / self.largest
         return np.tensordot(np.hstack([x, last]), self.axes, 1)
 
-    def fit(self, x: np.ndarray, nearest: int, queries: int = 256) -> None:
-        """Regression over the nearest of the first rows of x in all of x."""
-        s = x[:queries] @ x.T
-        s[np.arange(len(s)), np.arange(len(s))] = -np.inf
-        near = np.argsort(-s, 1, kind="stable")[:, : max(1, min(nearest, len(x) - 1))]
-        of = self.projected(x[:queries], True).reshape(len(s), -1)
-        got = self.projected(x[near.ravel()], False).reshape(*near.shape, -1)
-        if len(x) > 1:
-            self.slope = float(np.clip((got * of[:, None]).sum() / max((of**2).sum() * near.shape[1], 1e-12), 0, 1))
-            self.spread = float(max(0.05, np.sqrt(((got - self.slope * of[:, None]) ** 2).mean())))
+    def fit(self, x: np.ndarray, ids: np.ndarray, nearest: int) -> None:
+        """x: vectors of different ids, of which so many are a query's nearest."""
+        self.sample, self.ids, self.nearest = x, ids, max(1, min(nearest, len(x) - 1))
+
+    def closeness(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """(row, level): inner products that neighbours of the queries x may have: a copy's, and those of the first, middle and last of its nearest in the sample."""
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        copy = norm / self.largest
+        if len(self.sample) < 2:
+            return np.clip(copy, -1, 1)
+        s = (x / norm) @ self.sample.T / self.largest
+        s[ids[:, None] == self.ids[None]] = -np.inf
+        top = -np.sort(-np.partition(s, s.shape[1] - self.nearest, 1)[:, -self.nearest :], 1)
+        return np.clip(np.hstack([copy, top[:, [0, (self.nearest - 1) // 2, self.nearest - 1]]]), -1, 1)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(row, table, projection): the cell of a candidate."""
         return np.floor((self.projected(x, False) + self.shift) / self.cell).astype(np.int64)
 
-    def probes(self, x: np.ndarray, success: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(table, row, cell) of the cells that the queries x visit: the likeliest first, until their chances add up to `success`."""
+    def probes(self, x: np.ndarray, ids: np.ndarray, success: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(table, row, cell) of the cells that the queries x visit: the likeliest first, until at each level of closeness their chances add up to `success`."""
         moves = np.array(list(itertools.product(range(-_REACH, _REACH + 1), repeat=self.axes.shape[2])))
+        close = self.closeness(x, ids)[:, :, None]
+        spread = np.maximum(0.05, np.sqrt(1 - close**2))[:, :, :, None]
         for t in range(self.tables):
-            at = self.slope * self.projected(x, True)[:, t] + self.shift[t]
-            home = np.floor(at / self.cell).astype(np.int64)
-            edge = (home[:, :, None] + np.arange(-_REACH, _REACH + 2)) * self.cell - at[:, :, None]
-            below = 0.5 + 0.5 * np.vectorize(math.erf, otypes=[float])(edge / (self.spread * math.sqrt(2)))
-            chance = np.diff(below, axis=2)  # (row, projection, move)
-            total = np.ones((len(x), 1))
+            at = close * self.projected(x, True)[:, None, t] + self.shift[t]  # (row, level, projection)
+            home = np.floor((at.min(1) + at.max(1)) / 2 / self.cell).astype(np.int64)
+            edge = (home[:, None, :, None] + np.arange(-_REACH, _REACH + 2)) * self.cell - at[:, :, :, None]
+            below = 0.5 + 0.5 * np.vectorize(math.erf, otypes=[float])(edge / (spread * math.sqrt(2)))
+            chance = np.diff(below, axis=3)  # (row, level, projection, move)
+            total = np.ones((*at.shape[:2], 1))
             for k in range(home.shape[1]):
-                total = (total[:, :, None] * chance[:, k, None, :]).reshape(len(x), -1)
-            order = np.argsort(-total, 1, kind="stable")
-            sorted_ = np.take_along_axis(total, order, 1)
-            row, place = np.nonzero(np.cumsum(sorted_, 1) - sorted_ < success)
+                total = (total[:, :, :, None] * chance[:, :, k, None, :]).reshape(*at.shape[:2], -1)
+            order = np.argsort(-total.mean(1), 1, kind="stable")
+            sorted_ = np.take_along_axis(total, order[:, None], 2)
+            row, place = np.nonzero(((np.cumsum(sorted_, 2) - sorted_) < success).any(1))
             yield t, row, home[row] + moves[order[row, place]]
 
 
@@ -97,16 +110,16 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
 
 
 def fit_hashes(rows: DataFrame, k: int, tables: int, projections: int, cell: float, seed: int = 7) -> Hashes | None:
-    """Hashes for rows (vec_id, v), fitted on at most SAMPLE of them; None if there are none."""
+    """Hashes for rows (vec_id, v) with a sample of at most SAMPLE of them; None if there are none."""
     n, width, largest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not n:
         return None
     out = Hashes(width, math.sqrt(largest), tables, projections, cell, seed)
-    few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas().drop_duplicates("vec_id")
     x = np.zeros((len(few), width))
-    for i, v in enumerate(few):
+    for i, v in enumerate(few["v"]):
         x[i, : len(v)] = v
-    out.fit(x, round(k * len(x) / n))
+    out.fit(x, few["vec_id"].to_numpy(), round(k * len(x) / n))
     return out
 
 
@@ -116,7 +129,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
     vectors: vec_id and embedding; other columns are ignored. Nearest is the largest inner product in double precision,
     ties to the smaller vec_id; a shorter vector counts as if zeros followed. Vectors that are null, empty, zero or hold
     null or non-finite components, and rows without vec_id, take no part. A query's own vec_id isn't its neighbour, and
-    a repeated vec_id is one neighbour, by its best score. An empty table gives no rows.
+    a repeated vec_id is one neighbour, by its best score. Every query gets k rows, or all others if there are fewer.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -141,7 +155,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
         for b in it:
             for at in range(0, b.num_rows, 128):
                 some = b.slice(at, 128)
-                for t, row, cells in hashes.probes(matrix(some.column("v"), width)[0], success):
+                for t, row, cells in hashes.probes(matrix(some.column("v"), width)[0], some.column("vec_id").to_numpy(), success):
                     yield emit(row, np.full(len(row), t), cells, some)
 
     schema = "t int, bucket array<int>, vec_id long, v array<double>"
@@ -171,8 +185,22 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
                     found = _nearest(q[at : at + 512], qid[at : at + 512], x, xid, k)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    pairs = asking.toDF("t", "bucket", "qids", "q").join(there, ["t", "bucket"])
-    found = pairs.select("qids", "q", "ids", "x").mapInArrow(compare, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def compared(pairs: DataFrame) -> DataFrame:
+        found = pairs.select("qids", "q", "ids", "x").mapInArrow(compare, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def whole(df: DataFrame, number: int) -> DataFrame:
+        """All rows in so many blocks."""
+        dealt = df.select(F.lit(0).alias("t"), F.array().cast("array<int>").alias("bucket"), "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(number)).alias("block"))
+        return dealt.groupBy("t", "bucket", "block").applyInArrow(pack, packed).select("ids", "x")
+
+    once = checkpointed(compared(asking.toDF("t", "bucket", "qids", "q").join(there, ["t", "bucket"])))
+    n, ids = rows.agg(F.count("*"), F.countDistinct("vec_id")).first()
+    enough = once.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= min(k, ids - 1))
+    short = checkpointed(asked.join(enough, "vec_id", "left_anti"))
+    if few := short.count():
+        asking = checkpointed(whole(short, math.ceil(few / block)))
+        exact = compared(asking.toDF("qids", "q").crossJoin(whole(rows, math.ceil(n / block))))
+        once = once.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").union(exact)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

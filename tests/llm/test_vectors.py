@@ -113,6 +113,33 @@ def test_search_on_odd_rows(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), "vec_id % 20 = 0").count() == 0
 
 
+@pytest.mark.parametrize("n, k", [(1, 20), (5, 20), (15, 20), (15, 3)])
+def test_search_finds_all_of_a_few(spark, n, k):
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(0).normal(size=(n, 64)))]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), "true", k=k, block=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = exact_nearest(rows, lambda q: True, k)
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items() if v}
+    assert k < n or got == {q: v for q, v in want.items() if v}
+
+
+def test_search_beside_large_groups(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 64))
+    x[:1700] = rng.normal(size=(40, 64))[np.arange(1700) % 40] + 0.05 * x[:1700]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), "vec_id % 20 = 0").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = {True: [], False: []}
+    for i in range(0, 2000, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits[i < 1700].append(len(got[i] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.9
+
+
 def test_search_query_recall(spark, sf_dir):
     rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     x, ids = np.array([r[1] for r in rows], float), np.array([r[0] for r in rows])
