@@ -64,11 +64,27 @@ def bounding_box(objects: DataFrame) -> DataFrame:
 
 
 def erase(objects: DataFrame, strokes: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """objects without those that an eraser point of strokes (page_id, px, py) touches: a range anti join on the page."""
-    o = bounding_box(objects).alias("o")
-    p = strokes.select(F.col("page_id").alias("_page"), "px", "py")
-    hit = (F.col("o.page_id") == F.col("_page")) & F.col("px").between(F.col("x1") - tolerance, F.col("x2") + tolerance) & F.col("py").between(F.col("y1") - tolerance, F.col("y2") + tolerance)
-    return o.join(p, hit, "left_anti").drop("x1", "y1", "x2", "y2")
+    """objects without those that an eraser point of strokes (page_id, px, py) touches: a range join on the page and grid cells.
+
+    A box goes to a grid whose cells, a power of two wide, are no smaller than itself, so that it lies in four of them at
+    most; a point goes to its cell in each grid that has boxes. Boxes without finite bounds meet all points of the page.
+    """
+    corners = ["x1", "y1", "x2", "y2"]
+    o = bounding_box(objects)
+    low, high = (lambda v: F.col(v) - tolerance), (lambda v: F.col(v) + tolerance)
+    some = (low("x1") <= high("x2")) & (low("y1") <= high("y2"))
+    boxes = o.where(F.col("page_id").isNotNull() & some).select("page_id", *corners).distinct()
+    span = F.greatest(high("x2") - low("x1"), high("y2") - low("y1"))
+    boxes = boxes.withColumn("_grid", F.when(span < float("inf"), F.greatest(F.lit(0), F.ceil(F.log2(span)).cast("int"))).otherwise(-1))
+    cell = lambda v: F.when(F.col("_grid") >= 0, F.floor(v.cast("double") / F.pow(F.lit(2.0), "_grid"))).otherwise(0)
+    for axis in ("x", "y"):
+        boxes = boxes.withColumn(f"_{axis}", F.explode(F.sequence(cell(low(f"{axis}1")), cell(high(f"{axis}2")))))
+    points = strokes.select(F.col("page_id").alias("_page"), "px", "py").distinct().crossJoin(F.broadcast(boxes.select("_grid").distinct()))
+    points = points.select("_page", "px", "py", F.col("_grid").alias("_pg"), cell(F.col("px")).alias("_px"), cell(F.col("py")).alias("_py"))
+    same = (F.col("page_id") == F.col("_page")) & (F.col("_grid") == F.col("_pg")) & (F.col("_x") == F.col("_px")) & (F.col("_y") == F.col("_py"))
+    inside = F.col("px").between(low("x1"), high("x2")) & F.col("py").between(low("y1"), high("y2"))
+    hit = boxes.join(points, same & inside, "left_semi").select("page_id", *corners).distinct()
+    return o.join(hit, ["page_id", *corners], "left_anti").select(*[c for c in objects.columns if c not in corners])
 
 
 def _only(types: tuple[str, ...], new: Column, old: str) -> Column:

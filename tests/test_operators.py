@@ -1,4 +1,6 @@
 import io
+import random
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -94,5 +96,25 @@ def test_erase_ignores_strokes_without_points(spark):
     assert [r["object_id"] for r in annotate.erase(o, s).collect()] == [1]
 
 
+def test_erase_on_a_crowded_page_against_brute_force(spark):
+    rng, inf, nan = random.Random(5), float("inf"), float("nan")
+    size = lambda: rng.choice([0.0, 3.0, 50.0, 4000.0, 1e300, -15.0, -500.0])
+    rows = [(1 if i % 3 else i % 5, i, "rect" if i % 4 else "text", None, rng.uniform(-5000, 5000), rng.uniform(-5000, 5000), size(), size(), "t", size()) for i in range(300)]
+    rows += [(1, 300, "rect", None, -inf, 0.0, inf, 5.0, None, None), (1, 301, "rect", None, nan, 0.0, 5.0, 5.0, None, None), (None, 302, "rect", None, 0.0, 0.0, 1e9, 1e9, None, None), (1, 303, "rect", None, 0.0, None, 5.0, 5.0, None, None)]
+    rows += [rows[0], rows[1]]
+    o = spark.createDataFrame(rows, "page_id int, object_id int, type string, points array<double>, x double, y double, width double, height double, text string, font_size double")
+    points = [(1 if i % 3 else i % 5, rng.uniform(-5000, 5000), rng.uniform(-5000, 5000)) for i in range(60)] + [(1, inf, 2.0), (1, nan, 2.0), (1, 10.0, 10.0), (None, 0.0, 0.0), (1, None, 0.0)]
+    s = spark.createDataFrame(points, "page_id int, px double, py double")
+    boxes = annotate.bounding_box(o).alias("o")
+    p = s.select(F.col("page_id").alias("_page"), "px", "py")
+    hit = (F.col("page_id") == F.col("_page")) & F.expr("px between x1 - 10 and x2 + 10 and py between y1 - 10 and y2 + 10")
+    want = sorted(r[0] for r in boxes.join(p, hit, "left_anti").select("object_id").collect())
+    got = annotate.erase(o, s)
+    assert got.columns == o.columns and sorted(r["object_id"] for r in got.collect()) == want and 20 < len(want) < 280
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"(?:SortMergeJoin|HashJoin) \[(.*?)\]", plan)
+    assert keys and all("," in k for k in keys)  # a page alone is never the key
+
+
 def test_history_log_of_garbage_is_empty(spark):
     assert spark.range(1).select(files.history_log(F.lit("nope")).alias("x")).first()["x"] == []
