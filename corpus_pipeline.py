@@ -2,7 +2,7 @@
 
 Each stage reads what its predecessor kept, as Parquet. Choices that the operators leave open: language ID rejects
 texts without a letter and those of which no language makes up two fifths; a line found in ten or more documents stays in
-one of them; near copies share 80 % of their five-word shingles and the least doc_id stays; the mix repeats no
+one of them; near copies share 80 % of their five-word shingles and one row stays, of the least doc_id; the mix repeats no
 document more than three times, and a document that a source's target cuts keeps its first words.
 """
 
@@ -13,6 +13,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pageloom.llm import jaccard, langid, lines, mixing, packing
 from pageloom.llm.common import shared_dir
@@ -31,9 +32,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    first = jaccard.jaccard_components(docs, words=5, percent=80).where("is_first").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    """One row of each group of near copies stays: of the least doc_id, then of the least hash, then one of equal rows."""
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.withColumn("_row", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    rows = jaccard.jaccard_components(keyed, words=5, percent=80, row="_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    one = rows.where("component is not null").groupBy("component").agg(F.min_by("_row", order).alias("_row")).select("_row", F.lit(True).alias("_one"))
+    kept = keyed.join(one.union(rows.where("component is null").select("_row", F.lit(False)).distinct()), "_row")
+    return kept.withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("_row"))).where("_n = 1 or not _one").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,17 +156,19 @@ def _near_by_parity(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b", "need")], names=["a", "b", "need"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, is_first of every row of docs (columns doc_id and text; others are ignored).
 
     A row's set is its distinct shingles of `words` words, A-Z as a-z; fewer words are one shingle; a null text or
     one without words has the empty set and is linked with nothing. Rows link when 100 * intersection >= percent *
     union. component_id is the least doc_id reachable (a null doc_id counts last). is_first marks one row of
     each component: of rows that share the least doc_id, all are marked; of an unlinked row, itself.
+    row: a column with a hash of each row; then it comes too, and `component`, which tells apart components that share
+    their least doc_id and is null for the empty set.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    docs = docs.select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.select((F.col(row) if row else F.xxhash64("doc_id")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows, rank = _signatures(docs, words)
     classes = checkpointed(rows.where("n > 0").groupBy("sig", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("parity").alias("parity")))
     send = spark.sparkContext.broadcast
@@ -211,7 +213,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     label = classes.select("sig", "n", "least").join(reach, "sig", "left").withColumn("c", F.coalesce("c", "sig"))
     least = label.groupBy("c").agg(F.min("least").alias("component_id"))
-    label = label.join(least, "c").select("sig", "n", "component_id")
-    out = rows.where("n > 0").join(label, ["sig", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    label = label.join(least, "c").select("sig", "n", "component_id", "c")
+    own = [F.col("key").alias(row), F.col("c").alias("component")] if row else []
+    out = rows.where("n > 0").join(label, ["sig", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *own)
+    alone = rows.where("n = 0").withColumn("c", F.lit(None).cast("long"))
+    out = out.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *own))
     return out.withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -126,6 +126,23 @@ def test_against_brute_force(ran):
     assert len(seqs) <= -(-sum(len(x) for _, x in ids) // 2048) + 1
 
 
+def test_near_copies_by_row(spark):
+    words = [f"w{i}" for i in range(40)]
+    x, y, z, v = " ".join(words), " ".join(words[::-1]), " ".join(words[::2]), " ".join(words[1::2])
+    rows = [
+        (1, x, "en", "a"), (1, x, "en", "a"), (1, x, "en", "b"), (2, x + " more", "en", "a"),  # one row of id 1 stays
+        (1, y, "en", "a"), (3, y, "en", "a"),  # id 1 again, in another group
+        (5, z, "en", "a"), (4, z, "en", "a"), (5, "five words that nobody else has", "en", "a"),  # 5 is first elsewhere only
+        (None, v, "en", "a"), (None, v, None, "a"), (None, v, "a", None), (None, "all of it by itself here", "en", "a"), (9, v, "en", "a"),  # 9 stays, of v
+        (None, "", "en", "a"), (None, "", "en", "a"),  # linked with nothing
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], COLUMNS)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, x), (1, y), (4, z), (5, rows[8][1]), (9, v), (None, rows[12][1]), (None, ""), (None, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
