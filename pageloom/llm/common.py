@@ -6,6 +6,7 @@ import math
 import tempfile
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +41,63 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+@contextmanager
+def in_text_batches(spark: SparkSession) -> Iterator[None]:
+    """text_batches() for what is computed within the block; the session's limit comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    text_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def delete_shared(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, in whatever store it is."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node reachable) of all nodes of the edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return nodes, nodes[label]
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (up := label[label] != label).any():
+            label[up] = label[label[up]]
+
+
+def connected_components(edges: DataFrame, a: str, b: str, at_once: int = 1 << 20) -> DataFrame:
     """(node, component) of every node that an edge between different nodes touches; component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the forest of stars stops changing: a number of
-    rounds logarithmic in the longest path, each round a few equi-joins whose rows never exceed the edges.
+    rounds logarithmic in the longest path, each round a few equi-joins whose rows never exceed the edges. Once no more
+    than `at_once` edges are left, one task finishes them, which holds that many at most.
     Edges with a null end and loops are ignored.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in it if x.num_rows]
+        if ends:
+            node, component = _spanning_stars(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], names=["node", "component"])
+
+    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()
     e, before = checkpointed(e), None
     while True:
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now[0] == 0 or now == before:
+        if now[0] <= at_once:
+            return e.coalesce(1).mapInArrow(finish, "node long, component long")
+        if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
         before = now
         both = e.union(e.select("v", "u"))
@@ -85,11 +131,11 @@ def zipped(x: np.ndarray) -> bytes:
     return zlib.compress(x.tobytes(), 1)
 
 
-def merged_slices(parts: DataFrame, how: str, dtype: str) -> np.ndarray:
-    """Rows (part long, slice int, data binary: zipped) added or or-ed by slice into one array of fixed length.
+def merged_slices(parts: DataFrame, how: str, dtype: str) -> dict[int, np.ndarray]:
+    """Rows (part long, slice int, data binary: zipped) added or or-ed by slice: the slices of one array of fixed length.
 
-    Partial arrays meet in groups of at most 32, level by level; the driver gets the final slices alone,
-    whose total length the caller fixes.
+    part is the task that made a row, of a checkpointed table. Partial arrays meet in groups of at most 32, level by level;
+    the driver gets the final slices alone, whose total length the caller fixes.
     """
 
     def merge(key, pdf):
@@ -101,11 +147,9 @@ def merged_slices(parts: DataFrame, how: str, dtype: str) -> np.ndarray:
             total = v.copy() if total is None else (total + v if how == "add" else total | v)
         return pd.DataFrame({"part": [int(key[1])], "slice": [int(key[0])], "data": [zipped(total)]})
 
-    most = parts.agg(F.max("part")).first()[0]
-    for _ in range(math.ceil(math.log(max(2, (most or 0) + 1), 32))):
+    for _ in range(math.ceil(math.log(max(2, parts.rdd.getNumPartitions()), 32))):
         parts = parts.groupBy("slice", F.floor(F.col("part") / 32).alias("p")).applyInPandas(merge, "part long, slice int, data binary")
-    got = sorted((r["slice"], bytes(r["data"])) for r in parts.select("slice", "data").collect())
-    return np.concatenate([np.frombuffer(zlib.decompress(d), dtype) for _, d in got]) if got else np.zeros(0, dtype)
+    return {r["slice"]: np.frombuffer(zlib.decompress(r["data"]), dtype) for r in parts.select("slice", "data").collect()}
 
 
 BITMAP_BITS = 1 << 26
@@ -130,12 +174,8 @@ def bitmap_of(keys: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 
     parts = checkpointed(keys.mapInArrow(fill, "part long, slice int, data binary"))
     out = np.zeros(bits // 8, np.uint8)
-    present = [r[0] for r in parts.select("slice").distinct().collect()]
-    if present:
-        merged = merged_slices(parts, "or", "u1")
-        for k, i in enumerate(sorted(present)):
-            s = merged[k * _SLICE : (k + 1) * _SLICE]
-            out[i * _SLICE : i * _SLICE + len(s)] = s
+    for i, x in merged_slices(parts, "or", "u1").items():
+        out[i * _SLICE : i * _SLICE + len(x)] = x
     return out
 
 

@@ -47,7 +47,7 @@ def principal_dimensions(vectors: DataFrame, width: int) -> np.ndarray:
         if total[0, 0]:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "slice": pa.array([0], pa.int32()), "data": pa.array([zipped(total)], pa.binary())})
 
-    got = merged_slices(checkpointed(vectors.select("v").mapInArrow(moments, "part long, slice int, data binary")), "add", "<f8").reshape(d + 1, d + 1)
+    got = merged_slices(checkpointed(vectors.select("v").mapInArrow(moments, "part long, slice int, data binary")), "add", "<f8")[0].reshape(d + 1, d + 1)
     mean = got[0, 1:] / got[0, 0]
     _, basis = np.linalg.eigh(got[1:, 1:] / got[0, 0] - np.outer(mean, mean))
     basis = basis[:, ::-1][:, :_BOX]

@@ -1,14 +1,17 @@
-"""N-gram Jaccard join: the product of the sparse document-by-n-gram matrix with its transpose, in blocks.
+"""N-gram Jaccard join: the product of the sparse document-by-n-gram matrix with its transpose, in blocks of columns.
 
 Columns (n-grams) are put in one fixed order, those that look rare first. Two documents that are similar
-enough must meet in the first columns of each: a size-derived prefix. So the product takes two blocks of columns:
-the prefix columns, whose overlaps give the candidate pairs, and all the rest, where the overlap of a pair
-that survives the bounds on size, position and parity bits is accumulated exactly.
+enough must meet in the first columns of each: a size-derived prefix. So the product is taken block by block. The first
+block is the prefix columns: its sparse product gives the pairs that meet there, with an overlap so far and the last place
+where they met. A pair is discarded if that overlap and all that could still follow stay below what the two sizes require.
+For the pairs that are left, the overlaps of all blocks of columns (ranges of hashes, more of them for larger sets) are
+computed and accumulated, and the sum decides.
 
 Classes of equal n-gram sets count as one row of the matrix. Within a column, rows are first held against the one
 whose position there is least; only rows that stay unconnected after that are held against each other, so a
-large group of near copies costs a few comparisons a row and not one for each pair. Every pair that is similar
-enough is compared or connected already, hence the components are exact (up to 64-bit hashes).
+large group of near copies costs a few comparisons a row and not one for each pair. Of two rows of a column, the
+smaller one must have it in an even shorter prefix, so rows that share a template just below the threshold don't meet.
+Every pair that is similar enough is compared or connected already, hence the components are exact (up to 64-bit hashes).
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, checkpointed, connected_components, in_bitmap, merged_slices, text_batches, zipped
+from .common import bitmap_of, checkpointed, connected_components, in_bitmap, in_text_batches, merged_slices, zipped
 from .words import mix, shingle_sets
 
 _SLOTS = 1 << 21  # counters of the sketch that orders columns; it changes speed, never results
 _SLICE = 1 << 15
-_PARITY = 2048  # bits
+_COLUMNS = 4096  # members of a set that a block of columns has, about
+PAIR = [f"{x}.{c} as {y}{x}" for x in "ab" for c, y in (("sig", ""), ("n", "n"), ("key", "k"))]
 _SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -40,21 +44,19 @@ def required(a: Column, b: Column, percent: int) -> Column:
 
 
 def _signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(key, doc_id, n, sig, parity) of every row, and how often each slot of n-grams occurs: four times its binary logarithm."""
+    """(key, doc_id, n, sig) of every row, and how often each slot of n-grams occurs: four times its binary logarithm."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts = np.zeros(_SLOTS, np.int64)
-        names = ["key", "doc_id", "n", "sig", "parity", "part", "slice", "data"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["key", "doc_id", "n", "sig", "part", "slice", "data"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in it:
-            n, sig, parity, waiting, held = [], [], [], [], 0
+            n, sig, waiting, held = [], [], [], 0
             for _, u in shingle_sets(b.column(2), words):
                 n.append(len(u))
                 sig.append(_signature(u))
-                bits = np.bincount((u & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1
-                parity.append(np.packbits(bits.astype(bool)).tobytes())
                 waiting.append(u)
                 held += len(u)
                 if held > 1 << 20:
@@ -63,97 +65,109 @@ def _signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             if held:
                 counts += np.bincount((np.concatenate(waiting) >> np.uint64(43)).astype(np.int64), minlength=_SLOTS)
             none = [None] * b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, t) for x, t in zip((n, sig, parity, none, none, none), types[2:], strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, t) for x, t in zip((n, sig, none, none, none), types[2:], strict=True)]], names=names)
         part, small = TaskContext.get().partitionId(), np.minimum(counts, 65535).astype("<u2")
         for i in range(0, _SLOTS, _SLICE):
             if small[i : i + _SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, None, part, i // _SLICE, zipped(small[i : i + _SLICE].astype("<i8"))), types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, part, i // _SLICE, zipped(small[i : i + _SLICE].astype("<i8"))), types, strict=True)], names=names)
 
-    schema = "key long, doc_id long, n long, sig long, parity binary, part long, slice int, data binary"
-    got = checkpointed(docs.mapInArrow(run, schema))
-    parts = got.where("part is not null").select("part", "slice", "data")
+    got = checkpointed(docs.mapInArrow(run, "key long, doc_id long, n long, sig long, part long, slice int, data binary"))
     total = np.zeros(_SLOTS, np.int64)
-    present = sorted(r[0] for r in parts.select("slice").distinct().collect())
-    if present:
-        merged = merged_slices(parts, "add", "<i8")
-        for k, i in enumerate(present):
-            total[i * _SLICE : (i + 1) * _SLICE] = merged[k * _SLICE : (k + 1) * _SLICE]
+    for i, x in merged_slices(got.where("part is not null").select("part", "slice", "data"), "add", "<i8").items():
+        total[i * _SLICE : (i + 1) * _SLICE] = x
     rank = np.round(np.log2(total + 1) * 4).astype(np.uint8)
-    return got.where("part is null").select("key", "doc_id", "n", "sig", "parity"), rank
+    return got.where("part is null").select("key", "doc_id", "n", "sig"), rank
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, rank, rows, columns=None) -> DataFrame:
-    """(g, sig, n, pos) for the prefix columns of the rows in the bitmap `rows`; of these columns, those in the bitmap `columns`."""
+    """(g, sig, n, pos, key) for the prefix columns of the rows in the bitmap `rows`; of these columns, those in the bitmap `columns`."""
+    names = ["g", "sig", "n", "pos", "key"]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
         for b in it:
-            wanted = in_bitmap(rows.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            batch = pa.RecordBatch.from_arrays([b.column(2).filter(pa.array(wanted))], names=["text"])
+            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            wanted = in_bitmap(rows.value, keys)
+            keys = keys[wanted]
             out: list[tuple] = []
-            for _, u in shingle_sets(batch.column(0), words):
+            size = 0
+            for row, u in shingle_sets(b.column(2).filter(pa.array(wanted)), words):
                 n = len(u)
                 if not n:
                     continue
-                sig = _signature(u)
                 p = n - -(-percent * n // 100) + 1
-                seen = order[(u >> np.uint64(43)).astype(np.int64)]
-                first = np.lexsort((u, seen))[:p]
+                first = np.lexsort((u, order[(u >> np.uint64(43)).astype(np.int64)]))[:p]
                 g, pos = u[first].view(np.int64), np.arange(p)
                 if columns is not None:
                     at = in_bitmap(columns.value, g)
                     g, pos = g[at], pos[at]
-                out.append((g, np.full(len(g), sig), np.full(len(g), n), pos))
-                if sum(len(x[0]) for x in out[-64:]) > 1 << 18 or len(out) >= 2048:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["g", "sig", "n", "pos"])
-                    out = []
+                out.append((g, np.full(len(g), _signature(u)), np.full(len(g), n), pos, np.full(len(g), keys[row])))
+                size += len(g)
+                if size > 1 << 18 or len(out) >= 4096:
+                    yield batch(out)
+                    out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["g", "sig", "n", "pos"])
+                yield batch(out)
+
+    return docs.mapInArrow(run, "g long, sig long, n long, pos long, key long")
+
 
-    return docs.mapInArrow(run, "g long, sig long, n long, pos long")
+def _level(n: int | Column) -> int | Column:
+    """How finely the columns are cut for a set of n members: into 4 ** level blocks."""
+    steps = [n > _COLUMNS * 4**k for k in range(12)]
+    return sum((x.cast("int") for x in steps), F.lit(0)) if isinstance(n, Column) else sum(steps)
 
 
-def _sets(docs: DataFrame, words: int, rows) -> DataFrame:
-    """(sig, members) of the rows in the bitmap: the whole sorted sets."""
+def _blocks(docs: DataFrame, words: int, percent: int, rows) -> DataFrame:
+    """(sig, level, block, members): the rows of the matrix that the bitmap `rows` asks for, cut into blocks of columns.
+
+    A pair is cut as the larger of the two sets, so a set is cut as it would be itself and as the largest one that may match it.
+    """
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["sig", "level", "block", "members"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             wanted = in_bitmap(rows.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            sig, members, size = [], [], 0
+            out: list[tuple] = []
+            size = 0
             for _, u in shingle_sets(b.column(2).filter(pa.array(wanted)), words):
-                sig.append(_signature(u))
-                members.append(u.tobytes())
-                size += len(members[-1])
-                if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(members, pa.binary())], names=["sig", "members"])
-                    sig, members, size = [], [], 0
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(members, pa.binary())], names=["sig", "members"])
+                if not len(u):
+                    continue
+                sig = _signature(u)
+                for level in range(_level(len(u)), _level(len(u) * 100 // percent) + 1):
+                    cut = np.searchsorted(u, np.arange(1, 4**level, dtype=np.uint64) << np.uint64(64 - 2 * level)) if level else np.zeros(0, np.int64)
+                    out += [(sig, level, k, x.tobytes()) for k, x in enumerate(np.split(u, cut)) if len(x)]
+                    size += len(u)
+                if size > 1 << 20:
+                    yield batch(out)
+                    out, size = [], 0
+            if out:
+                yield batch(out)
 
-    return docs.mapInArrow(run, "sig long, members binary").groupBy("sig").agg(F.first("members").alias("members"))
+    return docs.mapInArrow(run, "sig long, level int, block int, members binary").groupBy("sig", "level", "block").agg(F.first("members").alias("members"))
 
 
-def _overlapping(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose accumulated overlap reaches what their sizes require."""
-    for b in it:
-        keep = []
-        for x, y, need in zip(b.column("xs"), b.column("ys"), b.column("need").to_pylist(), strict=True):
-            u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(u) > len(v):
-                u, v = v, u
-            at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-            keep.append(int((v[at] == u).sum()) >= need)
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
-
-
-def _near_by_parity(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops pairs whose parity bits differ in more places than their sets may differ."""
+def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlap of each pair (a, b) in one block of columns, for many pairs at once."""
+
+    def flat(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = pa.compute.binary_length(c).to_numpy() // 8
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint64), np.repeat(np.arange(len(n)), n)
+
     for b in it:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("pa", "pb"))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)  # at most the symmetric difference
-            keep = pa.array(apart <= (b.column("na").to_numpy() + b.column("nb").to_numpy()) - 2 * b.column("need").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b", "need")], names=["a", "b", "need"])
+        for lo in range(0, b.num_rows, 512):
+            some = b.slice(lo, 512)
+            (x, i), (y, j) = flat(some.column("xs")), flat(some.column("ys"))
+            g, pair = np.concatenate([x, y]), np.concatenate([i, j])
+            order = np.lexsort((g, pair))
+            g, pair = g[order], pair[order]
+            met = pair[1:][(g[1:] == g[:-1]) & (pair[1:] == pair[:-1])]
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("a", "b", "need")), pa.array(np.bincount(met, minlength=some.num_rows))], names=["a", "b", "need", "overlap"])
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
@@ -166,56 +180,72 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, row:
     row: a column with a hash of each row; then it comes too, and `component`, which tells apart components that share
     their least doc_id and is null for the empty set.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
     docs = docs.select((F.col(row) if row else F.xxhash64("doc_id")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    with in_text_batches(docs.sparkSession):
+        rows, classes, reach = _classes_and_links(docs, words, percent)
+    label = classes.join(reach, "sig", "left").withColumn("c", F.coalesce("c", "sig"))
+    least = label.groupBy("c").agg(F.min("least").alias("component_id"))
+    label = label.join(least, "c").select("sig", "n", "component_id", "c")
+    own = [F.col("key").alias(row), F.col("c").alias("component")] if row else []
+    out = rows.where("n > 0").join(label, ["sig", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *own)
+    alone = rows.where("n = 0").withColumn("c", F.lit(None).cast("long"))
+    out = out.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *own))
+    return out.withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: key, doc_id, n, sig; classes: sig, n, key, least doc_id; reach: sig, c), all from checkpoints."""
     rows, rank = _signatures(docs, words)
-    classes = checkpointed(rows.where("n > 0").groupBy("sig", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("parity").alias("parity")))
-    send = spark.sparkContext.broadcast
+    classes = checkpointed(rows.where("n > 0").groupBy("sig", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least")))
+    sent = []
+
+    def send(value):
+        sent.append(docs.sparkSession.sparkContext.broadcast(value))  # of fixed size
+        return sent[-1]
+
     rank = send(rank)
     one_each = send(bitmap_of(classes.select("key")))
     # Columns are counted over one row of each class; a row more, that shares a slot, makes a column count as shared for nothing.
     met = _prefixes(docs, words, percent, rank, one_each).groupBy("g").agg(F.count("*").alias("rows"))
     shared = send(bitmap_of(met.where("rows > 1").select("g")))
-    entries = checkpointed(_prefixes(docs, words, percent, rank, one_each, shared).groupBy("g", "sig", "n").agg(F.min("pos").alias("pos")))
-
-    def surviving(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b), those that are similar enough."""
-        info = classes.select("sig", "n", "parity")
-        p = pairs.join(info.toDF("a", "na", "pa"), "a").join(info.toDF("b", "nb", "pb"), "b").withColumn("need", required(F.col("na"), F.col("nb"), percent))
-        p = p.where(F.least("na", "nb") >= F.col("need")).select("a", "b", "na", "nb", "pa", "pb", "need")
-        p = checkpointed(p.mapInArrow(_near_by_parity, "a long, b long, need long"))
-        ends = p.select(F.col("a").alias("sig")).union(p.select("b")).distinct()
-        sets = _sets(docs, words, send(bitmap_of(classes.join(ends, "sig", "left_semi").select("key"))))
-        sets = checkpointed(sets.join(ends, "sig", "left_semi"))
-        full = p.join(sets.toDF("a", "xs"), "a").join(sets.toDF("b", "ys"), "b")
-        return full.select("a", "b", "need", "xs", "ys").mapInArrow(_overlapping, "a long, b long")
+    entries = checkpointed(_prefixes(docs, words, percent, rank, one_each, shared).groupBy("g", "sig", "n").agg(F.min("pos").alias("pos"), F.min("key").alias("key")))
+    near = lambda n, pos, m, q: (n - pos >= required(n, m, percent)) & (m - q >= required(n, m, percent))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, na, ka, b, nb, kb), those whose overlap, accumulated over all blocks of columns, is what their sizes require."""
+        asked = send(bitmap_of(pairs.select("ka").union(pairs.select("kb"))))
+        blocks = checkpointed(_blocks(docs, words, percent, asked))
+        cut = pairs.withColumn("need", required(F.col("na"), F.col("nb"), percent)).withColumn("level", _level(F.greatest("na", "nb")))
+        cut = cut.select("a", "b", "need", "level", F.explode(F.sequence(F.lit(0), F.pow(F.lit(4), F.col("level")).cast("int") - 1)).alias("block"))
+        full = cut.join(blocks.toDF("a", "level", "block", "xs"), ["a", "level", "block"]).join(blocks.toDF("b", "level", "block", "ys"), ["b", "level", "block"])
+        parts = full.select("a", "b", "need", "xs", "ys").mapInArrow(_overlaps, "a long, b long, need long, overlap long")
+        return checkpointed(parts.groupBy("a", "b", "need").agg(F.sum("overlap").alias("overlap")).where("overlap >= need").select("a", "b"))
 
     # In each column, every row against the one that comes first there: the least edited of a group of copies.
-    heads = entries.groupBy("g").agg(F.min(F.struct("pos", "n", "sig")).alias("head"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = entries.join(heads.select("g", F.col("head.sig").alias("h"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hp")), "g").where("sig != h")
-    near = lambda n, pos, m, q: (n - pos >= required(n, m, percent)) & (m - q >= required(n, m, percent))
-    pairs = pairs.where(near(F.col("n"), F.col("pos"), F.col("hn"), F.col("hp"))).select(F.greatest("sig", "h").alias("a"), F.least("sig", "h").alias("b")).distinct()
+    of = lambda r="": F.struct(*[F.col(r + c).alias(c) for c in ("sig", "n", "key")])
+    heads = entries.groupBy("g").agg(F.min(F.struct("pos", "n", "sig", "key")).alias("h"), F.count("*").alias("rows")).where("rows > 1")
+    pairs = entries.join(heads, "g").where((F.col("sig") != F.col("h.sig")) & near(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
+    pairs = pairs.select(F.greatest(of(), of("h.")).alias("a"), F.least(of(), of("h.")).alias("b")).selectExpr(*PAIR).distinct()
     pairs = checkpointed(pairs)
-    links = checkpointed(surviving(pairs))
-    reach = connected_components(links, "a", "b")
-
-    # What is left in a column: rows that aren't connected yet.
-    left = entries.join(reach.toDF("sig", "c"), "sig", "left").withColumn("c", F.coalesce("c", "sig"))
-    mixed = left.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    left = left.join(mixed.select("g"), "g", "left_semi")
-    left = left.select("g", "sig", "n", "pos", "c")
-    x, y = left.toDF("g", "a", "na", "qa", "ca"), left.toDF("g", "b", "nb", "qb", "cb")
-    more = x.join(y, "g").where((F.col("ca") < F.col("cb")) & near(F.col("na"), F.col("qa"), F.col("nb"), F.col("qb")))
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(checkpointed(surviving(more)))
-    reach = connected_components(links, "a", "b").toDF("sig", "c")
-
-    label = classes.select("sig", "n", "least").join(reach, "sig", "left").withColumn("c", F.coalesce("c", "sig"))
-    least = label.groupBy("c").agg(F.min("least").alias("component_id"))
-    label = label.join(least, "c").select("sig", "n", "component_id", "c")
-    own = [F.col("key").alias(row), F.col("c").alias("component")] if row else []
-    out = rows.where("n > 0").join(label, ["sig", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *own)
-    alone = rows.where("n = 0").withColumn("c", F.lit(None).cast("long"))
-    out = out.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *own))
-    return out.withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    links = linked(pairs)
+    reach = checkpointed(connected_components(links, "a", "b").toDF("sig", "c"))
+
+    # What is left in a column: rows that aren't connected yet. Those of the component that its first row has don't meet each other.
+    left = checkpointed(entries.join(reach, "sig", "left").withColumn("c", F.coalesce("c", "sig")))
+    mixed = left.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", F.struct("pos", "n", "sig")).alias("main")).where("lo < hi")
+    left = left.join(mixed.select("g", "main"), "g").select("g", F.struct("sig", "n", "key", "pos", "c").alias("x"), (F.col("c") == F.col("main")).alias("in_main"))
+    # The smaller row of a pair must have the column in the prefix for rows of its own size.
+    large, small = left.withColumnRenamed("x", "l"), left.where(F.col("x.n") - F.col("x.pos") >= required(F.col("x.n"), F.col("x.n"), percent)).withColumnRenamed("x", "s")
+    order = F.struct("l.n", "l.sig") > F.struct("s.n", "s.sig")
+    close = near(F.col("l.n"), F.col("l.pos"), F.col("s.n"), F.col("s.pos"))
+    meets = [x.drop("in_main").join(y.drop("in_main"), "g").where(order & (F.col("l.c") != F.col("s.c")) & close) for x, y in ((large.where("not in_main"), small), (large.where("in_main"), small.where("not in_main")))]
+    met = meets[0].union(meets[1]).groupBy(of("l.").alias("l"), of("s.").alias("s")).agg(F.count("*").alias("overlap"), F.max("l.pos").alias("lp"), F.max("s.pos").alias("sp"))
+    most = F.col("overlap") + F.least(F.col("l.n") - F.col("lp"), F.col("s.n") - F.col("sp")) - 1
+    more = met.where(most >= required(F.col("l.n"), F.col("s.n"), percent)).select(F.greatest("l", "s").alias("a"), F.least("l", "s").alias("b")).selectExpr(*PAIR)
+    more = checkpointed(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        ends = reach.select(F.col("sig").alias("a"), F.col("c").alias("b"))
+        reach = checkpointed(connected_components(ends.union(linked(more)), "a", "b").toDF("sig", "c"))
+    for x in sent:
+        x.destroy()
+    return rows, classes, reach

@@ -113,7 +113,7 @@ def unigrams(table: DataFrame, base: int) -> np.ndarray:
                 total[-1] += counts[codes // base == base - 1].sum()
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part.as_py()], pa.int64()), "slice": pa.array([0], pa.int32()), "data": pa.array([zipped(total)], pa.binary())})
 
-    return merged_slices(checkpointed(table.mapInArrow(run, "part long, slice int, data binary")), "add", "<i8")
+    return merged_slices(checkpointed(table.mapInArrow(run, "part long, slice int, data binary")), "add", "<i8").get(0, np.zeros(base, np.int64))
 
 
 def _narrow(x: np.ndarray) -> bytes:
