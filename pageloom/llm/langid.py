@@ -1,11 +1,11 @@
 """Language ID by prediction by partial matching over bytes.
 
-Each language has a tree of byte contexts up to `order` bytes long with the counts of the bytes that followed.
-The statistics are frozen after training, so the code length of a byte depends on its context alone: in the
-longest context, a byte seen there costs its share, any other first costs an escape (method C: as likely as
-there are distinct bytes) and then what it costs in the context one byte shorter; below them all, bytes are
-equally likely. The trees of all languages are laid out as one table (context, byte) -> code length in every
-language, so a text costs one look-up a byte.
+Each language has a tree of byte contexts up to ORDER bytes long with the counts of the bytes that followed.
+The statistics are frozen after training, so the code length of a byte depends on its context alone: a context passes on
+to the one that is a byte shorter with an escape probability (method C: as likely as there are distinct bytes),
+and a byte that was seen in the context has its share of the counts besides; below them all, bytes are
+equally likely. A context that a language never saw passes everything on. The trees of all languages are laid out as sorted
+tables, one an order: the code lengths of what any of them saw there, and what an escape costs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from .words import batches_by_bytes, text_buffer
 
 ORDER = 3
 WINDOW = 128  # bytes
-_PIECE = 1 << 19
+_PIECE = 1 << 21  # code lengths that are held at once
+_LARGEST = 256 << 20  # bytes of the tables, which every executor gets
+_DEALT = 8
 
 
 def windows(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,73 +39,61 @@ def windows(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Contexts:
-    """The frozen trees of all languages.
-
-    symbol: a byte's number, 0 for all bytes that training never saw. state: the number of the longest context that
-    training saw more than once, by the last three symbols. bits: code lengths, (context * symbols + symbol, language).
-    """
+    """The frozen trees of all languages. For each order k: codes of k + 1 bytes that a language saw, with their bits, and contexts of k bytes, with the bits of an escape; (row, language)."""
 
     def __init__(self, languages: list[str], texts: list[list[bytes]]):
         self.languages = languages
+        self.seen, self.bits, self.contexts, self.escapes = [], [], [], []
         if not languages:
             return
-        seen = np.zeros(256, bool)
-        for some in texts:
-            for t in some:
-                seen[np.unique(np.frombuffer(t, np.uint8))] = True
-        self.symbol = np.zeros(256, np.int32)
-        self.symbol[seen] = np.arange(1, seen.sum() + 1)
-        n = self.n = int(seen.sum()) + 1
-        whole = np.int32 if n ** (ORDER + 1) < 1 << 31 else np.int64
-        counts, contexts = [], [np.zeros(1, np.int64)]
+        whole = [np.concatenate([self._codes(np.frombuffer(b" " * ORDER + t, np.uint8)) for t in some]) for some in texts]
         for k in range(ORDER + 1):
-            of_lang = []
-            for some in texts:
-                codes = [np.zeros(0, whole)]
-                for t in some:
-                    s = self.symbol[np.frombuffer(b" " * ORDER + t, np.uint8)].astype(whole)
-                    code = np.zeros(len(t), whole)
-                    for j in range(ORDER - k, ORDER + 1):
-                        code = code * n + s[j : j + len(t)]
-                    codes.append(code)
-                of_lang.append(np.unique(np.concatenate(codes), return_counts=True))
-            counts.append(of_lang)
-            if k:
-                found, often = np.unique(np.concatenate([np.repeat(c // n, np.minimum(m, 2)) for c, m in of_lang]), return_counts=True)
-                contexts.append(found[often > 1])
-        base = np.cumsum([0] + [len(c) for c in contexts])
-        states, langs = int(base[-1]), len(languages)
-        p = np.full((states, n, langs), 1 / 256, np.float32)
-        number = [lambda c: np.zeros(len(c), np.int64)]
-        for k in range(1, ORDER + 1):
-            table = np.full(n**k, -1, np.int32)
-            table[contexts[k]] = base[k] + np.arange(len(contexts[k]))
-            number.append(lambda c, table=table: table[c])
-        for k in range(ORDER + 1):
-            own = slice(base[k], base[k + 1])
-            if k:
-                c = contexts[k]
-                shorter = self._longest(c % n ** (k - 1), k - 1, number, n)
-                p[own] = p[shorter]
-            for j, (code, m) in enumerate(counts[k]):
-                at = number[k](code // n)
-                on = at >= 0
-                row, col, m = at[on] - base[k], (code % n)[on], m[on]
-                total, kinds = (np.bincount(row, w, minlength=base[k + 1] - base[k]) for w in (m, None))
-                escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                p[own, :, j] *= escape[:, None]
-                p[base[k] + row, col, j] += m / (total + kinds)[row]
-        np.log2(p, out=p)
-        self.bits = np.negative(p, out=p).reshape(states * n, langs)
-        self.state = self._longest(np.arange(n**ORDER, dtype=np.int64), ORDER, number, n).astype(np.int32)
+            counted = [np.unique(x & self._mask(k), return_counts=True) for x in whole]
+            seen = np.unique(np.concatenate([c for c, _ in counted]))
+            contexts = np.unique(seen >> np.uint32(8))
+            context = np.searchsorted(contexts, seen >> np.uint32(8))
+            if (len(seen) + len(contexts)) * len(languages) * 4 > _LARGEST // 2:
+                raise ValueError("the trees of all languages take too much memory: train on fewer documents a language, or on fewer characters of each")
+            p = np.full((len(seen), len(languages)), 1 / 256) if not k else np.exp2(-self.bits[-1].astype(float))[np.searchsorted(self.seen[-1], seen & self._mask(k - 1))]
+            escape = np.ones((len(contexts), len(languages)))
+            for j, (code, m) in enumerate(counted):
+                row = np.searchsorted(seen, code)
+                total, kinds = (np.bincount(context[row], w, minlength=len(contexts)) for w in (m, None))
+                escape[:, j] = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+                p[:, j] *= escape[context, j]
+                p[row, j] += m / (total + kinds)[context[row]]
+            self.seen.append(seen)
+            self.bits.append((-np.log2(p)).astype(np.float32))
+            self.contexts.append(contexts)
+            self.escapes.append((-np.log2(escape)).astype(np.float32))
 
     @staticmethod
-    def _longest(code: np.ndarray, k: int, number: list, n: int) -> np.ndarray:
-        """The state of the longest known suffix of contexts of k symbols."""
-        out = np.full(len(code), -1, np.int64)
-        for j in range(k, -1, -1):
-            todo = out < 0
-            out[todo] = number[j](code[todo] % n**j)
+    def _mask(k: int) -> np.uint32:
+        return np.uint32((1 << 8 * (k + 1)) - 1)
+
+    @staticmethod
+    def _codes(s: np.ndarray) -> np.ndarray:
+        """Each byte of s from the one at ORDER on, with the ORDER bytes before it in front."""
+        s = s.astype(np.uint32)
+        out = np.zeros(len(s) - ORDER, np.uint32)
+        for j in range(ORDER + 1):
+            out = (out << np.uint32(8)) | s[j : j + len(out)]
+        return out
+
+    def _cost(self, code: np.ndarray) -> np.ndarray:
+        """Bits of each code's last byte in every language."""
+        out = np.zeros((len(code), len(self.languages)), np.float32)
+        todo = np.arange(len(code))
+        for k in range(ORDER, -1, -1):
+            some = code[todo] & self._mask(k)
+            at = np.minimum(np.searchsorted(self.seen[k], some), len(self.seen[k]) - 1)
+            hit = self.seen[k][at] == some
+            out[todo[hit]] += self.bits[k][at[hit]]
+            todo, some = todo[~hit], some[~hit] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(self.contexts[k], some), len(self.contexts[k]) - 1)
+            hit = self.contexts[k][at] == some
+            out[todo[hit]] += self.escapes[k][at[hit]]
+        out[todo] += 8
         return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -112,22 +102,19 @@ class Contexts:
         A stretch's contexts go back into the one before it, but not into another text.
         """
         out = np.zeros((len(cuts) - 1, len(self.languages)))
-        n, blank, at, stop = self.n, int(self.symbol[0x20]), int(offsets[0]), int(offsets[-1])
+        at, stop, step = int(offsets[0]), int(offsets[-1]), max(1 << 12, _PIECE // len(self.languages))
         edges = offsets[:-1]
         while at < stop:
-            to = min(at + _PIECE, stop)
-            lead = min(ORDER, at)
-            s = np.concatenate([np.zeros(ORDER - lead, np.int64), self.symbol[data[at - lead : to]].astype(np.int64)])
-            size = to - at
-            before = [s[ORDER - j : ORDER - j + size].copy() for j in range(1, ORDER + 1)]
+            to = min(at + step, stop)
+            size, lead = to - at, min(ORDER, at)
+            code = self._codes(np.concatenate([np.zeros(ORDER - lead, np.uint8), data[at - lead : to]]))
             lo, hi = np.searchsorted(edges, [at - ORDER, to])
-            for j in range(1, ORDER + 1):  # a text doesn't see the one before it: blanks precede it
-                for d in range(j):
-                    x = edges[lo:hi] - at + d
-                    x = x[(x >= 0) & (x < size)]
-                    before[j - 1][x] = blank
-            code = before[2] * (n * n) + before[1] * n + before[0]
-            cost = self.bits[self.state[code].astype(np.int64) * n + s[ORDER:]]
+            for d in range(ORDER):  # a text doesn't see the one before it: blanks precede it
+                x = edges[lo:hi] - at + d
+                x = x[(x >= 0) & (x < size)]
+                own = self._mask(d)
+                code[x] = (code[x] & own) | (np.uint32(0x20202020) & ~own)
+            cost = self._cost(code)
             first, last = np.searchsorted(cuts, [at + 1, to])
             starts = np.concatenate([[0], cuts[first:last] - at])
             owner = np.searchsorted(cuts, starts + at, "right") - 1
@@ -138,19 +125,21 @@ class Contexts:
         return out
 
 
-def train(docs: DataFrame, docs_per_language: int = 300) -> Contexts:
-    """Trees of every non-null lang of docs (doc_id, text, lang): from docs_per_language documents each, chosen by hashes, whole; from all that it has, if it has no more.
+def train(docs: DataFrame, docs_per_language: int = 300, chars: int = 1 << 14) -> Contexts:
+    """Trees of every non-null lang of docs (doc_id, text, lang): from docs_per_language documents each, chosen by hashes among all, of long ones the first `chars` characters; from all that it has, if it has no more.
 
-    That number bounds what reaches the driver; all of the table's labelled rows are candidates.
+    These numbers bound the training sample, which reaches the driver; rows equal in doc_id and text are one.
     """
     rows = docs.where("lang is not null and text is not null and text != ''").withColumn("_k", F.xxhash64("doc_id", "text"))
-    # Rows are chosen without their texts, so that a language's window is narrow; the chosen ones are a fixed number.
-    first = F.row_number().over(W.partitionBy("lang").orderBy("_k"))
-    chosen = rows.select("lang", "_k").withColumn("_r", first).where(F.col("_r") <= docs_per_language).select("_k").distinct().collect()
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_k long"))
-    few = rows.join(chosen, "_k", "left_semi").dropDuplicates(["_k", "lang"])
+    # Rows are chosen without their texts. A language's least hashes are among the least of each of its shares, so no task gets more than a few shares' worth.
+    narrow = rows.select("lang", "_k")
+    for by in (["lang", F.pmod("_k", F.lit(_DEALT))], ["lang"]):
+        narrow = narrow.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_k"))).where(F.col("_r") <= docs_per_language).drop("_r")
+    chosen = [(r["_k"],) for r in narrow.select("_k").distinct().collect()]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_k long"))  # docs_per_language for each language
+    few = rows.join(chosen, "_k", "left_semi").select("lang", F.substring("text", 1, chars).alias("text"), "_k").dropDuplicates(["_k", "lang"])
     texts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in few.select("lang", "text", "_k").toLocalIterator():
+    for r in few.collect():
         texts.setdefault(r["lang"], []).append((r["_k"], r["text"].encode()))
     names = sorted(texts)
     return Contexts(names, [[t for _, t in sorted(texts[x])] for x in names])

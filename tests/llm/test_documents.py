@@ -214,36 +214,27 @@ def test_packing_odd_rows(spark):
 
 
 def brute_bits(text, training, order=langid.ORDER):
-    """Bits of every stretch of a text in every language, by contexts in dictionaries. A context that was seen once in all is as if unseen."""
-    seen = {b for some in training.values() for t in some for b in t.encode()}
-    sym = lambda b: b if b in seen else -1
-    total = Counter()
+    """Bits of every stretch of a text in every language, by contexts in dictionaries."""
     counts = {}
     for lang, some in training.items():
         own = counts[lang] = {}
         for t in some:
-            s = [sym(b) for b in b" " * order + t.encode()]
+            s = b" " * order + t.encode()
             for i in range(order, len(s)):
                 for k in range(order + 1):
-                    own.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
-    for own in counts.values():
-        for c, n in own.items():
-            total[c] += min(2, sum(n.values())) if sum(n.values()) < 2 else 2
-    known = {c for c, n in total.items() if n > 1} | {()}
+                    own.setdefault(s[i - k : i], Counter())[s[i]] += 1
 
     def p(own, c, b):
-        if c not in known:
-            return p(own, c[1:], b)
         n = own.get(c, Counter())
         lower = p(own, c[1:], b) if c else 1 / 256
         m, kinds = sum(n.values()), len(n)
         return lower if not m else n[b] / (m + kinds) + kinds / (m + kinds) * lower
 
-    data = [sym(b) for b in b" " * order + text.encode()]
+    data = b" " * order + text.encode()
     out = []
     for a in range(order, len(data), langid.WINDOW):
         stop = min(a + langid.WINDOW, len(data))
-        out.append((stop - a, {x: -sum(math.log2(p(counts[x], tuple(data[i - order : i]), data[i])) for i in range(a, stop)) for x in training}))
+        out.append((stop - a, {x: -sum(math.log2(p(counts[x], data[i - order : i], data[i])) for i in range(a, stop)) for x in training}))
     return out
 
 
