@@ -43,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass over a document that the mix takes words of."""
+    """A row for each pass over a document that the mix takes words of, in the order of the mix."""
     return mixing.mixed(docs, weights=(1, 2, 3), most=3).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -3,7 +3,8 @@
 A source's documents, shuffled by hash, form one long stream of words, which may be passed up to `most` times. The
 mix has slots of equal size; slot i goes to the source whose share of the cumulative targets holds the i-th
 point of the golden-ratio sequence, and the r-th slot of a source takes the r-th block of its stream. Thus
-every stretch of the mix is close to the target shares, and each source ends within a word of its target.
+every stretch of the mix is close to the target shares, and each source ends within a word of its target. What is taken
+of a document is what the slots take of it, and the mix is written in the order of its slots.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 
 
 def schedule(shares: DataFrame, block: int) -> DataFrame:
-    """(slot, source_no, block_no, word_from, word_to): which words of its source's endless stream each slot of the mix takes."""
+    """(slot, source_no, block_no, word_from, word_to): which words of its source's endless stream each slot of the mix takes; slots are numbers of their own."""
     spark = shares.sparkSession
     total = shares.agg(F.sum("quota")).first()[0] or 0
     n = -(-total // block)
@@ -59,7 +60,10 @@ def schedule(shares: DataFrame, block: int) -> DataFrame:
     # The sequence gives a source a few slots more or less than its quota needs: void or append these.
     have = slots.groupBy("source_no").agg(F.count("*").alias("have"))
     short = shares.where("quota > 0").join(have, "source_no", "left").withColumn("have", F.coalesce("have", F.lit(0))).withColumn("need", F.ceil(F.col("quota") / F.lit(block)))
-    short = short.where("have < need").select((F.lit(n) + F.col("source_no")).alias("slot"), "source_no", F.explode(F.sequence("have", F.col("need") - 1)).alias("block_no"), "quota")
+    before = F.coalesce(F.sum("more").over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a source
+    short = short.where("have < need").withColumn("more", F.col("need") - F.col("have")).withColumn("before", before)
+    short = short.withColumn("block_no", F.explode(F.sequence("have", F.col("need") - 1)))
+    short = short.select((F.lit(n) + F.col("before") + F.col("block_no") - F.col("have")).alias("slot"), "source_no", "block_no", "quota")
     slots = slots.unionByName(short).withColumn("word_from", F.col("block_no") * block).where("word_from < quota")
     return slots.select("slot", "source_no", "block_no", "word_from", F.least(F.col("word_from") + block, F.col("quota")).alias("word_to"))
 
@@ -97,31 +101,40 @@ def _mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     return placed.drop("_order", "quota"), takes
 
 
-def _with_passes(placed: DataFrame, takes: DataFrame, by: list[str]) -> DataFrame:
-    """placed with _words, the words taken of each document, by document or by pass. One without words shares its place with the next, which takes the words."""
-    sums = takes.groupBy(F.col("source_no").alias("_no"), F.col("span_from").alias("_from"), *by).agg(F.sum(F.col("words_to") - F.col("words_from")).alias("_words"))
+def _with_takes(placed: DataFrame, takes: DataFrame, by: list[str]) -> DataFrame:
+    """placed with what the slots take of each document, by document or by pass: _words, _slots and _slot, the first one. One without words shares its place with the next, which takes the words."""
+    sums = takes.groupBy(F.col("source_no").alias("_no"), F.col("span_from").alias("_from"), *by)
+    sums = sums.agg(F.sum(F.col("words_to") - F.col("words_from")).alias("_words"), F.count("*").alias("_slots"), F.min("slot").alias("_slot"))
     same = (F.col("source_no") == F.col("_no")) & (F.col("span_from") == F.col("_from")) & (F.col("size") > 0)
-    return placed.join(sums, same, "left").drop("_no", "_from", *by)
+    return placed.join(sums, same, "left").drop("_no", "_from")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document, repeats counted."""
-    found = _with_passes(*mix(docs, **options), [])
-    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_words", F.lit(0)).cast("long").alias("taken"))
+    """doc_id, source, size, source_size, target and taken: the words that the slots of the mix take of each document, repeats counted; slots: how many do; first_slot: the first of them, null if none does."""
+    found = _with_takes(*mix(docs, **options), [])
+    return found.select("doc_id", "source", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).cast("long").alias(a) for c, a in (("_words", "taken"), ("_slots", "slots"))], F.col("_slot").alias("first_slot"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of docs, with all its columns, for each pass over a document; one that its source's target cuts keeps its first words, with a blank between.
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, blanks and line breaks as they are."""
+    return F.array_join(F.slice(F.split(text, "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])"), F.lit(1), n.cast("int")), "")
 
-    Rows are told apart by two hashes of all columns, so texts are shuffled once, to meet what is taken of them, and
-    rows that are equal meet it together.
+
+def mixed(docs: DataFrame, partition_words: int = 1 << 21, **options) -> DataFrame:
+    """The mix itself: a row of docs, with all its columns, for each pass over a document, in the order of the slots that take it: partition by partition, and sorted in each.
+
+    A document that its source's target cuts keeps its first words. Rows are told apart by two hashes of all columns;
+    texts are shuffled to meet what is taken of them, where rows that are equal meet it together, and to their slots.
+    A partition has about partition_words words.
     """
     names = docs.columns
     k1, k2 = F.xxhash64(*names), F.xxhash64(F.lit(13), *names)
     placed, takes = _mix(_lean(docs, k1, k2), **options)
-    passes = _with_passes(placed, takes, ["pass_no"]).where("_words is not null").groupBy("_k1", "_k2", "size", "_words").agg(F.count("*").alias("_n"))
+    passes = checkpointed(_with_takes(placed, takes, ["pass_no"]).where("_words is not null").select("_k1", "_k2", "size", "_words", "_slot", "pass_no", "span_from"))
+    words, last = passes.agg(F.sum("_words"), F.max("_slot")).first()
+    parts = max(1, -(-(words or 0) // partition_words))
     whole = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.struct(*names).alias("_row")).groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
-    out = whole.join(passes, ["_k1", "_k2"]).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    words = F.filter(F.split("_row.text", "[ \\t\\n\\x0b\\f\\r]+"), lambda x: x != "")
-    text = F.when(F.col("_words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("_row.text"))
+    out = whole.join(passes, ["_k1", "_k2"])
+    out = out.repartitionById(parts, F.floor(F.col("_slot") * F.lit(parts) / F.lit((last or 0) + 1)).cast("int")).sortWithinPartitions("_slot", "pass_no", "span_from", "_k1", "_k2")
+    text = F.when(F.col("_words") < F.col("size"), first_words(F.col("_row.text"), F.col("_words"))).otherwise(F.col("_row.text"))
     return out.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])

@@ -43,7 +43,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.taken(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(1, 2, 3), most=3)
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "slots", "first_slot")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +114,27 @@ fill(step, share, sum_w) AS (
   SELECT step + 1, (SELECT (sum(source_size) - coalesce(sum(cap) FILTER (WHERE cap / weight < share), 0)) / CAST(sum(weight) FILTER (WHERE cap / weight >= share) AS DOUBLE) FROM s), share
   FROM fill WHERE share <> sum_w AND step < 50),
 t AS (SELECT source, source_size, CAST(least(cap, weight * (SELECT max(share) FROM fill)) AS DOUBLE) AS target FROM s),
+q AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota, row_number() OVER (ORDER BY source ASC NULLS LAST) AS no,
+    sum(target) OVER (ORDER BY source ASC NULLS LAST ROWS UNBOUNDED PRECEDING) / (SELECT sum(target) FROM t) AS hi FROM t),
+shares AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY no), 0) AS lo FROM q),
+total AS (SELECT CAST((sum(quota) + 1023) // 1024 AS BIGINT) AS n FROM q),
+points AS (SELECT i AS slot, ((i + 0.5) * CAST(0.6180339887498949 AS DOUBLE)) % 1.0 AS u FROM (SELECT unnest(range(0, (SELECT n FROM total))) AS i)),
+hits AS (SELECT slot, no, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS block FROM points JOIN shares ON u >= lo AND (u < hi OR hi >= 1) AND quota > 0),
+blocks AS (SELECT no, unnest(range(0, (quota + 1023) // 1024)) AS block FROM q),
+slots AS (
+  SELECT b.no, b.block, coalesce(slot, (SELECT n FROM total) + row_number() OVER (PARTITION BY slot IS NULL ORDER BY b.no, b.block) - 1) AS slot
+  FROM blocks b LEFT JOIN hits h ON b.no = h.no AND b.block = h.block),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+  SELECT d.doc_id, d.size, q.source_size, q.target, q.quota, q.no,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.size ROWS UNBOUNDED PRECEDING) - d.size AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE
-  (quota // source_size) * size + greatest(0, least(size, quota % source_size - a)) END AS BIGINT) AS taken
-FROM p""",
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+passes AS (
+  SELECT *, a + k * source_size AS f, least(a + k * source_size + size, quota) AS t FROM p, (SELECT unnest(range(0, 3)) AS k) WHERE size > 0 AND a + k * source_size < quota),
+found AS (
+  SELECT doc_id, sum(t - f) AS taken, sum((t - 1) // 1024 - f // 1024 + 1) AS slots, min(f // 1024) AS block FROM passes GROUP BY doc_id)
+SELECT p.doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(found.slots, 0) AS BIGINT) AS slots, CAST(slots.slot AS BIGINT) AS first_slot
+FROM p LEFT JOIN found ON p.doc_id = found.doc_id LEFT JOIN slots ON slots.no = p.no AND slots.block = found.block""",
     "op9_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),

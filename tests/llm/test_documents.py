@@ -171,6 +171,36 @@ def test_schedule_is_even(spark):
     assert all(abs(share[k + 1] - (k + 1) / 6) < 0.02 for k in range(3))
 
 
+def test_what_is_taken_comes_from_the_slots(spark):
+    """Without the schedule there is neither a slot nor an order."""
+    import itertools
+
+    rows = [(i, f"d{i} " + "w\n" * (20 + i % 90), "en", "abc"[i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    _, takes = mixing.mix(df, block=64)
+    takes = takes.collect()
+    assert len({r["slot"] for r in takes}) == len({(r["slot"], r["source_no"]) for r in takes})  # a slot is one source's
+    own = {r["doc_id"]: r for r in mixing.taken(df, block=64).collect()}
+    assert sum(r["slots"] for r in own.values()) == len(takes) and sum(r["taken"] for r in own.values()) == sum(r["words_to"] - r["words_from"] for r in takes)
+    assert min(r["first_slot"] for r in own.values() if r["taken"]) == min(r["slot"] for r in takes)
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in own.values())
+    parts = mixing.mixed(df, partition_words=1 << 11, block=64).rdd.glom().collect()
+    assert len(parts) > 3
+    seen = set()
+    slots = [own[r["doc_id"]]["first_slot"] for r in itertools.chain(*parts) if not (r["doc_id"] in seen or seen.add(r["doc_id"]))]
+    assert slots == sorted(slots)
+    half = Counter(r["source"] for r in itertools.chain(*parts[: len(parts) // 2]) for _ in word_list(r["text"]))
+    total = sum(half.values())
+    assert all(abs(half[s] / total - k / 6) < 0.1 for k, s in enumerate("abc", 1))
+
+
+def test_a_cut_document_keeps_its_lines(spark):
+    text = "\n\tone  two\r\nthree\n\nfour five "
+    df = spark.createDataFrame([(1, text, "en", "s"), (2, "x", "en", "t")], DOCS).withColumn("k", langid.F.explode(langid.F.sequence(langid.F.lit(0), langid.F.lit(6))))
+    got = {r[0]: r[1] for r in df.where("doc_id = 1").select("k", mixing.first_words(langid.F.col("text"), langid.F.col("k"))).collect()}
+    assert got == {0: "", 1: "\n\tone", 2: "\n\tone  two", 3: "\n\tone  two\r\nthree", 4: "\n\tone  two\r\nthree\n\nfour", 5: "\n\tone  two\r\nthree\n\nfour five", 6: text}
+
+
 # Packing
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -81,7 +82,7 @@ def brute_until_mixed(rows, batch):
             for _, d, t in own:
                 w = word_list(t)
                 if quota > 0 and w:
-                    out.append((d, t if quota >= len(w) else " ".join(w[:quota])))
+                    out.append((d, t if quota >= len(w) else re.match(rf"(?:[{SPACE}]*[^{SPACE}]+){{{quota}}}", t)[0]))
                     quota -= len(w)
     return sorted(out)
 
