@@ -77,6 +77,15 @@ def test_lines_keep_one(spark):
     assert sum("same" in r["kept_text"] for r in got) == 1
 
 
+def test_lines_keep_one_of_rows_that_share_an_id(spark):
+    rows = [(7 if i % 2 else None, f"same\nown {i}", "en", "a") for i in range(12)] + [(None, "Same ", "en", "b"), (None, "same", "en", "b")]
+    got = lines.drop_repeated_lines(spark.createDataFrame(rows, DOCS), 10, keep_first=True, batches=1).collect()
+    keeps = [r for r in got if "same" in r["kept_text"].lower()]
+    assert len(got) == len(rows) and len(keeps) == 1 and keeps[0]["doc_id"] == 7
+    rows = [(None, f"same\nown {i}", "en", "a") for i in range(12)]
+    assert sum("same" in r["kept_text"] for r in lines.drop_repeated_lines(spark.createDataFrame(rows, DOCS), 10, keep_first=True).collect()) == 1
+
+
 def test_lines_of_nothing_and_clashing_columns(spark):
     assert lines.drop_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
     df = spark.createDataFrame([(1, "a", 5, "k")], "doc_id long, text string, n_lines int, kept_text string")

@@ -51,8 +51,8 @@ def brute_until_mixed(rows, batch):
     first = {}
     for k, ds in holders.items():
         if len(ds) >= 10:
-            early = [d for d in ds if batch[d] == 0]
-            first[k] = min(early) if len(early) >= 10 else min(ds)
+            early, middle = ([d for d in ds if batch[d] < n] for n in (1, 2))
+            first[k] = min(early if len(early) >= 10 else middle if len(middle) >= 10 else ds)
     docs = []
     for d, t, lang, source, _ in kept:
         lines = t.split("\n")
@@ -92,7 +92,7 @@ def ran(spark, tmp_path_factory):
     sf = str(tmp_path_factory.mktemp("sf"))
     rows = corpus()
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{sf}/documents.parquet")
-    batch = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2))).collect()}
+    batch = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(3))).collect()}
     docs, texts = spark.read.parquet(f"{sf}/documents.parquet"), []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, sf).write.parquet(f"{sf}/stage{i}")
