@@ -28,7 +28,8 @@ _BOS, _EOS, _USER, _USER_END, _ROLE, _ROLE_END = range(len(CONTROLS))
 _BARE = "|".join(re.escape(c[1:]) for c in CONTROLS)
 _LIVE = re.compile(rf"([<\[])(\\*)(?={_BARE})")
 _ESCAPED = re.compile(rf"([<\[])\\(\\*)(?={_BARE})")
-_LONGEST = 1 << 16  # code points that reach the tokenizer at once
+_LONG = 1 << 16  # code points: longer texts reach the tokenizer in stretches
+_BREAK = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")  # U+001C-U+001F are no white space to the tokenizer
 _FLUSH = 1 << 20  # ids in a batch
 _CHUNK = 1 << 12  # turns of one conversation that are counted together
 
@@ -55,11 +56,18 @@ class Segments:
         self.first_control = max(ranks.values()) + 1
 
     def encode(self, text: str) -> list[int]:
-        """Ids of the escaped text; a very long one is encoded in stretches, which decode to the same text."""
+        """Ids of the escaped text. A very long one is cut before white space that follows something else, where the vocabulary's pattern splits anyway, so its ids are those of the whole."""
         text = escape(text)
-        if len(text) <= _LONGEST:
+        if len(text) <= _LONG:
             return self.encoding.encode_ordinary(text)
-        return [x for k in range(0, len(text), _LONGEST) for x in self.encoding.encode_ordinary(text[k : k + _LONGEST])]
+        out: list[int] = []
+        at = 0
+        while at < len(text):
+            found = _BREAK.search(text, at + _LONG)
+            to = found.start() if found else len(text)
+            out += self.encoding.encode_ordinary(text[at:to])
+            at = to
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The escaped text."""

@@ -28,10 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that lost executors cost no recomputation upstream."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and kept in the shared folder, so that lost executors cost no recomputation upstream. The shuffle files that led to it go at once."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # select: a plan made under that setting
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -52,6 +52,13 @@ def test_nulls_ties_repeats_and_long_texts(spark):
     assert read_back(spark, rows) == expected(rows)
 
 
+@pytest.mark.parametrize("bit", ["lange Wörter, 12 it's\n\n\t x", "nospace", "\u00a0 \u2003é\r\n ", " ", "!\x1c? ", "don't  "])
+def test_ids_of_a_long_text_are_those_of_the_whole(bit):
+    vocab = chat.segments(VOCAB)
+    text = bit * (200_000 // len(bit))
+    assert len(text) > 2 * chat._LONG and vocab.encode(text) == vocab.encoding.encode_ordinary(chat.escape(text))
+
+
 def test_extra_columns_and_empty_table(spark):
     rows = [(1, 0, "user", "x", "ids", 3)]
     assert set(read_back(spark, rows, SCHEMA + ", ids string, start int")) == {1}
