@@ -4,8 +4,9 @@ Largest inner products become least distances: with M the largest norm, x turns
 query into (q, 0) / |q|. A table hashes a point to the cells, `width` wide, of a few Gaussian projections. A query visits
 the cells around the place where a neighbour of it is expected, in the order of their estimated success, until the
 chances of the cells visited add up to `success`. That place follows from the inner product with the neighbour, and the
-query's own nearest in a sample tell what that is: a query in a crowd visits few cells and one by itself many. The rows
-of a bucket are dealt into blocks of bounded size, as are the queries that visit it; a pair of blocks is one matrix
+query's own nearest in a sample tell what that is: a query in a crowd visits few cells and one by itself many. How many
+projections a table has is fitted to the number of rows and their spread: as many as make queries of the sample compare and
+visit least. The rows of a bucket are dealt into blocks of bounded size, as are the queries that visit it; a pair of blocks is one matrix
 product that leaves each query's nearest, scored by inner products of the original vectors. Queries that found fewer than
 k rows, though there are more, are compared with all.
 """
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import checkpointed
-from .vectors import matrix, usable
+from .vectors import matrix, unit, usable
 
 SAMPLE = 8192  # rows that the index is fitted on: those with the least hashes
-_REACH = 2  # cells on either side of the expected one
+_TRIED = 64  # of these, queries that the number of projections is chosen by
+_VISIT = 64  # a cell costs a query as much as so many rows
+_MISSED = 1e-4  # chance, a projection, that cells out of reach may have
 
 
 class Hashes:
@@ -36,34 +39,34 @@ class Hashes:
     and a normal deviate of sqrt(1 - c^2).
     """
 
-    def __init__(self, width: int, largest: float, tables: int, projections: int, cell: float, seed: int):
+    def __init__(self, width: int, peak: float, largest: float, tables: int, projections: int, cell: float, seed: int):
+        """peak: the largest component's size, which all are divided by before they are squared; largest: the largest length, so divided."""
         rng = np.random.default_rng(seed)
         self.axes = rng.normal(size=(width + 1, tables, projections))
         self.shift = rng.uniform(0, cell, (tables, projections))
-        self.largest, self.cell, self.tables = largest, cell, tables
+        self.peak, self.largest, self.cell, self.tables = peak, largest, cell, tables
         self.sample, self.ids, self.nearest = np.zeros((0, width)), np.zeros(0, np.int64), 1
 
+    def _shrunk(self, x: np.ndarray) -> np.ndarray:
+        """Vectors of length 1 at most, in proportion."""
+        return x / self.peak / self.largest
+
     def projected(self, x: np.ndarray, query: bool) -> np.ndarray:
         """(row, table, projection)."""
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
-        if query:
-            x, last = x / norm, np.zeros_like(norm)
-        else:
-            last = np.sqrt(np.maximum(0, 1 - (norm / self.largest) ** 2))
-            x = x / self.largest
+        x = unit(x) if query else self._shrunk(x)
+        last = np.zeros((len(x), 1)) if query else np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))
         return np.tensordot(np.hstack([x, last]), self.axes, 1)
 
     def fit(self, x: np.ndarray, ids: np.ndarray, nearest: int) -> None:
         """x: vectors of different ids, of which so many are a query's nearest."""
-        self.sample, self.ids, self.nearest = x, ids, max(1, min(nearest, len(x) - 1))
+        self.sample, self.ids, self.nearest = self._shrunk(x), ids, max(1, min(nearest, len(x) - 1))
 
     def closeness(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """(row, level): inner products that neighbours of the queries x may have: a copy's, and those of the first, middle and last of its nearest in the sample."""
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
-        copy = norm / self.largest
+        copy = np.sqrt((self._shrunk(x) ** 2).sum(1, keepdims=True))
         if len(self.sample) < 2:
             return np.clip(copy, -1, 1)
-        s = (x / norm) @ self.sample.T / self.largest
+        s = unit(x) @ self.sample.T
         s[ids[:, None] == self.ids[None]] = -np.inf
         top = -np.sort(-np.partition(s, s.shape[1] - self.nearest, 1)[:, -self.nearest :], 1)
         return np.clip(np.hstack([copy, top[:, [0, (self.nearest - 1) // 2, self.nearest - 1]]]), -1, 1)
@@ -74,15 +77,21 @@ class Hashes:
 
     def probes(self, x: np.ndarray, ids: np.ndarray, success: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(table, row, cell) of the cells that the queries x visit: the likeliest first, until at each level of closeness their chances add up to `success`."""
-        moves = np.array(list(itertools.product(range(-_REACH, _REACH + 1), repeat=self.axes.shape[2])))
         close = self.closeness(x, ids)[:, :, None]
         spread = np.maximum(0.05, np.sqrt(1 - close**2))[:, :, :, None]
+        normal = np.vectorize(math.erf, otypes=[float])
         for t in range(self.tables):
             at = close * self.projected(x, True)[:, None, t] + self.shift[t]  # (row, level, projection)
             home = np.floor((at.min(1) + at.max(1)) / 2 / self.cell).astype(np.int64)
-            edge = (home[:, None, :, None] + np.arange(-_REACH, _REACH + 2)) * self.cell - at[:, :, :, None]
-            below = 0.5 + 0.5 * np.vectorize(math.erf, otypes=[float])(edge / (spread * math.sqrt(2)))
+            reach = 1
+            while True:  # as many cells on either side as it takes to have nearly all of every level's chances
+                edge = (home[:, None, :, None] + np.arange(-reach, reach + 2)) * self.cell - at[:, :, :, None]
+                below = 0.5 + 0.5 * normal(edge / (spread * math.sqrt(2)))
+                if len(at) == 0 or 1 - (below[..., -1] - below[..., 0]).min() <= _MISSED:
+                    break
+                reach += 1
             chance = np.diff(below, axis=3)  # (row, level, projection, move)
+            moves = np.array(list(itertools.product(range(-reach, reach + 1), repeat=self.axes.shape[2])))
             total = np.ones((*at.shape[:2], 1))
             for k in range(home.shape[1]):
                 total = (total[:, :, :, None] * chance[:, :, k, None, :]).reshape(*at.shape[:2], -1)
@@ -98,8 +107,12 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
     s[qid[:, None] == xid[None]] = -np.inf
     if len(x) > k:
         least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
-        slack = 1e-9 * np.sqrt((q * q).sum(1) * max(1e-300, float((x * x).sum(1).max())))
-        i, j = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+        peaks = [np.maximum(np.abs(v).max(1), 5e-324) for v in (q, x)]
+        qn, xn = (p * np.sqrt(((v / p[:, None]) ** 2).sum(1)) for v, p in zip((q, x), peaks, strict=True))
+        with np.errstate(over="ignore", invalid="ignore"):
+            enough = least - 1e-9 * qn * xn.max()
+        enough[~np.isfinite(enough)] = -np.inf
+        i, j = np.nonzero((s >= enough[:, None]) & (s > -np.inf))
     else:
         i, j = np.nonzero(s > -np.inf)
     score = np.concatenate([np.zeros(0), *((q[i[a : a + 65536]] * x[j[a : a + 65536]]).sum(1) for a in range(0, len(i), 65536))])
@@ -109,21 +122,35 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
     return qid[i[rank < k]], xid[j[rank < k]], score[rank < k]
 
 
-def fit_hashes(rows: DataFrame, k: int, tables: int, projections: int, cell: float, seed: int = 7) -> Hashes | None:
+def fit_hashes(rows: DataFrame, k: int, tables: int, projections: tuple[int, ...], cell: float, success: float, seed: int = 7) -> Hashes | None:
     """Hashes for rows (vec_id, v) with a sample of at most SAMPLE of them; None if there are none."""
-    n, width, largest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    n, width, peak = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if not n:
         return None
-    out = Hashes(width, math.sqrt(largest), tables, projections, cell, seed)
+    largest = rows.agg(F.max(F.aggregate(F.transform("v", lambda x: x / F.lit(peak)), F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas().drop_duplicates("vec_id")
-    x = np.zeros((len(few), width))
+    x, ids = np.zeros((len(few), width)), few["vec_id"].to_numpy()
     for i, v in enumerate(few["v"]):
         x[i, : len(v)] = v
-    out.fit(x, few["vec_id"].to_numpy(), round(k * len(x) / n))
-    return out
+
+    def cost(h: Hashes) -> float:
+        """Rows that a query compares and cells that it visits, these as rows."""
+        q, total = x[:_TRIED], 0.0
+        for t, row, cells in h.probes(q, ids[:_TRIED], success):
+            own, size = np.unique(h.buckets(x)[:, t], axis=0, return_counts=True)
+            size_of = dict(zip(map(tuple, own.tolist()), size.tolist(), strict=True))
+            total += sum(size_of.get(c, 0) for c in map(tuple, cells.tolist())) * n / len(x) + len(row) * _VISIT
+        return total / len(q)
+
+    tried = []
+    for p in projections:
+        h = Hashes(width, peak, math.sqrt(largest), tables, p, cell, seed)
+        h.fit(x, ids, round(k * len(x) / n))
+        tried.append((cost(h) if len(projections) > 1 else 0.0, p, h))
+    return min(tried, key=lambda t: t[:2])[2]
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, projections: int = 5, cell: float = 2.0, success: float = 0.8, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, projections: tuple[int, ...] = (3, 4, 5, 6), cell: float = 2.0, success: float = 0.75, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row where the SQL condition is_query holds.
 
     vectors: vec_id and embedding; other columns are ignored. Nearest is the largest inner product in double precision,
@@ -134,7 +161,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    hashes = fit_hashes(rows, k, tables, projections, cell)
+    hashes = fit_hashes(rows, k, tables, projections, cell, success)
     if hashes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = hashes.axes.shape[0] - 1

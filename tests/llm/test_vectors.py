@@ -113,6 +113,68 @@ def test_search_on_odd_rows(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), "vec_id % 20 = 0").count() == 0
 
 
+def test_search_with_one_huge_component(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1000, 16)))]
+    rows[17][1][3] = 1e200
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), "vec_id % 20 = 0", k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = exact_nearest(rows, lambda q: q % 20 == 0, 5)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
+
+
+def share_compared(x, k=20):
+    """What part of the rows a query compares, repeats between tables counted, with hashes fitted as for these rows."""
+    import pandas as pd
+
+    class Rows:  # a fixed table in place of a DataFrame, for fit_hashes alone
+        def agg(self, *a):
+            return self
+
+        def first(self):
+            self.n = getattr(self, "n", 0) + 1
+            return (len(x), x.shape[1], np.abs(x).max()) if self.n == 1 else (((x / np.abs(x).max()) ** 2).sum(1).max(),)
+
+        def orderBy(self, *a):
+            return self
+
+        def limit(self, m):
+            return self
+
+        def toPandas(self):
+            return pd.DataFrame({"vec_id": np.arange(len(x)), "v": list(x)}).sample(min(ann.SAMPLE, len(x)), random_state=1)
+
+    h = ann.fit_hashes(Rows(), k, 2, (3, 4, 5, 6), 2.0, 0.75)
+    ids = np.arange(0, len(x), 20)
+    seen, compared = [set() for _ in ids], 0
+    cells = h.buckets(x)
+    for t, row, at in h.probes(x[ids], ids, 0.75):
+        there = {}
+        for i, c in enumerate(map(tuple, cells[:, t].tolist())):
+            there.setdefault(c, []).append(i)
+        for r, c in zip(row.tolist(), map(tuple, at.tolist())):
+            own = there.get(c, [])
+            compared += len(own)
+            seen[r].update(own)
+    hits = 0
+    for s, i in zip(seen, ids.tolist()):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits += len(s & set(np.argsort(-score)[:k].tolist()))
+    return compared / len(ids) / len(x), hits / k / len(ids)
+
+
+def test_share_compared():
+    """Where vectors lie in groups, a query compares a small part of them; where they are spread evenly in many dimensions, no more than two scans."""
+    rng = np.random.default_rng(4)
+    grouped = rng.normal(size=(100, 64))[np.arange(4000) % 100] + 0.1 * rng.normal(size=(4000, 64))
+    share, recall = share_compared(grouped / np.linalg.norm(grouped, axis=1)[:, None])
+    assert share < 0.4 and recall >= 0.9
+    share, recall = share_compared(rng.normal(size=(4000, 64)))
+    assert share < 2 and recall >= 0.9
+
+
 @pytest.mark.parametrize("n, k", [(1, 20), (5, 20), (15, 20), (15, 3)])
 def test_search_finds_all_of_a_few(spark, n, k):
     rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(0).normal(size=(n, 64)))]
