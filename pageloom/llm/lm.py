@@ -6,7 +6,7 @@ each document are exploded into the same partitions, joined with the counts ther
 blocks, a binary column for many bigrams. A partition is dealt into `salts` where even one bigram of every document
 would be too much for a task; the count table's part goes to each.
 
-An occurrence is no evidence for itself: a document's own occurrences of a bigram are taken out of the counts that
+The corpus that is counted is the one that is scored, where no bigram would ever be unknown. So an occurrence is no evidence for itself: a document's own occurrences of a bigram are taken out of the counts that
 score it. With c(ab) and m of them in the document, an occurrence of b after a scores (c(ab) - m) / (c(a) - m) if another
 document has the bigram, and else backs off to alpha * (c(b) - m) / (N - n), n tokens being in the document.
 """
@@ -105,13 +105,16 @@ def unigrams(table: DataFrame, base: int) -> np.ndarray:
     """How often each token occurs, and at the last place how many texts there are: sums of the bigram counts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(base, np.int64)
         for b in it:
-            for part, x, y in zip(*(b.column(c) for c in ("part", "codes", "counts")), strict=True):
+            for x, y in zip(b.column("codes"), b.column("counts"), strict=True):
                 codes, counts = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<i8")
-                total = np.zeros(base, np.int64)
                 np.add.at(total, codes % base, counts)
                 total[-1] += counts[codes // base == base - 1].sum()
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part.as_py()], pa.int64()), "slice": pa.array([0], pa.int32()), "data": pa.array([zipped(total)], pa.binary())})
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "slice": pa.array([0], pa.int32()), "data": pa.array([zipped(total)], pa.binary())})
 
     return merged_slices(checkpointed(table.mapInArrow(run, "part long, slice int, data binary")), "add", "<i8").get(0, np.zeros(base, np.int64))
 
@@ -126,25 +129,22 @@ def _widened(data: pa.Buffer, n: int) -> np.ndarray:
 
 
 def exploded(texts: DataFrame, tokenizer_path: str, bits: int, salts: int) -> DataFrame:
-    """(part, salt, keys, runs, codes, m): each document's distinct bigrams with how often it has them, in blocks by hash partition."""
+    """(part, salt, keys, runs, codes, m): each document's distinct bigrams with how often it has them, in blocks by hash partition and, within it, by hash of the document."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        salt = TaskContext.get().partitionId() % salts
         for keys, runs, codes, _ in _flushes(it, tokenizer_path):
             doc = np.repeat(np.arange(len(keys), dtype=np.uint64), runs)
             pair = np.sort((doc << np.uint64(32)) | codes.astype(np.uint64))
             first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
             m = np.diff(np.append(first, len(pair)))
             doc, code = (pair[first] >> np.uint64(32)).astype(np.int64), pair[first].astype(np.uint32)
-            part = _part_of(code, bits)
-            order = np.argsort(part, kind="stable")
-            cut = np.append(np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1)), len(order))
+            place = _part_of(code, bits).astype(np.int64) * salts + keys[doc] % salts
+            order = np.argsort(place, kind="stable")
+            cut = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(order))
             for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 at = order[a:z]
                 begin = np.flatnonzero(np.diff(doc[at], prepend=-1))
-                row = (int(part[at[0]]), salt, keys[doc[at][begin]].tobytes(), _narrow(np.diff(np.append(begin, len(at)))), code[at].tobytes(), _narrow(m[at]))
+                row = (*divmod(int(place[at[0]]), salts), keys[doc[at][begin]].tobytes(), _narrow(np.diff(np.append(begin, len(at)))), code[at].tobytes(), _narrow(m[at]))
                 types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "salt", "keys", "runs", "codes", "m"])
 
@@ -183,13 +183,14 @@ def _totals(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
-def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, n_tokens, log2_score, bits_per_token of every row of docs (doc_id, text; other columns are ignored).
+def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA, part: int = _PART, leave_out: bool = True) -> DataFrame:
+    """doc_id, n_tokens, score, log2_sum of every row of docs (doc_id, text; other columns are ignored).
 
-    log2_score is the sum of the logarithms of the scores of all tokens of the whole text, the first one after a start of
-    text; bits_per_token is its negative mean. A token that no count is left for counts a half. A null or empty text
-    has no tokens, log2_score 0 and null bits. Rows equal in doc_id and text are one document that occurs more than once:
-    each gets the same score, and the others are evidence for it.
+    log2_sum is the sum of the logarithms of the scores of all tokens of the whole text, the first one after a start of
+    text; score is its mean, which compares texts of different lengths. A token that no count is left for counts a half. A null or empty text
+    has no tokens, log2_sum 0 and null score. Rows equal in doc_id and text are one document that occurs more than once:
+    each gets the same score, and the others are evidence for it. leave_out=False keeps a document's own occurrences in
+    the counts, so that no bigram backs off. part: bigrams of documents that a task joins at once, about.
     """
     spark = docs.sparkSession
     base = encoder(tokenizer_path, special_as_text=True).tokenizer.get_vocab_size() + 1
@@ -199,16 +200,16 @@ def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -
     docs = docs.select("doc_id", "text")
     texts = docs.select(row_key(docs).alias("key"), "text")
     rows, octets = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    bits = min(22, max(2, math.ceil(math.log2(max(1, (octets or 0) / 3 / _PART)))))
-    salts = -(-max(rows, 1) // _PART)
+    bits = min(22, max(2, math.ceil(math.log2(max(1, (octets or 0) / 3 / part)))))
+    salts = -(-max(rows, 1) // part)
     table = checkpointed(count_table(texts, tokenizer_path, bits))
     single = unigrams(table, base)
-    if not len(single):
-        single = np.zeros(base, np.int64)
     total = int(single[:-1].sum())
     shared = spark.sparkContext.broadcast(single)  # base numbers, whatever the corpus
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # no document of this salt has one of these bigrams
+            return pa.table({f.split()[0]: pa.array([], pa.int32() if f.endswith("int") else pa.binary()) for f in PACKED.split(", ")})
         one = shared.value
         known, counts = (np.frombuffer(right.column(c)[0].as_buffer(), k) for c, k in (("codes", "<u4"), ("counts", "<i8")))
         every, sums = [], []
@@ -216,9 +217,10 @@ def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -
             keys, codes = (np.frombuffer(left.column(c)[i].as_buffer(), k) for c, k in (("keys", "<i8"), ("codes", "<u4")))
             runs, m = (_widened(left.column(c)[i].as_buffer(), len(x)) for c, x in (("runs", keys), ("m", codes)))
             a, b = np.divmod(codes, np.uint32(base))
-            rest = counts[np.searchsorted(known, codes)] - m
+            own = m if leave_out else 0
+            rest = counts[np.searchsorted(known, codes)] - own
             seen = rest > 0
-            ratio = np.where(seen, rest, np.maximum(one[b] - m, 0.5) * alpha) / np.where(seen, np.maximum(one[a] - m, 1), 1)
+            ratio = np.where(seen, rest, np.maximum(one[b] - own, 0.5) * alpha) / np.where(seen, np.maximum(one[a] - own, 1), 1)
             score = np.rint(np.log2(ratio) * _ONE).astype(np.int64) * m
             begin = np.cumsum(runs) - runs
             every.append(keys)
@@ -232,4 +234,4 @@ def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA) -
     out = docs.select("doc_id", row_key(docs).alias("key")).join(each, "key", "left")
     n = F.coalesce("tokens", F.lit(0))
     log2 = F.coalesce(F.col("score") - F.col("backoffs") * F.log2(F.greatest(F.lit(total) - F.col("tokens"), F.lit(1)).cast("double")), F.lit(0.0))
-    return out.select("doc_id", n.alias("n_tokens"), log2.alias("log2_score"), F.when(n > 0, -log2 / n).alias("bits_per_token"))
+    return out.select("doc_id", n.alias("n_tokens"), F.when(n > 0, log2 / n).alias("score"), log2.alias("log2_sum"))

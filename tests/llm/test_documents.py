@@ -140,6 +140,37 @@ def test_jaccard(spark):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, k, percent)
 
 
+def test_jaccard_of_a_template_and_of_long_sets(spark):
+    """Rows that share a template just below the threshold, a large group of near copies beside them, and sets that are cut into several blocks of columns."""
+    import random
+
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template + [f"own{i}x{j}" for j in range(rng.choice([9, 12, 13, 20]))]), "en", "a") for i in range(40)]
+    rows += [(100 + i, " ".join(template[:50] + [f"new{i}"] + template[50:]), "en", "a") for i in range(40)]
+    long = [f"l{i}" for i in range(21000)]
+    rows += [(200, " ".join(long), "en", "a"), (201, " ".join(long[:17000]), "en", "a"), (202, " ".join(long[:16700]), "en", "a"), (203, " ".join(long[300:]), "en", "a")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), 5, 80).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, 5, 80)
+
+
+@pytest.mark.parametrize("at_once", [0, 5, 1 << 20])
+def test_connected_components(spark, at_once):
+    import random
+
+    from pageloom.llm.common import connected_components
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(50)] + [(None, 3), (4, 4)]
+    comp = {}
+    for _ in range(60):
+        for a, b in edges:
+            if a is not None and a != b:
+                comp[a] = comp[b] = min(comp.get(a, a), comp.get(b, b))
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", at_once=at_once).collect()
+    assert {r["node"]: r["component"] for r in got} == comp and len(got) == len(comp)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     assert [tuple(r)[:3] for r in jaccard.jaccard_components(spark.createDataFrame([(3, None, None, None)], DOCS)).collect()] == [(3, 0, 3)]
@@ -347,20 +378,43 @@ def test_stupid_backoff(spark):
     assert len(got) == len(rows)
     for r in got:
         n, s = by_id[r["doc_id"]]
-        assert r["n_tokens"] == n and abs(r["log2_score"] - s) < 1e-4 * max(1, n)
-        assert (r["bits_per_token"] is None) == (n == 0)
+        assert r["n_tokens"] == n and abs(r["log2_sum"] - s) < 1e-4 * max(1, n)
+        assert (r["score"] is None) == (n == 0)
+
+
+@pytest.mark.parametrize("part", [1, 7, 1000])
+def test_stupid_backoff_with_salts(spark, part):
+    """One input partition, and more salts than documents that meet in most of the hash partitions."""
+    rows = [r for r in ODD if r[0] != 7] + [(50 + i, f"one line of {i} words and one line more", "en", "a") for i in range(20)]
+    by_id = {d: v for (d, _), v in brute_scores(rows).items()}
+    for r in lm.stupid_backoff(spark.createDataFrame(rows, DOCS).coalesce(1), WORD_BPE, part=part).collect():
+        n, s = by_id[r["doc_id"]]
+        assert r["n_tokens"] == n and abs(r["log2_sum"] - s) < 1e-4 * max(1, n)
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    import random
+
+    rng = random.Random(1)
+    vocab = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(30, 200))) for _ in range(120)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts + texts[:6])]
+    got = {r["doc_id"]: r["score"] for r in lm.stupid_backoff(spark.createDataFrame(rows, DOCS), WORD_BPE).collect()}
+    assert min(got[i] for i in [*range(6), *range(120, 126)]) > max(got[i] for i in range(6, 120))
+    plain = {r["doc_id"]: r["score"] for r in lm.stupid_backoff(spark.createDataFrame(rows, DOCS), WORD_BPE, leave_out=False).collect()}
+    assert all(plain[i] >= got[i] for i in got)
 
 
 def test_stupid_backoff_of_nothing(spark):
     assert lm.stupid_backoff(spark.createDataFrame([], DOCS), WORD_BPE).count() == 0
-    assert tuple(lm.stupid_backoff(spark.createDataFrame([(1, None, None, None)], DOCS), WORD_BPE).first()) == (1, 0, 0.0, None)
+    assert tuple(lm.stupid_backoff(spark.createDataFrame([(1, None, None, None)], DOCS), WORD_BPE).first()) == (1, 0, None, 0.0)
 
 
 def test_stupid_backoff_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     by_id = {d: v for (d, _), v in brute_scores(rows).items()}
     got = QUERIES["op7_lm_scoring"](spark, sf_dir).collect()
-    assert all(r["n_tokens"] == by_id[r["doc_id"]][0] and abs(r["log2_score"] - by_id[r["doc_id"]][1]) < 1e-4 * max(1, r["n_tokens"]) for r in got) and len(got) == len(rows)
+    assert all(r["n_tokens"] == by_id[r["doc_id"]][0] and abs(r["log2_sum"] - by_id[r["doc_id"]][1]) < 1e-4 * max(1, r["n_tokens"]) for r in got) and len(got) == len(rows)
 
 
 # Token counts
