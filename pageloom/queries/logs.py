@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history as H
+from ..sources import files
 from .tables import Registry, table
 
 query = Registry()
@@ -54,7 +55,22 @@ def edit_actions(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("page_id"), F.col("event_id").alias("seq"), action.alias("action"), F.when(action.isin("commit", "delete"), snapshot).alias("snapshot"))
 
 
-@query()
+#: A fold of actions in order, as recursion: h are a page's snapshots and c is the cursor, from 1; at most 5 are kept.
+SQL_UNDO_REDO = """
+WITH RECURSIVE a AS (
+  SELECT user_id AS page_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, '[' || event_id % 3 || ']' AS snapshot,
+    CASE event_type WHEN 'view' THEN 'undo' WHEN 'error' THEN 'redo' WHEN 'signup' THEN 'delete' ELSE 'commit' END AS action FROM events WHERE user_id IS NOT NULL),
+s(page_id, n, seq, h, c) AS (
+  SELECT DISTINCT page_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), ['[]'], CAST(1 AS BIGINT) FROM a
+  UNION ALL
+  SELECT page_id, n, seq, CASE WHEN takes THEN kept[greatest(1, len(kept) - 4):] ELSE h END,
+    CASE WHEN action = 'undo' THEN greatest(1, c - 1) WHEN action = 'redo' THEN least(len(h), c + 1) WHEN takes THEN least(c + 1, 5) ELSE c END
+  FROM (SELECT s.page_id, a.n, a.seq, s.h, s.c, a.action, list_append(s.h[1:s.c], a.snapshot) AS kept, a.action = 'delete' OR (a.action = 'commit' AND s.h[s.c] <> a.snapshot) AS takes
+    FROM s JOIN a ON a.page_id = s.page_id AND a.n = s.n + 1))
+SELECT page_id, seq, CAST(c - 1 AS INTEGER) AS cursor, CAST(len(h) AS INTEGER) AS depth, h[c] AS snapshot FROM s WHERE n > 0"""
+
+
+@query(SQL_UNDO_REDO)
 def undo_redo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.undo_redo(edit_actions(_events(spark, sf_dir)), keep=5)
 
@@ -72,3 +88,24 @@ o AS (SELECT *, lag(kind) OVER w AS k, lag(seq) OVER w AS s FROM r WINDOW w AS (
 SELECT token, seq, CASE WHEN k = 'offer' THEN 'f' || s END AS served FROM o WHERE kind = 'take'""")
 def download_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.single_use(download_requests(_events(spark, sf_dir))).where("kind = 'take'").select("token", "seq", "served")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 3 + 1 END AS entries, CASE WHEN event_id % 4 > 0 THEN 'f' || event_id || '.pdf' END AS filename, CASE WHEN event_id % 4 > 0 THEN event_id * 10 END AS size FROM events""")
+def history_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs as JSON; every fourth can't be read and is empty."""
+    k = F.col("event_id")
+    entry = F.concat(F.lit('{"id": "x", "filename": "f'), k.cast("string"), F.lit('.pdf", "action": "merge", "timestamp": 5, "size": '), (k * 10).cast("string"), F.lit("}"))
+    body = F.when(k % 4 == 0, "[{broken").otherwise(F.concat(F.lit("["), F.array_join(F.array_repeat(entry, (k % 3 + 1).cast("int")), ", "), F.lit("]")))
+    log = files.history_log(body)
+    return _events(spark, sf_dir).select("event_id", F.size(log).alias("entries"), F.get(log, 0)["filename"].alias("filename"), F.get(log, 0)["size"].alias("size"))
+
+
+@query("""
+SELECT 'progress' AS type, CAST(event_id % 50 AS INTEGER) AS page, 50 AS total, event_id % 50 * 2.0::DOUBLE AS percent, event_type AS message FROM events WHERE event_id % 3 = 0""")
+def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an event stream: events, comments and blank lines."""
+    k = F.col("event_id")
+    page = (k % 50).cast("string")
+    line = F.concat(F.lit('data: {"type": "progress", "page": '), page, F.lit(', "total": 50, "percent": '), (k % 50 * 2).cast("string"), F.lit(', "message": "'), F.col("event_type"), F.lit('"}'))
+    return files.progress_events(_events(spark, sf_dir).select(F.when(k % 3 == 0, line).when(k % 3 == 1, ": still here").otherwise("").alias("value")))

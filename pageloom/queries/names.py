@@ -71,10 +71,10 @@ def canvas_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'd' || event_id ELSE 'An unexpected error occurred' END AS message FROM events""")
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'd' || event_id ELSE 'something went wrong' END AS message FROM events""")
 def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr("CASE event_id % 4 WHEN 0 THEN concat('{\"message\": \"m', event_id, '\", \"detail\": \"x\"}') WHEN 1 THEN concat('{\"message\": \"\", \"detail\": \"d', event_id, '\"}') WHEN 2 THEN '{}' ELSE 'no json' END")
-    return table(spark, sf_dir, "events").select("event_id", N.error_message(body, F.lit("An unexpected error occurred")).alias("message"))
+    return table(spark, sf_dir, "events").select("event_id", N.error_message(body, F.lit("something went wrong")).alias("message"))
 
 
 @query("""
@@ -168,3 +168,30 @@ SELECT p_partkey, CASE WHEN o >= 5 THEN h ELSE w END AS w, CASE WHEN o >= 5 THEN
 def exif_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", G.upright(F.col("p_size"), (k % 40).cast("int"), k % 10).alias("u")).select("p_partkey", "u.*")
+
+
+_TITLE = "CASE p_partkey % 3 WHEN 0 THEN concat(p_type, ' / ', p_brand, '.pdf') WHEN 1 THEN '  ' END"
+_SQL_TITLED = _CLEAN.format(x="CASE WHEN lower(t) LIKE '%.pdf' THEN left(t, length(t) - 4) ELSE t END")
+_SQL_FIELD = "regexp_replace(regexp_replace(trim(raw), '[<>:\"/\\\\|?*]', '_', 'g'), '\\s+', '_', 'g')"
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, {_RAW} AS raw, {_TITLE} AS title FROM part), t AS (SELECT *, CASE WHEN trim(coalesce(title, '')) = '' THEN replace(raw, '.pdf', '') ELSE title END AS t FROM n)
+SELECT p_partkey, {_SQL_TITLED} || '.pdf' AS titled, {_SQL_FIELD} AS field, left({_SQL_FIELD}, 8) AS short_field FROM t""")
+def titled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("raw")
+    n = table(spark, sf_dir, "part").select("p_partkey", F.expr(_RAW).alias("raw"), F.expr(_TITLE).alias("title"))
+    return n.select("p_partkey", N.titled_name(F.col("title"), raw).alias("titled"), N.field_name(raw).alias("field"), N.field_name(raw, 8).alias("short_field"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS encrypted, CASE o_orderkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE o_orderstatus END AS password FROM orders),
+e AS (SELECT *, CASE WHEN trim(coalesce(password, '')) = '' THEN 'a password is needed' WHEN encrypted THEN 'already protected' END AS error FROM r)
+SELECT o_orderkey, error AS protect_error, CASE WHEN NOT encrypted THEN 'not protected' END AS remove_error,
+  CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed with 409' END AS message FROM e""")
+def protection_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    password = F.when(k % 4 == 0, " ").when(k % 4 > 1, F.col("o_orderstatus"))
+    error = C.protection_error(k % 3 == 0, password)
+    result = C.with_status(error, 409)
+    return table(spark, sf_dir, "orders").select("o_orderkey", error.alias("protect_error"), C.removal_error(k % 3 == 0).alias("remove_error"), result["status"].alias("status"), result["message"].alias("message"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.pages import page_counts
 from ..shared import shared_dir
 from ..streaming import state as S
-from .logs import download_requests, edit_actions
+from .logs import SQL_UNDO_REDO, download_requests, edit_actions
 from .tables import SQL_PAGES, Registry, conversation_pages, table
 
 query = Registry()
@@ -31,7 +31,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{to}/out")
 
 
-@query()
+@query(SQL_UNDO_REDO)
 def undo_redo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(S.undo_redo_stream(edit_actions(stream_of(spark, sf_dir, "events")), keep=5))
 

@@ -118,3 +118,32 @@ def test_erase_on_a_crowded_page_against_brute_force(spark):
 
 def test_history_log_of_garbage_is_empty(spark):
     assert spark.range(1).select(files.history_log(F.lit("nope")).alias("x")).first()["x"] == []
+
+
+def test_sinks(spark, tmp_path):
+    pages = spark.createDataFrame([("a.pdf", 1), ("a.pdf", 2), ("b", 1)], "output_name string, page_no int")
+    files.write_pages(pages, f"{tmp_path}/over")
+    files.write_pages(pages.where("page_no = 1"), f"{tmp_path}/over")
+    assert spark.read.parquet(f"{tmp_path}/over").count() == 2
+    for run in ("r1", "r2"):
+        files.write_new(pages, f"{tmp_path}/new", run)
+    assert spark.read.parquet(f"{tmp_path}/new").count() == 6 and len([x for x in (tmp_path / "new").iterdir() if "output_name=" in x.name]) == 4
+    names = [files.write_named(pages, f"{tmp_path}/if", "a.pdf", run) for run in ("r1", "r2", "r3")]
+    assert names[0] == "a.pdf" and len(set(names)) == 3 and all(x.endswith(".pdf") for x in names)
+    assert all(spark.read.parquet(f"{tmp_path}/if/{x}").count() == 3 for x in names)
+
+
+def test_debounced_stream_matches_batch(spark, tmp_path):
+    """A late event in a second file moves the watermark past every burst of the first."""
+    from pageloom.streaming.state import debounced
+
+    rows = [(k, f"2024-01-01 00:{m:02d}:{s:02d}", m * 60 + s) for k in (1, 2) for m in (0, 5, 9) for s in (1, 2, 30 + k)]
+    first = spark.createDataFrame(rows, "key long, ts string, value long").withColumn("ts", F.to_timestamp("ts"))
+    first.coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    last = spark.createDataFrame([(9, "2024-06-01 00:00:00", 0)], "key long, ts string, value long").withColumn("ts", F.to_timestamp("ts"))
+    last.coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    run = debounced(stream, gap="10 seconds").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+    run.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == sorted(map(tuple, debounced(first, gap="10 seconds").collect())) and len(got) == 12
