@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: language ID, line dedup, near dedup, mixing, packing.
 
 Each stage reads what its predecessor kept, as Parquet. Choices that the operators leave open: language ID rejects
-texts without a letter and those of which no language makes up two fifths; a line found in ten or more documents stays in
+texts without a letter and, from 32 bytes on, those of which no language makes up two fifths; a line found in ten or more documents stays in
 one of them; near copies share 80 % of their five-word shingles and one row stays, of the least doc_id; the mix repeats no
 document more than three times, and a document that a source's target cuts keeps its first words.
 """
@@ -20,9 +20,9 @@ from pageloom.llm.common import delete_shared, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is found."""
+    """Keeps documents whose language is found, or that are too short to tell one language from another."""
     model = langid.train(langid.training_rows(docs))
-    return langid.predict(docs, model).where("lang_pred <> 'und' and score >= 0.4").select(*docs.columns)
+    return langid.predict(docs, model).where("lang_pred <> 'und' and (score >= 0.4 or octet_length(text) < 32)").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ _CHUNK = 1 << 10  # blocks that are scanned together
 
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+|^/", "file:///", uri))
+    """The store and the path in it; Spark's names of stores are put as Arrow's. Other stores than local folders, s3, gs and hdfs aren't known to it."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+|^/", "file:///", uri)))
 
 
 def id_type(vocabulary: int) -> str:

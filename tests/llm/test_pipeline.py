@@ -26,7 +26,7 @@ def corpus():
     for i in range(70, 90):
         text = rows[rng.randrange(70)][1]
         rows.append([i, text.replace("the", "tha", 1) if i % 2 else text, "en", "b"])
-    rows += [[90, None, "en", "a"], [91, "", "en", "a"], [92, "12 34", "en", "a"], [93, "Subscribe now\nsubscribe NOW", "en", "a"]]
+    rows += [[90, None, "en", "a"], [91, "", "en", "a"], [92, "12 34", "en", "a"], [94, "thick", "en", "a"], [95, "Zwung", "de", "b"], [93, "Subscribe now\nsubscribe NOW", "en", "a"]]
     return [(*r, len(r[1]) if r[1] is not None else None) for r in rows]
 
 
@@ -40,7 +40,7 @@ def brute_until_mixed(rows, batch):
     for r in rows:
         if any(c.isalpha() for c in r[1] or ""):
             lang, score = brute_language(r[1], training)
-            if score >= 0.4:
+            if score >= 0.4 or len(r[1].encode()) < 32:
                 kept.append(r)
     # lines
     key = lambda x: lowered(x.strip(SPACE))
