@@ -29,6 +29,8 @@ from .vectors import matrix, unit, usable
 SAMPLE = 8192  # rows that the index is fitted on: those with the least hashes
 _TRIED = 64  # of these, queries that the number of projections is chosen by
 _VISIT = 64  # a cell costs a query as much as so many rows
+_HELD = 1 << 20  # chances that are held at once
+_ERF = np.vectorize(math.erf, otypes=[float])
 _MISSED = 1e-4  # chance, a projection, that cells out of reach may have
 
 
@@ -79,26 +81,28 @@ class Hashes:
         """(table, row, cell) of the cells that the queries x visit: the likeliest first, until at each level of closeness their chances add up to `success`."""
         close = self.closeness(x, ids)[:, :, None]
         spread = np.maximum(0.05, np.sqrt(1 - close**2))[:, :, :, None]
-        normal = np.vectorize(math.erf, otypes=[float])
         for t in range(self.tables):
             at = close * self.projected(x, True)[:, None, t] + self.shift[t]  # (row, level, projection)
             home = np.floor((at.min(1) + at.max(1)) / 2 / self.cell).astype(np.int64)
             reach = 1
             while True:  # as many cells on either side as it takes to have nearly all of every level's chances
                 edge = (home[:, None, :, None] + np.arange(-reach, reach + 2)) * self.cell - at[:, :, :, None]
-                below = 0.5 + 0.5 * normal(edge / (spread * math.sqrt(2)))
+                below = 0.5 + 0.5 * _ERF(edge / (spread * math.sqrt(2)))
                 if len(at) == 0 or 1 - (below[..., -1] - below[..., 0]).min() <= _MISSED:
                     break
                 reach += 1
             chance = np.diff(below, axis=3)  # (row, level, projection, move)
-            moves = np.array(list(itertools.product(range(-reach, reach + 1), repeat=self.axes.shape[2])))
-            total = np.ones((*at.shape[:2], 1))
-            for k in range(home.shape[1]):
-                total = (total[:, :, :, None] * chance[:, :, k, None, :]).reshape(*at.shape[:2], -1)
-            order = np.argsort(-total.mean(1), 1, kind="stable")
-            sorted_ = np.take_along_axis(total, order[:, None], 2)
-            row, place = np.nonzero(((np.cumsum(sorted_, 2) - sorted_) < success).any(1))
-            yield t, row, home[row] + moves[order[row, place]]
+            moves = np.array(list(itertools.product(range(-reach, reach + 1), repeat=home.shape[1])))
+            step = max(1, _HELD // (len(moves) * at.shape[1]))
+            for lo in range(0, len(at), step):
+                some = chance[lo : lo + step]
+                total = np.ones((*some.shape[:2], 1))
+                for k in range(home.shape[1]):
+                    total = (total[:, :, :, None] * some[:, :, k, None, :]).reshape(*some.shape[:2], -1)
+                order = np.argsort(-total.mean(1), 1, kind="stable")
+                sorted_ = np.take_along_axis(total, order[:, None], 2)
+                row, place = np.nonzero(((np.cumsum(sorted_, 2) - sorted_) < success).any(1))
+                yield t, row + lo, home[row + lo] + moves[order[row, place]]
 
 
 def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +154,7 @@ def fit_hashes(rows: DataFrame, k: int, tables: int, projections: tuple[int, ...
     return min(tried, key=lambda t: t[:2])[2]
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, projections: tuple[int, ...] = (3, 4, 5, 6), cell: float = 2.0, success: float = 0.75, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, projections: tuple[int, ...] = (3, 4, 5), cell: float = 2.0, success: float = 0.75, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row where the SQL condition is_query holds.
 
     vectors: vec_id and embedding; other columns are ignored. Nearest is the largest inner product in double precision,

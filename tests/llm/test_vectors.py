@@ -124,28 +124,10 @@ def test_search_with_one_huge_component(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
 
 
-def share_compared(x, k=20):
-    """What part of the rows a query compares, repeats between tables counted, with hashes fitted as for these rows."""
-    import pandas as pd
-
-    class Rows:  # a fixed table in place of a DataFrame, for fit_hashes alone
-        def agg(self, *a):
-            return self
-
-        def first(self):
-            self.n = getattr(self, "n", 0) + 1
-            return (len(x), x.shape[1], np.abs(x).max()) if self.n == 1 else (((x / np.abs(x).max()) ** 2).sum(1).max(),)
-
-        def orderBy(self, *a):
-            return self
-
-        def limit(self, m):
-            return self
-
-        def toPandas(self):
-            return pd.DataFrame({"vec_id": np.arange(len(x)), "v": list(x)}).sample(min(ann.SAMPLE, len(x)), random_state=1)
-
-    h = ann.fit_hashes(Rows(), k, 2, (3, 4, 5, 6), 2.0, 0.75)
+def share_compared(spark, x, k=20):
+    """What part of the rows a query compares, repeats between tables counted, and its recall, with hashes fitted to these rows."""
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    h = ann.fit_hashes(rows, k, 2, (3, 4, 5), 2.0, 0.75)
     ids = np.arange(0, len(x), 20)
     seen, compared = [set() for _ in ids], 0
     cells = h.buckets(x)
@@ -165,13 +147,13 @@ def share_compared(x, k=20):
     return compared / len(ids) / len(x), hits / k / len(ids)
 
 
-def test_share_compared():
+def test_share_compared(spark):
     """Where vectors lie in groups, a query compares a small part of them; where they are spread evenly in many dimensions, no more than two scans."""
     rng = np.random.default_rng(4)
     grouped = rng.normal(size=(100, 64))[np.arange(4000) % 100] + 0.1 * rng.normal(size=(4000, 64))
-    share, recall = share_compared(grouped / np.linalg.norm(grouped, axis=1)[:, None])
+    share, recall = share_compared(spark, grouped / np.linalg.norm(grouped, axis=1)[:, None])
     assert share < 0.4 and recall >= 0.9
-    share, recall = share_compared(rng.normal(size=(4000, 64)))
+    share, recall = share_compared(spark, rng.normal(size=(4000, 64)))
     assert share < 2 and recall >= 0.9
 
 
