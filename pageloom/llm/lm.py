@@ -1,22 +1,26 @@
-"""Stupid-backoff scores of all documents under counts of all documents, as joins of count tables with exploded n-grams.
+"""Stupid-backoff trigram scores of all documents under counts of all documents, as joins of count tables with exploded n-grams.
 
-Tokens are ids of a public vocabulary, so unigrams are a table of fixed size and a bigram is one 32-bit code. The
-bigrams of the corpus, counted per task first, make a count table that is partitioned by hash. The distinct bigrams of
-each document are exploded into the same partitions, joined with the counts there and summed per document. Rows travel in
-blocks, a binary column for many bigrams. A partition is dealt into `salts` where even one bigram of every document
+Tokens are 16-bit ids of a public vocabulary, so a trigram is one 48-bit code. Every token ends one trigram, the first ones
+after two starts of text. The trigrams of the corpus, counted per task first, make a count table partitioned by hash of
+their first two tokens, so that the counts of that context are there too. The distinct trigrams of each document are
+exploded into the same partitions, joined with the counts there and summed per document. Rows travel in blocks, a trigram once
+with the documents that have it. A partition is dealt into `salts` where even one trigram of every document
 would be too much for a task; the count table's part goes to each.
+Trigrams without evidence go on as rows, which Spark joins with the bigram counts and, at last, the unigram counts.
 
-The corpus that is counted is the one that is scored, where no bigram would ever be unknown. So an occurrence is no evidence for itself: a document's own occurrences of a bigram are taken out of the counts that
-score it. With c(ab) and m of them in the document, an occurrence of b after a scores (c(ab) - m) / (c(a) - m) if another
-document has the bigram, and else backs off to alpha * (c(b) - m) / (N - n), n tokens being in the document.
+The corpus that is counted is the one that is scored, where no trigram would ever be unknown. So a document is no evidence
+for itself: with C the counts of all other documents, c after a b scores C(abc) / C(ab), or if that is 0, alpha * C(bc) / C(b),
+or if that is 0, alpha^2 * C(c) / N.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +30,9 @@ from .tokens import encoder
 
 ALPHA = 0.4
 _FLUSH = 1 << 20  # tokens that a task gathers
-_KNOWN = 2 << 20  # bigrams that a task counts before it hands them over
-_PART = 6 << 20  # bigrams of documents in a partition, about
+_DOCS = 1 << 15  # documents that it gathers
+_KNOWN = 2 << 20  # trigrams that a task counts before it hands them over
+_PART = 6 << 20  # trigrams of documents in a partition, about
 _ONE = 1 << 20  # scores are summed as whole multiples of 1 / _ONE, so the order of the sum doesn't matter
 
 
@@ -36,166 +41,289 @@ def row_key(docs: DataFrame):
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def _flushes(it: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(keys, runs, codes, base): the documents' keys and numbers of bigrams, and the codes a * base + b in a row; base - 1 is the start of a text."""
+def _put(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, all in as few bytes as the largest needs, first bytes before second ones, compressed."""
+    top = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return zlib.compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), 1)
+
+
+def _got(data: pa.Scalar, n: int) -> np.ndarray:
+    """The n numbers that _put was given."""
+    raw = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8)
+    width = max(1, len(raw) // max(n, 1))
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _starts(*sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    n = len(sorted_[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_])
+    return np.flatnonzero(new)
+
+
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _flushes(it: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, runs, codes): the documents' keys and numbers of tokens, and the trigram a b c that ends at each token as a << 32 | b << 16 | c; the size of the vocabulary is the start of a text."""
     enc = encoder(tokenizer_path, special_as_text=True)
-    base = enc.tokenizer.get_vocab_size() + 1
+    start = np.uint64(enc.tokenizer.get_vocab_size())
     held: list[tuple] = []
-    size = 0
-    for b in it:
-        keys = b.column(0).to_numpy()
-        for lo, ids, counts in enc.encode(b.column(1)):
+    size = docs = 0
+    for batch in it:
+        keys = batch.column(0).to_numpy()
+        for lo, ids, counts in enc.encode(batch.column(1)):
             some = counts > 0
-            starts = (np.cumsum(counts) - counts)[some]
-            before = np.empty(len(ids), np.int64)
-            before[1:] = ids[:-1]
-            before[starts] = base - 1
-            held.append((keys[lo : lo + len(counts)][some], counts[some], (before * base + ids).astype(np.uint32)))
-            size += len(ids)
-            if size > _FLUSH:
-                yield *(np.concatenate(x) for x in zip(*held, strict=True)), base
-                held, size = [], 0
+            first = (np.cumsum(counts) - counts)[some]
+            c = ids.astype(np.uint64)
+            b, a = np.full(len(c), start), np.full(len(c), start)
+            b[1:] = c[:-1]
+            b[first] = start
+            a[1:] = b[:-1]
+            a[first] = start
+            held.append((keys[lo : lo + len(counts)][some], counts[some], a << np.uint64(32) | b << np.uint64(16) | c))
+            size, docs = size + len(c), docs + len(first)
+            if size > _FLUSH or docs > _DOCS:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size, docs = [], 0, 0
     if size:
-        yield *(np.concatenate(x) for x in zip(*held, strict=True)), base
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def _part_of(codes: np.ndarray, bits: int) -> np.ndarray:
-    return (codes * np.uint32(2654435761) >> np.uint32(32 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(codes), np.uint16)
+    """The hash partition of trigrams, by their first two tokens."""
+    return (((codes >> np.uint64(16)).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.diff(codes.astype(np.int64), prepend=-1))
+    first = _starts(codes)
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+COUNTS = "part int, n int, codes binary, counts binary"
+
+
+def _counts_batch(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    """Rows of part, sorted codes and their counts."""
+    cols = ([r[0] for r in rows], [len(r[1]) for r in rows], [_put(np.diff(r[1], prepend=np.uint64(0))) for r in rows], [_put(r[2]) for r in rows])
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(("part", "n", "codes", "counts"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+
+def _counts_of(codes: pa.Scalar, counts: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_got(codes, n)).astype(np.uint64), _got(counts, n)
+
+
 def count_table(texts: DataFrame, tokenizer_path: str, bits: int) -> DataFrame:
-    """(part, codes, counts) of all bigrams of texts (key, text), a row per hash partition."""
+    """(part, n, codes, counts) of all trigrams of texts (key, text), a row per hash partition."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             part = _part_of(codes, bits)
             order = np.argsort(part, kind="stable")
-            cut = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
+            cut = _starts(part[order])
             c, n = np.split(codes[order], cut[1:]), np.split(counts[order], cut[1:])
-            return pa.RecordBatch.from_arrays([pa.array(part[order][cut].astype(np.int32)), pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())], names=["part", "codes", "counts"])
+            yield from _counts_batch(list(zip(part[order][cut].tolist(), c, n, strict=True))).to_batches()
 
-        for _, _, new, _ in _flushes(it, tokenizer_path):
-            u, n = np.unique(new, return_counts=True)
-            codes, counts = _summed(np.concatenate([codes, u]), np.concatenate([counts, n]))
+        for _, _, new in _flushes(it, tokenizer_path):
+            new = np.sort(new)
+            first = _starts(new)
+            codes, counts = _summed(np.concatenate([codes, new[first]]), np.concatenate([counts, _sizes(first, len(new))]))
             if len(codes) > _KNOWN:
-                yield out()
+                yield from out()
                 codes, counts = codes[:0], counts[:0]
         if len(codes):
-            yield out()
+            yield from out()
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
-        codes, counts = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in t.column(c)]) for c, k in (("codes", "<u4"), ("counts", "<i8")))
-        codes, counts = _summed(codes, counts)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "codes": pa.array([codes.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        rows = [_counts_of(t.column("codes")[i], t.column("counts")[i], t.column("n")[i].as_py()) for i in range(t.num_rows)]
+        return _counts_batch([(key[0].as_py(), *_summed(*(np.concatenate(x) for x in zip(*rows, strict=True))))])
 
-    schema = "part int, codes binary, counts binary"
-    return texts.mapInArrow(run, schema).groupBy("part").applyInArrow(merge, schema)
+    return texts.mapInArrow(run, COUNTS).groupBy("part").applyInArrow(merge, COUNTS)
 
 
-def unigrams(table: DataFrame, base: int) -> np.ndarray:
-    """How often each token occurs, and at the last place how many texts there are: sums of the bigram counts."""
+def _tables(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in it:
+        for i in range(b.num_rows):
+            yield _counts_of(b.column("codes")[i], b.column("counts")[i], b.column("n")[i].as_py())
+
+
+def unigrams(table: DataFrame, base: int) -> pd.DataFrame:
+    """(token, n, followed): how often each token occurs, and how often one follows it; a row per token, the start of a text last."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(base, np.int64)
-        for b in it:
-            for x, y in zip(b.column("codes"), b.column("counts"), strict=True):
-                codes, counts = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<i8")
-                np.add.at(total, codes % base, counts)
-                total[-1] += counts[codes // base == base - 1].sum()
+        total = np.zeros(2 * base, np.int64)
+        for codes, counts in _tables(it):
+            for k, shift in enumerate((0, 16)):
+                token = (codes >> np.uint64(shift)).astype(np.int64) & 0xFFFF
+                total[k * base : (k + 1) * base] += np.bincount(token, counts, base).astype(np.int64)
         if total.any():
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "slice": pa.array([0], pa.int32()), "data": pa.array([zipped(total)], pa.binary())})
 
-    return merged_slices(checkpointed(table.mapInArrow(run, "part long, slice int, data binary")), "add", "<i8").get(0, np.zeros(base, np.int64))
+    total = merged_slices(checkpointed(table.mapInArrow(run, "part long, slice int, data binary")), "add", "<i8").get(0, np.zeros(2 * base, np.int64))
+    return pd.DataFrame({"token": np.arange(base), "n": total[:base], "followed": total[base:]})
+
+
+def bigrams(table: DataFrame) -> DataFrame:
+    """(code, n): the bigrams that end the trigrams of the count table."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, counts in _tables(it):
+            code, n = _summed(codes & np.uint64(0xFFFFFFFF), counts)
+            for at in range(0, len(code), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(code[at : at + (1 << 17)].view(np.int64)), pa.array(n[at : at + (1 << 17)])], names=["code", "n"])
 
-def _narrow(x: np.ndarray) -> bytes:
-    """The numbers, all in as few bytes each as the largest needs."""
-    return x.astype("<u1" if x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4").tobytes()
+    return table.select("n", "codes", "counts").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _widened(data: pa.Buffer, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data.size // n}").astype(np.int64)
+OWN = ("own_bigram", "own_context", "own_token")
 
 
 def exploded(texts: DataFrame, tokenizer_path: str, bits: int, salts: int) -> DataFrame:
-    """(part, salt, keys, runs, codes, m): each document's distinct bigrams with how often it has them, in blocks by hash partition and, within it, by hash of the document."""
+    """The distinct trigrams of each document, in blocks by hash partition and, within it, by hash of the document.
+
+    A block lists its documents' keys and n trigrams; for each trigram, how many documents have it; for each of these, which and how
+    often (m). A trigram that no other document of the block has may need to back off, so it comes with how often its document has its
+    last two tokens, the former of them followed by any, and its last token.
+    """
+    columns = ("keys", "codes", "docs", "which", "m", *OWN)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, runs, codes, _ in _flushes(it, tokenizer_path):
+        for keys, runs, codes in _flushes(it, tokenizer_path):
             doc = np.repeat(np.arange(len(keys), dtype=np.uint64), runs)
-            pair = np.sort((doc << np.uint64(32)) | codes.astype(np.uint64))
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            m = np.diff(np.append(first, len(pair)))
-            doc, code = (pair[first] >> np.uint64(32)).astype(np.int64), pair[first].astype(np.uint32)
-            place = _part_of(code, bits).astype(np.int64) * salts + keys[doc] % salts
+            low = np.uint64(16)
+            last = np.sort(doc << np.uint64(32) | codes & np.uint64(0xFFFFFFFF))
+            two = _starts(last)
+            two, n_two = last[two], _sizes(two, len(last))
+            one = _starts(two >> low)
+            context, n_context = two[one] >> low, np.add.reduceat(n_two, one)
+            last = np.sort(doc << low | codes & np.uint64(0xFFFF))
+            one = _starts(last)
+            token, n_token = last[one], _sizes(one, len(last))
+
+            pair = np.sort(codes << low | doc)  # documents are fewer than 2 ** 16
+            first = _starts(pair)
+            pair, m = pair[first], _sizes(first, len(pair))
+            place = _part_of(pair >> low, bits) * salts + keys[(pair & np.uint64(0xFFFF)).astype(np.int64)] % salts
             order = np.argsort(place, kind="stable")
-            cut = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(order))
-            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                at = order[a:z]
-                begin = np.flatnonzero(np.diff(doc[at], prepend=-1))
-                row = (*divmod(int(place[at[0]]), salts), keys[doc[at][begin]].tobytes(), _narrow(np.diff(np.append(begin, len(at)))), code[at].tobytes(), _narrow(m[at]))
-                types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "salt", "keys", "runs", "codes", "m"])
-
-    return texts.mapInArrow(run, "part int, salt int, keys binary, runs binary, codes binary, m binary")
-
-
-SUMS = ("tokens", "score", "backoffs", "copies")
-PACKED = "bucket int, keys binary, " + ", ".join(f"{c} binary" for c in SUMS)
-
-
-def _packed(keys: np.ndarray, sums: list[np.ndarray], bits: int) -> pa.Table:
-    """The documents' sums, in blocks by hash of the document; no more blocks than there are partitions."""
-    bucket = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+            place, pair, m = place[order], pair[order], m[order]
+            code, doc = pair >> low, (pair & np.uint64(0xFFFF)).astype(np.int64)
+            each = _starts(place, code)
+            docs = _sizes(each, len(code))
+            alone = each[docs == 1]
+            of, tail = doc[alone].astype(np.uint64), code[alone] & np.uint64(0xFFFFFFFF)
+            own = [
+                n_two[np.searchsorted(two, of << np.uint64(32) | tail)],
+                n_context[np.searchsorted(context, of << low | tail >> low)],
+                n_token[np.searchsorted(token, of << low | tail & np.uint64(0xFFFF))],
+            ]
+            cut = np.append(_starts(place), len(place))
+            each_cut, alone_cut = np.searchsorted(each, cut), np.searchsorted(alone, cut)
+            code = code[each]
+            for k, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                e, s = slice(each_cut[k], each_cut[k + 1]), slice(alone_cut[k], alone_cut[k + 1])
+                there, which = np.unique(doc[a:z], return_inverse=True)
+                data = [keys[there].tobytes(), _put(np.diff(code[e], prepend=np.uint64(0))), _put(docs[e]), _put(which), _put(m[a:z]), *[_put(x[s]) for x in own]]
+                ints = (*divmod(int(place[a]), salts), each_cut[k + 1] - each_cut[k])
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in ints], *[pa.array([x], pa.binary()) for x in data]], names=["part", "salt", "n", *columns])
+
+    return texts.mapInArrow(run, "part int, salt int, n int, " + ", ".join(f"{c} binary" for c in columns))
+
+
+SUMS = ("tokens", "cost", "copies")
+UNSEEN = ("code", "m", *OWN)
+JOINED = "bucket int, n int, keys binary, data array<binary>"
+
+
+def _joined(rows: list[tuple[int, np.ndarray, list[np.ndarray]]]) -> pa.Table:
+    cols = ([r[0] for r in rows], [len(r[1]) for r in rows], [r[1].tobytes() for r in rows], [[_put(x) for x in r[2]] for r in rows])
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(("bucket", "n", "keys", "data"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary())), strict=True)})
+
+
+def _scored(left: pa.Table, right: pa.Table, bits: int, start: int, leave_out: bool) -> pa.Table:
+    """Sums of each document over a partition's trigrams, in blocks by hash of the document, and in blocks of bucket -1 the trigrams that no other document has."""
+    codes, counts = _counts_of(right.column("codes")[0], right.column("counts")[0], right.column("n")[0].as_py())
+    first = _starts(codes >> np.uint64(16))
+    contexts, followed = codes[first] >> np.uint64(16), np.add.reduceat(counts, first)
+    empty = start << 16 | start
+    every, sums, unseen = [], [], []
+    for i in range(left.num_rows):
+        row = {c: left.column(c)[i] for c in left.column_names}
+        n, keys = row["n"].as_py(), np.frombuffer(row["keys"].as_buffer(), "<i8")
+        code, docs = np.cumsum(_got(row["codes"], n)).astype(np.uint64), _got(row["docs"], n)
+        which, m = (_got(row[c], int(docs.sum())) for c in ("which", "m"))
+        context = code >> np.uint64(16)
+        rest = np.repeat(counts[np.searchsorted(codes, code)], docs)
+        among = np.repeat(followed[np.searchsorted(contexts, context)], docs)
+        if leave_out:
+            pair = np.repeat(np.cumsum(np.diff(context, prepend=context[:1]) != 0), docs) * len(keys) + which
+            _, pair = np.unique(pair, return_inverse=True)
+            rest, among = rest - m, among - np.bincount(pair, m).astype(np.int64)[pair]
+        seen = rest > 0
+        cost = np.zeros(len(m))
+        cost[seen] = np.rint(np.log2(among[seen] / rest[seen]) * _ONE) * m[seen]
+        begins = np.repeat(context == empty, docs)
+        every.append(keys)
+        sums.append([np.bincount(which, x, len(keys)).astype(np.int64) for x in (m, cost, begins)])
+        if not seen.all():
+            gone = np.flatnonzero(~seen)
+            of = np.repeat(np.arange(n), docs)[gone]
+            alone = (np.cumsum(docs == 1) - 1)[of]
+            some = int((docs == 1).sum())
+            unseen.append((keys[which[gone]], (code[of] & np.uint64(0xFFFFFFFF)).astype(np.int64), m[gone], *[_got(row[c], some)[alone] for c in OWN]))
+    keys, at = np.unique(np.concatenate(every), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate(x), len(keys)).astype(np.int64) for x in zip(*sums, strict=True)]
+    bucket = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)  # no more blocks than there are partitions
     order = np.argsort(bucket, kind="stable")
-    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-    rows: list[tuple] = []
-    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        at = order[a:z]
-        tokens, score, backoffs, copies = (x[at] for x in sums)
-        rows.append((int(bucket[at[0]]), keys[at].tobytes(), _narrow(tokens), score.tobytes(), _narrow(backoffs), _narrow(copies)))
-    return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in zip(("bucket", "keys", *SUMS), zip(*rows, strict=True), strict=True)})
+    cut = np.append(_starts(bucket[order]), len(order)).tolist()
+    rows = [(int(bucket[order[a]]), keys[order[a:z]], [x[order[a:z]] for x in sums]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+    if unseen:
+        keys, *data = (np.concatenate(x) for x in zip(*unseen, strict=True))
+        rows += [(-1, keys[at : at + (1 << 16)], [x[at : at + (1 << 16)] for x in data]) for at in range(0, len(keys), 1 << 16)]
+    return _joined(rows)
 
 
 def _totals(key: tuple, t: pa.Table) -> pa.Table:
     """The sums of each document in a bucket, from all partitions."""
     keys, sums = [], []
     for i in range(t.num_rows):
-        k = np.frombuffer(t.column("keys")[i].as_buffer(), "<i8")
-        keys.append(k)
-        sums.append([np.frombuffer(t.column(c)[i].as_buffer(), "<i8") if c == "score" else _widened(t.column(c)[i].as_buffer(), len(k)) for c in SUMS])
+        n = t.column("n")[i].as_py()
+        keys.append(np.frombuffer(t.column("keys")[i].as_buffer(), "<i8"))
+        sums.append([_got(x, n) for x in t.column("data")[i]])
     own, at = np.unique(np.concatenate(keys), return_inverse=True)
-    out = {"key": own}
-    for c, x in zip(SUMS, zip(*sums, strict=True), strict=True):
-        out[c] = np.zeros(len(own), np.int64)
-        np.add.at(out[c], at, np.concatenate(x))
-    return pa.table(out)
+    return pa.table({"key": own} | {c: np.bincount(at, np.concatenate(x), len(own)).astype(np.int64) for c, x in zip(SUMS, zip(*sums, strict=True), strict=True)})
+
+
+def _unseen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for i in range(b.num_rows):
+            n = b.column("n")[i].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b.column("keys")[i].as_buffer(), "<i8")), *[pa.array(_got(x, n)) for x in b.column("data")[i]]], names=["key", *UNSEEN])
 
 
 def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA, part: int = _PART, leave_out: bool = True) -> DataFrame:
     """doc_id, n_tokens, score, log2_sum of every row of docs (doc_id, text; other columns are ignored).
 
-    log2_sum is the sum of the logarithms of the scores of all tokens of the whole text, the first one after a start of
+    log2_sum is the sum of the logarithms of the scores of all tokens of the whole text, the first one after two starts of
     text; score is its mean, which compares texts of different lengths. A token that no count is left for counts a half. A null or empty text
     has no tokens, log2_sum 0 and null score. Rows equal in doc_id and text are one document that occurs more than once:
     each gets the same score, and the others are evidence for it. leave_out=False keeps a document's own occurrences in
-    the counts, so that no bigram backs off. part: bigrams of documents that a task joins at once, about.
+    the counts, so that nothing backs off. part: trigrams of documents that a task joins at once, about.
+    The vocabulary must have fewer than 2 ** 16 tokens.
     """
     spark = docs.sparkSession
-    base = encoder(tokenizer_path, special_as_text=True).tokenizer.get_vocab_size() + 1
-    if base * base > 1 << 32:
-        raise ValueError("bigrams of this vocabulary don't fit 32 bits")
+    start = encoder(tokenizer_path, special_as_text=True).tokenizer.get_vocab_size()
+    if start >= 1 << 16:
+        raise ValueError("tokens of this vocabulary don't fit 16 bits")
     text_batches(spark)
     docs = docs.select("doc_id", "text")
     texts = docs.select(row_key(docs).alias("key"), "text")
@@ -203,35 +331,27 @@ def stupid_backoff(docs: DataFrame, tokenizer_path: str, alpha: float = ALPHA, p
     bits = min(22, max(2, math.ceil(math.log2(max(1, (octets or 0) / 3 / part)))))
     salts = -(-max(rows, 1) // part)
     table = checkpointed(count_table(texts, tokenizer_path, bits))
-    single = unigrams(table, base)
-    total = int(single[:-1].sum())
-    shared = spark.sparkContext.broadcast(single)  # base numbers, whatever the corpus
+    single = unigrams(table, start + 1)
+    total = int(single["n"].sum())
+    single = F.broadcast(spark.createDataFrame(single, "token long, n long, followed long"))  # a row per token, whatever the corpus
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:  # no document of this salt has one of these bigrams
-            return pa.table({f.split()[0]: pa.array([], pa.int32() if f.endswith("int") else pa.binary()) for f in PACKED.split(", ")})
-        one = shared.value
-        known, counts = (np.frombuffer(right.column(c)[0].as_buffer(), k) for c, k in (("codes", "<u4"), ("counts", "<i8")))
-        every, sums = [], []
-        for i in range(left.num_rows):
-            keys, codes = (np.frombuffer(left.column(c)[i].as_buffer(), k) for c, k in (("keys", "<i8"), ("codes", "<u4")))
-            runs, m = (_widened(left.column(c)[i].as_buffer(), len(x)) for c, x in (("runs", keys), ("m", codes)))
-            a, b = np.divmod(codes, np.uint32(base))
-            own = m if leave_out else 0
-            rest = counts[np.searchsorted(known, codes)] - own
-            seen = rest > 0
-            ratio = np.where(seen, rest, np.maximum(one[b] - own, 0.5) * alpha) / np.where(seen, np.maximum(one[a] - own, 1), 1)
-            score = np.rint(np.log2(ratio) * _ONE).astype(np.int64) * m
-            begin = np.cumsum(runs) - runs
-            every.append(keys)
-            sums.append([np.add.reduceat(x.astype(np.int64), begin) for x in (m, score, np.where(seen, 0, m), a == base - 1)])
-        return _packed(np.concatenate(every), [np.concatenate(x) for x in zip(*sums, strict=True)], bits)
+        return _scored(left, right, bits, start, leave_out) if left.num_rows else _joined([])  # no document of this salt has one of these trigrams
 
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    parts = exploded(texts, tokenizer_path, bits, salts).groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInArrow(join, PACKED)
-    sums = parts.groupBy("bucket").applyInArrow(_totals, "key long, " + ", ".join(f"{c} long" for c in SUMS))
-    each = sums.select("key", *[F.expr(f"{c} div copies").alias(c) for c in ("tokens", "backoffs")], (F.col("score") / F.col("copies") / _ONE).alias("score"))
+    parts = checkpointed(exploded(texts, tokenizer_path, bits, salts).groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInArrow(join, JOINED))
+    sums = parts.where("bucket >= 0").groupBy("bucket").applyInArrow(_totals, "key long, " + ", ".join(f"{c} long" for c in SUMS))
+
+    back = parts.where("bucket < 0").select("n", "keys", "data").mapInArrow(_unseen, "key long, " + ", ".join(f"{c} long" for c in UNSEEN))
+    back = back.join(bigrams(table), "code").select("*", F.shiftright("code", 16).alias("b"), F.col("code").bitwiseAND(0xFFFF).alias("c"), (F.col("n") - F.col("own_bigram")).alias("rest"))
+    back = back.join(single.select(F.col("token").alias("b"), "followed"), "b").join(single.select(F.col("token").alias("c"), F.col("n").alias("n_token")), "c")
+    known = F.col("rest") > 0
+    cost = F.when(known, F.log2((F.col("followed") - F.col("own_context")) / F.col("rest"))).otherwise(-F.log2(F.lit(alpha)) - F.log2(F.greatest(F.col("n_token") - F.col("own_token"), F.lit(0.5)))) - F.log2(F.lit(alpha))
+    more = back.groupBy("key").agg(F.sum(F.rint(cost * _ONE).cast("long") * F.col("m")).alias("more"), F.sum(F.when(known, 0).otherwise(F.col("m"))).alias("backoffs"))
+
+    each = sums.join(more, "key", "left").fillna(0, ["more", "backoffs"])
+    each = each.select("key", *[F.expr(f"{c} div copies").alias(c) for c in ("tokens", "backoffs")], (-(F.col("cost") + F.col("more")) / F.col("copies") / _ONE).alias("known"))
     out = docs.select("doc_id", row_key(docs).alias("key")).join(each, "key", "left")
     n = F.coalesce("tokens", F.lit(0))
-    log2 = F.coalesce(F.col("score") - F.col("backoffs") * F.log2(F.greatest(F.lit(total) - F.col("tokens"), F.lit(1)).cast("double")), F.lit(0.0))
+    log2 = F.coalesce(F.col("known") - F.col("backoffs") * F.log2(F.greatest(F.lit(total) - F.col("tokens"), F.lit(1)).cast("double")), F.lit(0.0))
     return out.select("doc_id", n.alias("n_tokens"), F.when(n > 0, log2 / n).alias("score"), log2.alias("log2_sum"))

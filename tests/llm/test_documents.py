@@ -351,21 +351,35 @@ def test_language_id_held_out_accuracy(spark):
 
 
 def brute_scores(rows, alpha=0.4):
+    """Each document under the counts of all others, by trigrams, bigrams and tokens."""
     ids = {(d, t): x.ids for (d, t, *_), x in zip(rows, tokenizer().encode_batch([r[1] or "" for r in rows], add_special_tokens=False))}
-    pairs, one, own = Counter(), Counter(), {}
+    grams = {k: [Counter(zip([-1, -1, *x], [-1, *x], x)), Counter(zip([-1, *x], x)), Counter(x)] for k, x in ids.items()}
+    all_of = [Counter(), Counter(), Counter()]
     for d, t, *_ in rows:
-        x = ids[d, t]
-        own[d, t] = Counter(zip([-1, *x[:-1]], x))
-        pairs.update(own[d, t])
-        one.update(x)
-        one[-1] += bool(x)
-    total = sum(n for k, n in one.items() if k >= 0)
+        for total, own in zip(all_of, grams[d, t]):
+            total.update(own)
+    followed = [Counter(), Counter()]
+    for total, order in zip(all_of, followed):
+        for g, n in total.items():
+            order[g[:-1]] += n
+    tokens = sum(all_of[2].values())
     out = {}
     for key, x in ids.items():
+        own = grams[key]
+        own_followed = [Counter(), Counter()]
+        for total, order in zip(own, own_followed):
+            for g, n in total.items():
+                order[g[:-1]] += n
         s = 0.0
-        for (a, b), m in own[key].items():
-            c = pairs[a, b] - m
-            s += m * math.log2(c / (one[a] - m) if c > 0 else alpha * max(one[b] - m, 0.5) / max(total - len(x), 1))
+        for (a, b, c), m in own[0].items():
+            three, two = all_of[0][a, b, c] - m, all_of[1][b, c] - own[1][b, c]
+            if three > 0:
+                p = three / (followed[0][a, b] - own_followed[0][a, b])
+            elif two > 0:
+                p = alpha * two / (followed[1][b,] - own_followed[1][b,])
+            else:
+                p = alpha * alpha * max(all_of[2][c] - own[2][c], 0.5) / max(tokens - len(x), 1)
+            s += m * math.log2(p)
         out[key] = (len(x), s)
     return out
 
