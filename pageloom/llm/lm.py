@@ -29,7 +29,7 @@ from .common import checkpointed, merged_slices, text_batches, zipped
 from .tokens import encoder
 
 ALPHA = 0.4
-_FLUSH = 1 << 20  # tokens that a task gathers
+_FLUSH = 3 << 18  # tokens that a task gathers before it takes them on
 _DOCS = 1 << 15  # documents that it gathers
 _KNOWN = 2 << 20  # trigrams that a task counts before it hands them over
 _PART = 6 << 20  # trigrams of documents in a partition, about
@@ -87,9 +87,12 @@ def _flushes(it: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[tupl
             a[first] = start
             held.append((keys[lo : lo + len(counts)][some], counts[some], a << np.uint64(32) | b << np.uint64(16) | c))
             size, docs = size + len(c), docs + len(first)
+            del a, b, c
             if size > _FLUSH or docs > _DOCS:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                full = tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held, size, docs = [], 0, 0
+                yield full
+                del full
     if size:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
@@ -197,35 +200,47 @@ def exploded(texts: DataFrame, tokenizer_path: str, bits: int, salts: int) -> Da
     """
     columns = ("keys", "codes", "docs", "which", "m", *OWN)
 
+    low, tail = np.uint64(16), np.uint64(0xFFFFFFFF)
+
+    def own_counts(doc: np.ndarray, codes: np.ndarray, asked: np.ndarray) -> list[np.ndarray]:
+        """OWN for each of the bigrams asked for, doc << 32 | b << 16 | c."""
+        by = np.argsort(asked)  # lookups in order touch memory in order
+        asked = asked[by]
+        last = np.sort(doc << np.uint64(32) | codes & tail)
+        first = _starts(last)
+        two, n = last[first], _sizes(first, len(last))
+        context = _starts(two >> low)
+        token = np.sort(doc << low | codes & np.uint64(0xFFFF))
+        first = _starts(token)
+        of = [(two, n, asked), (two[context] >> low, np.add.reduceat(n, context), asked >> low)]
+        of.append((token[first], _sizes(first, len(token)), asked >> np.uint64(32) << low | asked & np.uint64(0xFFFF)))
+        out = [np.empty(len(by), np.int32) for _ in of]
+        for x, (known, n, key) in zip(out, of, strict=True):
+            x[by] = n[np.searchsorted(known, key)]
+        return out
+
+    def postings(keys: np.ndarray, doc: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, code << 16 | doc, m), ordered by place, code and document."""
+        pair = np.sort(codes << low | doc)  # documents are fewer than 2 ** 16
+        first = _starts(pair)
+        m = _sizes(first, len(pair)).astype(np.int32)
+        pair = pair[first]
+        place = _part_of(pair >> low, bits) * salts + keys[(pair & np.uint64(0xFFFF)).astype(np.int64)] % salts
+        order = np.argsort(place, kind="stable")
+        return place[order], pair[order], m[order]
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, runs, codes in _flushes(it, tokenizer_path):
             doc = np.repeat(np.arange(len(keys), dtype=np.uint64), runs)
-            low = np.uint64(16)
-            last = np.sort(doc << np.uint64(32) | codes & np.uint64(0xFFFFFFFF))
-            two = _starts(last)
-            two, n_two = last[two], _sizes(two, len(last))
-            one = _starts(two >> low)
-            context, n_context = two[one] >> low, np.add.reduceat(n_two, one)
-            last = np.sort(doc << low | codes & np.uint64(0xFFFF))
-            one = _starts(last)
-            token, n_token = last[one], _sizes(one, len(last))
-
-            pair = np.sort(codes << low | doc)  # documents are fewer than 2 ** 16
-            first = _starts(pair)
-            pair, m = pair[first], _sizes(first, len(pair))
-            place = _part_of(pair >> low, bits) * salts + keys[(pair & np.uint64(0xFFFF)).astype(np.int64)] % salts
-            order = np.argsort(place, kind="stable")
-            place, pair, m = place[order], pair[order], m[order]
-            code, doc = pair >> low, (pair & np.uint64(0xFFFF)).astype(np.int64)
+            place, pair, m = postings(keys, doc, codes)
+            code = pair >> low
             each = _starts(place, code)
-            docs = _sizes(each, len(code))
+            docs = _sizes(each, len(code)).astype(np.int32)
             alone = each[docs == 1]
-            of, tail = doc[alone].astype(np.uint64), code[alone] & np.uint64(0xFFFFFFFF)
-            own = [
-                n_two[np.searchsorted(two, of << np.uint64(32) | tail)],
-                n_context[np.searchsorted(context, of << low | tail >> low)],
-                n_token[np.searchsorted(token, of << low | tail & np.uint64(0xFFFF))],
-            ]
+            own = own_counts(doc, codes, (pair[alone] & np.uint64(0xFFFF)) << np.uint64(32) | code[alone] & tail)
+            del codes
+            doc = (pair & np.uint64(0xFFFF)).astype(np.int32)
+            del pair
             cut = np.append(_starts(place), len(place))
             each_cut, alone_cut = np.searchsorted(each, cut), np.searchsorted(alone, cut)
             code = code[each]
