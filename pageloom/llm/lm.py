@@ -16,12 +16,12 @@ or if that is 0, alpha^2 * C(c) / N.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,8 @@ from .common import checkpointed, merged_slices, text_batches, zipped
 from .tokens import encoder
 
 ALPHA = 0.4
-_FLUSH = 3 << 18  # tokens that a task gathers before it takes them on
+_FLUSH = 1 << 19  # tokens that a task gathers before it takes them on
+_BYTES = 2 << 20  # of texts that are encoded at once
 _DOCS = 1 << 15  # documents that it gathers
 _KNOWN = 2 << 20  # trigrams that a task counts before it hands them over
 _PART = 6 << 20  # trigrams of documents in a partition, about
@@ -45,12 +46,12 @@ def _put(x: np.ndarray) -> bytes:
     """Numbers from 0 on, all in as few bytes as the largest needs, first bytes before second ones, compressed."""
     top = int(x.max()) if len(x) else 0
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return zlib.compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), 1)
 
 
 def _got(data: pa.Scalar, n: int) -> np.ndarray:
     """The n numbers that _put was given."""
-    raw = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8)
+    raw = np.frombuffer(zstandard.decompress(data.as_buffer()), np.uint8)
     width = max(1, len(raw) // max(n, 1))
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
@@ -76,7 +77,7 @@ def _flushes(it: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[tupl
     size = docs = 0
     for batch in it:
         keys = batch.column(0).to_numpy()
-        for lo, ids, counts in enc.encode(batch.column(1)):
+        for lo, ids, counts in enc.encode(batch.column(1), _BYTES):
             some = counts > 0
             first = (np.cumsum(counts) - counts)[some]
             c = ids.astype(np.uint64)

@@ -82,11 +82,12 @@ class WordEncoder:
         out: list = [None] * len(words)
         rest, merges = [], self.tokenizer.model.tokenize
         for i, w in enumerate(words):
-            if not self.plain(w):
+            if w.isascii() and w.isalpha():
+                out[i] = [t.id for t in merges(w.lower())]
+            elif not self.plain(w):
                 rest.append(i)
             elif w.isascii():
-                w = w.lower()
-                out[i] = [t.id for p in ((w,) if w.isalpha() else self.split(w)) for t in merges(p)]
+                out[i] = [t.id for p in self.split(w.lower()) for t in merges(p)]
             else:
                 w = unicodedata.normalize("NFC", w).lower()
                 out[i] = [t.id for p in self.split(w) for t in merges("".join([_SHOWN[x] for x in p.encode()]))]
@@ -94,10 +95,10 @@ class WordEncoder:
             out[i] = x.ids
         return out
 
-    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids in a row, number of ids of each text) for ranges of the texts; every text once, in order."""
+    def encode(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids in a row, number of ids of each text) for ranges of the texts, of about `most` bytes; every text once, in order."""
         data, offsets = text_buffer(texts)
-        for lo, hi in batches_by_bytes(offsets):
+        for lo, hi in batches_by_bytes(offsets, most):
             h, s, e, n = words_of(data, offsets[lo : hi + 1], lower=False)
             h[h == _EMPTY] = np.uint64(1)
             at = self._find(h)
