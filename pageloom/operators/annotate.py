@@ -151,10 +151,13 @@ def drawn(strokes: DataFrame) -> DataFrame:
 
     Pens and highlighters keep every point in order; lines the first and the last.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "px", "py")))
-    x = strokes.groupBy("page_id", "object_id", "type").agg(ordered.alias("_s"))
-    ends = F.when((F.col("type") == "line") & (F.size("_s") > 1), F.array(F.element_at("_s", 1), F.element_at("_s", -1))).otherwise(F.col("_s"))
-    return x.select("page_id", "object_id", "type", F.flatten(F.transform(ends, lambda p: F.array(p["px"], p["py"]))).alias("points"))
+    sample, line = F.struct("seq", "px", "py"), F.col("type").eqNullSafe("line")
+    free = F.collect_list(F.when(~line, sample))  # a line's samples are never gathered
+    ends = [f(F.when(line, sample)).alias(c) for f, c in ((F.min, "_from"), (F.max, "_to"))]
+    x = strokes.groupBy("page_id", "object_id", "type").agg(free.alias("_s"), *ends, F.count("*").alias("_n"))
+    two = F.when(F.col("_n") > 1, F.array("_from", "_to")).otherwise(F.array("_from"))
+    x = x.withColumn("_s", F.when(line, two).otherwise(F.array_sort("_s")))
+    return x.select("page_id", "object_id", "type", F.flatten(F.transform("_s", lambda p: F.array(p["px"], p["py"]))).alias("points"))
 
 
 def patched(objects: DataFrame, patches: DataFrame) -> DataFrame:

@@ -52,10 +52,22 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(S.progress_stream(pages, page_counts(conversation_pages(spark, sf_dir))))
 
 
-@query("""
+#: Bursts of events with gaps of less than three hours.
+SQL_BURSTS = """
 WITH e AS (SELECT user_id AS key, ts, event_id, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
 s AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 3 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts) AS burst FROM e)
-SELECT key, max(ts) AS ts, max_by(event_id, ts) AS value FROM s GROUP BY key, burst""")
+SELECT key, max(ts) AS ts, max_by(event_id, ts) AS value FROM s GROUP BY key, burst"""
+
+
+@query(SQL_BURSTS)
 def debounced_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("value"))
     return S.debounced(e, gap="3 hours")
+
+
+@query(f"""
+{SQL_BURSTS} HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM e)""")
+def debounced_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bursts that the watermark has passed when the input is read."""
+    e = stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("value"))
+    return drained(S.debounced(e, gap="3 hours", late="10 minutes"))

@@ -57,6 +57,8 @@ def progress_stream(pages: DataFrame, totals: DataFrame) -> DataFrame:
 
 def debounced(events: DataFrame, gap: str = "800 milliseconds", late: str = "10 minutes") -> DataFrame:
     """(key, ts, value): the last of each burst of events (key, ts, value) whose gaps are shorter than `gap`, by event time."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
-    return events.groupBy(F.session_window("ts", gap), "key").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value")).select("key", "ts", "value")
+    kind = events.schema["ts"].dataType
+    if events.isStreaming:  # watermarks need instants; a time without zone is one in the session's zone and comes back as it was
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    out = events.groupBy(F.session_window("ts", gap), "key").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+    return out.select("key", F.col("ts").cast(kind).alias("ts"), "value")
