@@ -29,6 +29,7 @@ from .words import mix, shingle_sets
 _SLOTS = 1 << 21  # counters of the sketch that orders columns; it changes speed, never results
 _SLICE = 1 << 15
 _COLUMNS = 4096  # members of a set that a block of columns has, about
+_HOT, _SALTS = 4096, 16  # a column with so small a part of all entries is hot, hence there are no more of them; its products are dealt over so many tasks
 PAIR = [f"{x}.{c} as {y}{x}" for x in "ab" for c, y in (("sig", ""), ("n", "n"), ("key", "k"))]
 _SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -209,6 +210,15 @@ def _classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataF
     met = _prefixes(docs, words, percent, rank, one_each).groupBy("g").agg(F.count("*").alias("rows"))
     shared = send(bitmap_of(met.where("rows > 1").select("g")))
     entries = checkpointed(_prefixes(docs, words, percent, rank, one_each, shared).groupBy("g", "sig", "n").agg(F.min("pos").alias("pos"), F.min("key").alias("key")))
+    total = entries.count()
+
+    def beside(rows: DataFrame, columns: DataFrame) -> DataFrame:
+        """rows with what `columns` (g, rows, ...) says of their column; hot columns, _HOT at most, come by broadcast, so none of them is one task."""
+        is_hot = F.col("rows") * _HOT >= F.lit(total)
+        few = columns.where(is_hot)
+        rest = rows.join(F.broadcast(few.select("g")), "g", "left_anti").join(columns.where(~is_hot), "g")
+        return rows.join(F.broadcast(few), "g").unionByName(rest).withColumn("hot", is_hot)
+
     near = lambda n, pos, m, q: (n - pos >= required(n, m, percent)) & (m - q >= required(n, m, percent))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -224,7 +234,7 @@ def _classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataF
     # In each column, every row against the one that comes first there: the least edited of a group of copies.
     of = lambda r="": F.struct(*[F.col(r + c).alias(c) for c in ("sig", "n", "key")])
     heads = entries.groupBy("g").agg(F.min(F.struct("pos", "n", "sig", "key")).alias("h"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = entries.join(heads, "g").where((F.col("sig") != F.col("h.sig")) & near(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
+    pairs = beside(entries, heads).where((F.col("sig") != F.col("h.sig")) & near(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
     pairs = pairs.select(F.greatest(of(), of("h.")).alias("a"), F.least(of(), of("h.")).alias("b")).selectExpr(*PAIR).distinct()
     pairs = checkpointed(pairs)
     links = linked(pairs)
@@ -232,13 +242,17 @@ def _classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataF
 
     # What is left in a column: rows that aren't connected yet. Those of the component that its first row has don't meet each other.
     left = checkpointed(entries.join(reach, "sig", "left").withColumn("c", F.coalesce("c", "sig")))
-    mixed = left.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", F.struct("pos", "n", "sig")).alias("main")).where("lo < hi")
-    left = left.join(mixed.select("g", "main"), "g").select("g", F.struct("sig", "n", "key", "pos", "c").alias("x"), (F.col("c") == F.col("main")).alias("in_main"))
+    mixed = left.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", F.struct("pos", "n", "sig")).alias("main"), F.count("*").alias("rows")).where("lo < hi")
+    left = beside(left, mixed.select("g", "main", "rows")).select("g", "hot", F.struct("sig", "n", "key", "pos", "c").alias("x"), (F.col("c") == F.col("main")).alias("in_main"))
     # The smaller row of a pair must have the column in the prefix for rows of its own size.
     large, small = left.withColumnRenamed("x", "l"), left.where(F.col("x.n") - F.col("x.pos") >= required(F.col("x.n"), F.col("x.n"), percent)).withColumnRenamed("x", "s")
     order = F.struct("l.n", "l.sig") > F.struct("s.n", "s.sig")
     close = near(F.col("l.n"), F.col("l.pos"), F.col("s.n"), F.col("s.pos"))
-    meets = [x.drop("in_main").join(y.drop("in_main"), "g").where(order & (F.col("l.c") != F.col("s.c")) & close) for x, y in ((large.where("not in_main"), small), (large.where("in_main"), small.where("not in_main")))]
+    # In a hot column, the rows outside the main component go to every salt, and those that they are held against to one.
+    each = lambda df, x: df.select("g", x, F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    dealt = lambda df, x: df.select("g", x, F.when(F.col("hot"), F.pmod(F.xxhash64(f"{x}.sig"), F.lit(_SALTS)).cast("int")).otherwise(0).alias("salt"))
+    sides = ((each(large.where("not in_main"), "l"), dealt(small, "s")), (dealt(large.where("in_main"), "l"), each(small.where("not in_main"), "s")))
+    meets = [x.join(y, ["g", "salt"]).where(order & (F.col("l.c") != F.col("s.c")) & close) for x, y in sides]
     met = meets[0].union(meets[1]).groupBy(of("l.").alias("l"), of("s.").alias("s")).agg(F.count("*").alias("overlap"), F.max("l.pos").alias("lp"), F.max("s.pos").alias("sp"))
     most = F.col("overlap") + F.least(F.col("l.n") - F.col("lp"), F.col("s.n") - F.col("sp")) - 1
     more = met.where(most >= required(F.col("l.n"), F.col("s.n"), percent)).select(F.greatest("l", "s").alias("a"), F.least("l", "s").alias("b")).selectExpr(*PAIR)
