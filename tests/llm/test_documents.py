@@ -140,10 +140,12 @@ def test_jaccard(spark):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, k, percent)
 
 
-def test_jaccard_of_a_template_and_of_long_sets(spark):
-    """Rows that share a template just below the threshold, a large group of near copies beside them, and sets that are cut into several blocks of columns."""
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_jaccard_of_a_template_and_of_long_sets(spark, monkeypatch, hot):
+    """No column is hot, or all are. Rows that share a template just below the threshold, a large group of near copies beside them, and sets that are cut into several blocks of columns."""
     import random
 
+    monkeypatch.setattr(jaccard, "_HOT", hot)
     rng = random.Random(6)
     template = [f"t{i}" for i in range(100)]
     rows = [(i, " ".join(template + [f"own{i}x{j}" for j in range(rng.choice([9, 12, 13, 20]))]), "en", "a") for i in range(40)]
