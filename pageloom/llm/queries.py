@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, epsilon, flatfiles, jaccard, langid, lines, lm, mixing, packing
+from . import ann, chat, epsilon, flatfiles, jaccard, langid, lines, lm, mixing, packing, runs
 from .common import shared_dir
 
 
@@ -67,7 +67,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatfiles.token_counts(docs, f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}", public_tokenizers.path("word_bpe_49k.json"), end_id=49407)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_language_id, op9_ngram_jaccard, op10_token_counts)}
+def with_periods(docs: DataFrame) -> DataFrame:
+    """docs whose texts repeat words with a period, in one document of ten: which, from which word on and how long are functions of doc_id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    x = docs.withColumn("_w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    n = F.size("_w")
+    x = x.withColumn("_n", n).withColumn("_a", F.when(n > 0, g % n)).withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("int"))
+    rest = (F.col("_n") - F.col("_a")).cast("int")
+    head = F.slice("_w", F.lit(1), F.col("_a").cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("_w", (F.col("_a") + 1).cast("int"), F.col("_p")), F.ceil(rest / F.col("_p")).cast("int")))
+    text = F.array_join(F.concat(head, F.slice(again, F.lit(1), rest)), " ")
+    return x.withColumn("text", F.when(F.col("_n") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(with_periods(_table(spark, sf_dir, "documents").select("doc_id", "text")), least=12)
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    out = out.withColumn("_r", longest)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_r.start")).alias("start"),
+        F.col("_r.length").alias("length"),
+        (-F.col("_r.period")).alias("period"),
+        F.floor(1000 * F.col("_r.length") / -F.col("_r.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_language_id, op9_ngram_jaccard, op10_token_counts, op11_periodic_runs)}
 
 ORACLES = {
     "op1_chat_formatting": r"""
@@ -145,4 +176,27 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.
 e AS (SELECT a, b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id WHERE 100 * o >= 85 * (x.n_shingles + y.n_shingles - o)),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
 SELECT n.doc_id, n.n_shingles, min(r.c) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n.n_shingles""",
+    "op11_periodic_runs": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_concat([4294967295], flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(CAST(doc_id AS VARCHAR), '')])),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, coalesce(h % 10 = 0, false) AND len(w) > 0 AS planted FROM d),
+p AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM e),
+q AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS per FROM p),
+t AS (SELECT doc_id, CASE WHEN planted THEN list_concat(w[1 : a], [w[a + i % per + 1] for i in range(0, n - a)]) ELSE w END AS w FROM q),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM t),
+six AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i : i + 5], ' ') AS k FROM s),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS period FROM six a JOIN six b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i),
+isles AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS isle FROM pairs),
+found AS (SELECT doc_id, period, min(i) AS start, count(*) + 5 + period AS length FROM isles GROUP BY doc_id, period, isle HAVING count(*) + 5 + period >= greatest(12, 2 * period)),
+r AS (SELECT doc_id, start, CAST(length AS BIGINT) AS length, min(period) AS period FROM found GROUP BY doc_id, start, length),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+said AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS x FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+word AS (SELECT doc_id, i - 1 AS i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS x FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(said.n, 0) AS n_runs, best.start, best.length, best.period, best.length * 1000 // best.period AS exponent_milli,
+  sha256(coalesce(said.x, '')) AS runs_sha256, sha256(coalesce(kept.x, '')) AS collapsed_sha256
+FROM t LEFT JOIN said ON t.doc_id = said.doc_id LEFT JOIN best ON t.doc_id = best.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id""",
 }
