@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, epsilon, flatfiles, jaccard, langid, lines, lm, mixing, packing, runs
+from . import ann, chat, epsilon, flatfiles, jaccard, langid, lines, lm, mixing, packing, runs, whitening
 from .common import shared_dir
 
 
@@ -98,7 +98,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_language_id, op9_ngram_jaccard, op10_token_counts, op11_periodic_runs)}
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_language_id, op9_ngram_jaccard, op10_token_counts, op11_periodic_runs, op12_embedding_whitening)}
 
 ORACLES = {
     "op1_chat_formatting": r"""
