@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, epsilon, flatfiles, jaccard, langid, lines, lm, mixing, packing, runs, whitening
+from . import ann, chat, epsilon, fingerprints, flatfiles, jaccard, langid, lines, lm, mixing, packing, runs, whitening
 from .common import shared_dir
 
 
@@ -102,7 +102,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_language_id, op9_ngram_jaccard, op10_token_counts, op11_periodic_runs, op12_embedding_whitening)}
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_language_id, op9_ngram_jaccard, op10_token_counts, op11_periodic_runs, op12_embedding_whitening, op13_document_fingerprints)}
 
 ORACLES = {
     "op1_chat_formatting": r"""
@@ -203,4 +207,28 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS x FROM word ANTI JOIN g
 SELECT t.doc_id, coalesce(said.n, 0) AS n_runs, best.start, best.length, best.period, best.length * 1000 // best.period AS exponent_milli,
   sha256(coalesce(said.x, '')) AS runs_sha256, sha256(coalesce(kept.x, '')) AS collapsed_sha256
 FROM t LEFT JOIN said ON t.doc_id = said.doc_id LEFT JOIN best ON t.doc_id = best.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id""",
+    "op13_document_fingerprints": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents),
+x AS (
+  SELECT doc_id, text, n_chars, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next FROM d
+  WINDOW w AS (ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, text[1 : n_chars - n_chars // 2] || next[1 : n_chars // 2] AS edited FROM x),
+v AS (SELECT doc_id, 'own' AS kind, text AS t FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e UNION ALL SELECT doc_id, 'next', next FROM e),
+p AS (
+  SELECT DISTINCT doc_id, kind, CAST('0x' || md5(piece)[1 : 15] AS BIGINT) AS k FROM (
+    SELECT doc_id, kind, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])[ ]+', '\1' || chr(10), 'g'), '([^\n]{80})', '\1' || chr(10), 'g'), chr(10))) AS piece FROM v) WHERE piece <> ''),
+s AS (SELECT doc_id, kind, count(*) AS n FROM p GROUP BY doc_id, kind),
+b AS (SELECT a.doc_id, b.kind, count(*) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.k = b.k AND a.kind = 'own' AND b.kind <> 'own' GROUP BY a.doc_id, b.kind),
+c AS (
+  SELECT doc_id, kind, unnest([k % 8, (k >> 20) % 8 + 8, (k >> 40) % 8 + 16]) AS cell, k, (k % 2147483647) * (k % 2147483629) AS chk FROM p WHERE kind <> 'next'),
+g AS (SELECT doc_id, kind, cell, count(*) || '.' || hex(bit_xor(k)) || '.' || hex(bit_xor(chk)) AS said FROM c GROUP BY doc_id, kind, cell),
+f AS (
+  SELECT e.doc_id, kind, string_agg(coalesce(said, '0.0.0'), ' ' ORDER BY cell) AS said
+  FROM e CROSS JOIN (SELECT unnest(['own', 'edited']) AS kind) CROSS JOIN (SELECT unnest(range(0, 24)) AS cell) LEFT JOIN g USING (doc_id, kind, cell) GROUP BY e.doc_id, kind)
+SELECT e.doc_id, n_chars, sha256(edited) AS edited_sha256, coalesce(so.n, 0) || ':' || fo.said AS fingerprint, coalesce(se.n, 0) || ':' || fe.said AS edited_fingerprint,
+  CASE WHEN coalesce(so.n, 0) + coalesce(se.n, 0) = 0 THEN 1.0::DOUBLE ELSE coalesce(be.n, 0) / (coalesce(so.n, 0) + coalesce(se.n, 0) - coalesce(be.n, 0))::DOUBLE END AS near_edited,
+  CASE WHEN coalesce(so.n, 0) + coalesce(sn.n, 0) = 0 THEN 1.0::DOUBLE ELSE coalesce(bn.n, 0) / (coalesce(so.n, 0) + coalesce(sn.n, 0) - coalesce(bn.n, 0))::DOUBLE END AS near_next
+FROM e JOIN f fo ON e.doc_id = fo.doc_id AND fo.kind = 'own' JOIN f fe ON e.doc_id = fe.doc_id AND fe.kind = 'edited'
+LEFT JOIN s so ON e.doc_id = so.doc_id AND so.kind = 'own' LEFT JOIN s se ON e.doc_id = se.doc_id AND se.kind = 'edited' LEFT JOIN s sn ON e.doc_id = sn.doc_id AND sn.kind = 'next'
+LEFT JOIN b be ON e.doc_id = be.doc_id AND be.kind = 'edited' LEFT JOIN b bn ON e.doc_id = bn.doc_id AND bn.kind = 'next'""",
 }
