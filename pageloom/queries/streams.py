@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pages import page_counts
 from ..shared import shared_dir
+from ..sources import frames
+from ..streaming import progress as R
 from ..streaming import state as S
 from .logs import SQL_UNDO_REDO, download_requests, edit_actions
 from .tables import SQL_PAGES, Registry, conversation_pages, table
@@ -22,12 +25,23 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may be one file or a folder of them
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What the stream writes until its input is read."""
+    """What the stream writes until its input is read. State is kept in RocksDB, which some stateful operators need; the session's own setting comes back."""
     spark = stream.sparkSession
     to = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start(f"{to}/out")
-    run.awaitTermination()
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start(f"{to}/out")
+        run.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{to}/out")
 
 
@@ -71,3 +85,75 @@ def debounced_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bursts that the watermark has passed when the input is read."""
     e = stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("value"))
     return drained(S.debounced(e, gap="3 hours", late="10 minutes"))
+
+
+def event_chunks(events: DataFrame, size: int = 37) -> DataFrame:
+    """(request, seq, bytes): the events of a user as one event stream, cut every `size` bytes, within ends and within characters too.
+
+    Every fourth frame is a comment, every fourth one isn't closed JSON.
+    """
+    k = F.col("event_id")
+    said = F.concat(F.lit('data: {"type": "progress", "page": '), (k % 50).cast("string"), F.lit(', "total": 50, "message": "é '), "event_type", F.when(k % 4 == 2, "").otherwise('"}'))
+    frame = F.when(k % 4 == 1, ": still here").otherwise(said)
+    body = F.encode(F.concat(F.array_join(F.array_sort(F.collect_list(F.struct("event_id", frame.alias("f"))))["f"], "\n\n"), F.lit("\n\ndata: {")), "UTF-8")
+    x = events.where("user_id is not null").groupBy(F.col("user_id").alias("request")).agg(body.alias("b"))
+    x = x.select("request", "b", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / size))).alias("seq"))
+    return x.select("request", F.col("seq").cast("long").alias("seq"), F.substring("b", (F.col("seq") * size + 1).cast("int"), F.lit(size)).alias("bytes"))
+
+
+SQL_EVENTS = """
+SELECT request, frame_no, 'progress' AS type, CAST(event_id % 50 AS INTEGER) AS page, 50 AS total, 'é ' || event_type AS message
+FROM (SELECT user_id AS request, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_no FROM events WHERE user_id IS NOT NULL) WHERE event_id % 4 IN (0, 3)"""
+
+
+@query(SQL_EVENTS)
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.events(frames.frames(event_chunks(table(spark, sf_dir, "events")))).select("request", "frame_no", "type", "page", "total", "message")
+
+
+@query(SQL_EVENTS)
+def event_frames_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks as a stream, from files of them."""
+    at = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks = event_chunks(table(spark, sf_dir, "events"))
+    chunks.write.parquet(at)
+    stream = spark.readStream.schema(chunks.schema).parquet(at)
+    return frames.events(drained(frames.frames_stream(stream))).select("request", "frame_no", "type", "page", "total", "message")
+
+
+def user_work(events: DataFrame) -> DataFrame:
+    """A request for each user: errors fail it, all else is a page of as many as the user's number says."""
+    user = F.col("user_id")
+    total = (user % 5 + 2).cast("int")
+    return events.select(user.alias("request"), F.col("event_id").alias("seq"), "ts", F.when(F.col("event_type") == "error", "failed").otherwise("page").alias("kind"), (F.col("event_id") % total + 1).cast("int").alias("page"), total.alias("total"), F.concat(F.lit("failed at "), F.col("event_id").cast("string")).alias("message"))
+
+
+#: stop: the row that ends a request: after a day of silence, a failure, or all pages seen.
+SQL_PROGRESS = """
+WITH w AS (SELECT user_id AS request, event_id AS seq, ts, event_type = 'error' AS failed, CAST(user_id % 5 + 2 AS INTEGER) AS total FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT *, CAST(seq % total + 1 AS INTEGER) AS page FROM w),
+n AS (SELECT *, row_number() OVER v AS n, lag(ts) OVER v AS before, NOT failed AND row_number() OVER (PARTITION BY request, page, failed ORDER BY ts, seq) = 1 AS new FROM p WINDOW v AS (PARTITION BY request ORDER BY ts, seq)),
+c AS (SELECT *, CAST(sum(new::INTEGER) OVER (PARTITION BY request ORDER BY n) AS INTEGER) AS pages FROM n),
+e AS (SELECT *, CASE WHEN ts > before + INTERVAL 24 HOUR THEN 'no news' WHEN failed THEN 'failed at ' || seq WHEN new AND pages >= total THEN 'complete' END AS ended FROM c),
+a AS (SELECT *, min(CASE WHEN ended IS NOT NULL THEN n END) OVER (PARTITION BY request) AS stop FROM e),
+o AS (
+  SELECT request, 'progress' AS type, page, total, round_even(pages / total::DOUBLE * 100, 1)::DOUBLE AS percent, CAST(NULL AS VARCHAR) AS message, ts FROM a WHERE new AND (stop IS NULL OR n < stop OR (n = stop AND ended = 'complete'))
+  UNION ALL SELECT request, CASE WHEN ended = 'complete' THEN 'complete' ELSE 'error' END, NULL, CASE WHEN ended = 'complete' THEN total END, CASE WHEN ended = 'complete' THEN 100.0::DOUBLE END,
+    CASE WHEN ended <> 'complete' THEN ended END, CASE WHEN ended = 'no news' THEN before + INTERVAL 24 HOUR ELSE ts END FROM a WHERE n = stop
+  UNION ALL SELECT request, 'error', NULL, NULL, NULL, 'no news', max(ts) + INTERVAL 24 HOUR FROM a WHERE stop IS NULL GROUP BY request HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) + INTERVAL 24 HOUR FROM w))
+SELECT request, type, page, total, percent, message, CAST(epoch_us(ts) AS BIGINT) AS micros FROM o"""
+
+
+def _told(progress: DataFrame) -> DataFrame:
+    return progress.select("request", "type", "page", "total", "percent", "message", F.unix_micros("ts").alias("micros"))
+
+
+@query(SQL_PROGRESS)
+def request_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(R.batch_progress(user_work(table(spark, sf_dir, "events")), silence=timedelta(days=1)))
+
+
+@query(SQL_PROGRESS.replace("<= (SELECT max(ts) + INTERVAL 24 HOUR", "<= (SELECT max(ts) - INTERVAL 10 MINUTE"))
+def request_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silence is told as far as the watermark has come when the input is read."""
+    return _told(drained(R.request_progress(user_work(stream_of(spark, sf_dir, "events")), silence=timedelta(days=1), late="10 minutes", keep=timedelta(days=36500))))
