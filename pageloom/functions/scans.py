@@ -30,3 +30,16 @@ def carried(df: DataFrame, keys: list[str], order: str, block: Column, out: str,
     df = df.join(ends, same)
     total = F.col("_before")["sum"] + F.when(F.col("_before")["resets"] == 0, F.col("_into")).otherwise(0)
     return df.withColumn(out, total).drop("_block", "_add", "_reset", "_since", "_so_far", "_before", "_b", "_into", *names)
+
+
+def following(df: DataFrame, keys: list[str], order: list[str], block: Column, value: str, out: str) -> DataFrame:
+    """Adds `out`: the value of the next row, by `order` within keys; null for the last one. As carried(), in two levels."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    df = df.withColumn("_block", block).withColumn("_next", F.lead(F.struct(value)).over(W.partitionBy(*keys, "_block").orderBy(*order)))
+    firsts = df.groupBy(*keys, "_block").agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    firsts = firsts.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_block").alias("_b"), F.lead("_first").over(W.partitionBy(*keys).orderBy("_block")).alias("_then"))
+    same = F.col("_block") == F.col("_b")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    df = df.join(firsts, same).withColumn(out, F.when(F.col("_next").isNull(), F.col("_then")).otherwise(F.col("_next")[value]))
+    return df.drop("_block", "_next", "_b", "_then", *names)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.pages import page_counts
 from ..shared import shared_dir
 from ..sources import frames
+from ..streaming import latest as L
 from ..streaming import progress as R
 from ..streaming import state as S
 from .logs import SQL_UNDO_REDO, download_requests, edit_actions
@@ -157,3 +158,27 @@ def request_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silence is told as far as the watermark has come when the input is read."""
     return _told(drained(R.request_progress(user_work(stream_of(spark, sf_dir, "events")), silence=timedelta(days=1), late="10 minutes", keep=timedelta(days=36500))))
+
+
+def asked_and_answered(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every event asks anew for its user, and is answered after up to six hours."""
+    e = events.where("user_id is not null and ts is not null").select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("asked"))
+    return e, e.withColumn("answered", F.col("asked") + F.make_dt_interval(F.lit(0), (F.col("request_id") % 7).cast("int")))
+
+
+SQL_CURRENT = """
+WITH e AS (SELECT user_id AS key, event_id AS request_id, ts AS asked, ts + to_hours(event_id % 7) AS answered FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT key, request_id, epoch_us(answered) AS micros FROM e
+WHERE NOT EXISTS (SELECT 1 FROM e n WHERE n.key = e.key AND (n.asked > e.asked OR (n.asked = e.asked AND n.request_id > e.request_id)) AND n.asked <= e.answered)"""
+
+
+@query(SQL_CURRENT)
+def current_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.current_responses(*asked_and_answered(table(spark, sf_dir, "events"))).select("key", "request_id", F.unix_micros("answered").alias("micros"))
+
+
+@query(f"{SQL_CURRENT} AND answered <= (SELECT max(asked) - INTERVAL 10 MINUTE FROM e)")
+def current_responses_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As far as the watermark has come when the input is read."""
+    requests, responses = asked_and_answered(stream_of(spark, sf_dir, "events"))
+    return drained(L.current_responses_stream(requests, responses, within="6 hours")).select("key", "request_id", F.unix_micros("answered").alias("micros"))
