@@ -33,11 +33,11 @@ def _first_error(errors: Column) -> Column:
     return F.try_element_at(F.filter(errors, lambda e: e.isNotNull()), F.lit(1))
 
 
-def page_groups(spec: Column, total: Column) -> Column:
-    """struct(groups array<array<int>>, error string): a group of page numbers, from 1, for each part of spec.
+def page_runs(spec: Column, total: Column) -> Column:
+    """struct(runs array<struct<lo, hi>>, error string): a run of page numbers, from 1, for each part of spec.
 
     Blank input is an error, so are parts that are neither `n` nor `n-m`, that leave 1..total or that run backwards; the
-    first bad part in order is named, and a part outside the document is that before it is backward. Commas alone give no groups.
+    first bad part in order is named, and a part outside the document is that before it is backward. Commas alone give no runs.
     """
     total = total.cast("long")
 
@@ -49,8 +49,14 @@ def page_groups(spec: Column, total: Column) -> Column:
         )
 
     found = F.when(blank(spec), F.lit("no pages given")).otherwise(_first_error(F.transform(tokens(spec), error)))
-    groups = F.transform(tokens(spec), lambda t: F.sequence(F.least(_first(t), total), F.least(_last(t), total)).cast("array<int>"))
-    return F.struct(F.when(found.isNull(), groups).alias("groups"), found.alias("error"))
+    runs = F.transform(tokens(spec), lambda t: F.struct(_first(t).alias("lo"), _last(t).alias("hi")))
+    return F.struct(F.when(found.isNull(), runs).alias("runs"), found.alias("error"))
+
+
+def page_groups(spec: Column, total: Column) -> Column:
+    """struct(groups array<array<int>>, error string): as page_runs, with every page of each part; for short requests."""
+    runs = page_runs(spec, total)
+    return F.struct(F.transform(runs["runs"], lambda r: F.sequence(r["lo"], r["hi"]).cast("array<int>")).alias("groups"), runs["error"].alias("error"))
 
 
 def rule_pages(spec: Column, total: Column, inside: bool = True) -> Column:

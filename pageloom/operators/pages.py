@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.naming import sanitize_stem
-from ..functions.ranges import page_groups
+from ..functions.ranges import page_runs
 from ..functions.text import concat
 from ..schema import PAGE_CONFIG
+from .intervals import merged, placed, run_length, with_places
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
@@ -41,10 +42,17 @@ def merge(pages: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def requested(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (doc_id, spec) with total_pages, groups and error."""
+    """requests (doc_id, spec) with total_pages, runs and error: a run of pages for each part, however many pages it has."""
     known = requests.join(page_counts(pages), "doc_id", "left")
-    parsed = known.withColumn("_p", page_groups(F.col("spec"), F.coalesce("total_pages", F.lit(0))))
-    return parsed.withColumn("groups", F.col("_p.groups")).withColumn("error", F.when(F.col("total_pages").isNull(), "no such document").otherwise(F.col("_p.error"))).drop("_p")
+    parsed = known.withColumn("_p", page_runs(F.col("spec"), F.coalesce("total_pages", F.lit(0))))
+    return parsed.withColumn("runs", F.col("_p.runs")).withColumn("error", F.when(F.col("total_pages").isNull(), "no such document").otherwise(F.col("_p.error"))).drop("_p")
+
+
+def _with_pages(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows (doc_id, run, ..., error) with the run's pages and out_page; an error is a row without pages. Requests without either leave nothing."""
+    good = placed(pages, runs.where("error is null and run is not null").select("*", "run.*").drop("run", "error")).withColumn("error", F.lit(None).cast("string"))
+    bad = runs.where("error is not null").select("doc_id", "error").select("*")
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 def _gathered(pages: DataFrame, picks: DataFrame) -> DataFrame:
@@ -58,26 +66,25 @@ def _place(i: str) -> Column:
 
 def extract_combined(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """All pages asked for as one output, in the order and as often as asked: pages with out_page and error added."""
-    r = requested(pages, requests).select("doc_id", F.posexplode_outer(F.flatten("groups")).alias("_i", "page_no"), "error")
-    return _gathered(pages, r.select("doc_id", "page_no", _place("_i").alias("out_page"), "error"))
+    return _with_pages(pages, requested(pages, requests).select("doc_id", F.explode_outer(with_places(F.col("runs"))).alias("run"), "error"))
 
 
 def extract_pages(pages: DataFrame, requests: DataFrame, stem: Column) -> DataFrame:
     """A file for each different page asked for, ascending: pages with entry_no, entry_name and error added. stem: of the requests."""
     r = requested(pages, requests).withColumn("_stem", sanitize_stem(stem))
-    r = r.select("doc_id", "_stem", F.posexplode_outer(F.array_sort(F.array_distinct(F.flatten("groups")))).alias("_i", "page_no"), "error")
+    out = _with_pages(pages, r.select("doc_id", "_stem", F.explode_outer(with_places(merged(F.col("runs")))).alias("run"), "error"))
     name = F.when(F.col("page_no").isNotNull(), F.format_string("%s_page%04d.pdf", "_stem", "page_no"))
-    return _gathered(pages, r.select("doc_id", "page_no", _place("_i").alias("entry_no"), name.alias("entry_name"), "error"))
+    return out.withColumn("entry_name", name).withColumnRenamed("out_page", "entry_no").drop("_stem")
 
 
 def extract_ranges(pages: DataFrame, requests: DataFrame, stem: Column) -> DataFrame:
     """A file for each part of the request, with the part's pages in out_page order; parts that repeat share a name and differ in entry_no."""
     r = requested(pages, requests).withColumn("_stem", sanitize_stem(stem))
-    r = r.select("doc_id", "_stem", F.posexplode_outer("groups").alias("_g", "group"), "error")
-    lo, hi = F.element_at("group", 1).cast("string"), F.element_at("group", -1).cast("string")
-    label = F.when(F.size("group") == 1, lo).otherwise(concat(lo, "-", hi))
-    r = r.select("doc_id", _place("_g").alias("entry_no"), concat(F.col("_stem"), "_page", label, ".pdf").alias("entry_name"), F.posexplode_outer("group").alias("_i", "page_no"), "error")
-    return _gathered(pages, r.select("doc_id", "page_no", "entry_no", _place("_i").alias("out_page"), "entry_name", "error"))
+    r = r.select("doc_id", "_stem", F.posexplode_outer("runs").alias("_g", "_r"), "error")
+    lo, hi = F.col("_r.lo").cast("string"), F.col("_r.hi").cast("string")
+    name = concat(F.col("_stem"), "_page", F.when(lo == hi, lo).otherwise(concat(lo, "-", hi)), ".pdf")
+    run = F.when(F.col("_r").isNotNull(), F.struct("_r.lo", "_r.hi", F.lit(0).cast("long").alias("before")))
+    return _with_pages(pages, r.select("doc_id", _place("_g").alias("entry_no"), name.alias("entry_name"), run.alias("run"), "error"))
 
 
 def split_all(pages: DataFrame, stem: Column) -> DataFrame:
@@ -89,7 +96,7 @@ def split_all(pages: DataFrame, stem: Column) -> DataFrame:
 def pages_extracted(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """(doc_id, pages_extracted, files, error): pages counted as often as they are asked for, files without repeats."""
     r = requested(pages, requests)
-    return r.select("doc_id", F.size(F.flatten("groups")).alias("pages_extracted"), F.size(F.array_distinct(F.flatten("groups"))).alias("files"), "error")
+    return r.select("doc_id", run_length(F.col("runs")).cast("int").alias("pages_extracted"), run_length(merged(F.col("runs"))).cast("int").alias("files"), "error")
 
 
 def organize(pages: DataFrame, configs: DataFrame) -> DataFrame:
@@ -119,9 +126,9 @@ def select_for_rendering(pages: DataFrame, requests: DataFrame) -> DataFrame:
     totals = requests.join(page_counts(pages), "doc_id", "left")
     every = concat("1-", F.col("total_pages").cast("string"))
     r = requested(pages, totals.select("doc_id", F.when(F.trim(F.coalesce("spec", F.lit(""))) == "", every).otherwise(F.col("spec")).alias("spec")))
-    chosen = F.array_sort(F.array_distinct(F.flatten("groups")))
-    r = r.select("doc_id", F.posexplode_outer(chosen).alias("_i", "page_no"), F.coalesce("error", F.when(F.size(chosen) == 0, F.lit("no pages selected"))).alias("error"))
-    return _gathered(pages, r.select("doc_id", "page_no", _place("_i").alias("out_page"), "error"))
+    chosen = merged(F.col("runs"))
+    r = r.select("doc_id", F.explode_outer(with_places(chosen)).alias("run"), F.coalesce("error", F.when(F.size(chosen) == 0, F.lit("no pages selected"))).alias("error"))
+    return _with_pages(pages, r)
 
 
 # Edits of a list of pages at an index from 0. `at` and the like are columns of pages, the same all over a document.

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranges import is_shown, rule_pages, shown_pages
+from ..operators import intervals as V
 from ..operators import pages as P
 from ..sources.files import document_info
-from .tables import SQL_GROUPS, SQL_PAGES, Registry, conversation_pages, page_requests
+from .tables import SQL_GROUPS, SQL_PAGES, Registry, conversation_pages, literals, page_requests
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -182,3 +183,34 @@ def order_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_PAGES} SELECT doc_id, CAST(count(*) AS INTEGER) AS total_pages, CAST(sum(octet_length(encode(text))) AS BIGINT) AS file_size_bytes FROM p GROUP BY doc_id""")
 def doc_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_info(conversation_pages(spark, sf_dir), F.octet_length("text"))
+
+
+def page_edits(totals: DataFrame) -> DataFrame:
+    """Sixteen edits of each document, some of them outside it."""
+    x = totals.select("doc_id", "total_pages", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("seq"))
+    k = F.col("doc_id") * 7 + F.col("seq") * 11
+    op = F.element_at(literals(["remove", "rotate", "duplicate", "move", "swap"]), (k % 5 + 1).cast("int"))
+    at = k % (F.col("total_pages") + 1)
+    to = F.when(k % 5 == 1, 90).when(k % 5 == 3, F.col("doc_id") * 3 % (F.col("total_pages") + 1)).when(k % 5 == 4, F.col("seq") % 2 * 2 - 1)
+    return x.select("doc_id", "seq", op.alias("op"), at.alias("at"), to.alias("to"))
+
+
+#: A list of pages as numbers page * 360 + rotation, edited in turn.
+@query(f"""
+WITH RECURSIVE {SQL_PAGES},
+e AS (SELECT doc_id, seq, k % 5 AS op, k % (total + 1) AS a, CASE k % 5 WHEN 3 THEN doc_id * 3 % (total + 1) ELSE k % (total + 1) + seq % 2 * 2 - 1 END AS b
+  FROM (SELECT doc_id, total, seq, doc_id * 7 + seq * 11 AS k FROM (SELECT doc_id, total, unnest(range(0, 16)) AS seq FROM t))),
+s(doc_id, seq, l) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), list(CAST(page_no * 360 + rotation AS BIGINT) ORDER BY page_no) FROM p GROUP BY doc_id
+  UNION ALL
+  SELECT s.doc_id, s.seq + 1, CASE WHEN a >= len(l) OR (op >= 3 AND (b < 0 OR b >= len(l))) THEN l
+    WHEN op = 0 THEN list_concat(l[1 : a], l[a + 2 :])
+    WHEN op = 1 THEN list_concat(l[1 : a], list_concat([l[a + 1] // 360 * 360 + (l[a + 1] + 90) % 360], l[a + 2 :]))
+    WHEN op = 2 THEN list_concat(l[1 : a + 1], l[a + 1 :])
+    ELSE list_concat(list_concat(l[1 : a], l[a + 2 :])[1 : b], list_concat([l[a + 1]], list_concat(l[1 : a], l[a + 2 :])[b + 1 :])) END
+  FROM s JOIN e ON s.doc_id = e.doc_id AND s.seq = e.seq),
+o AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s WHERE seq = 16)
+SELECT doc_id, CAST(i AS INTEGER) AS page_no, CAST(l[i] % 360 AS INTEGER) AS rotation, l[i] // 360 AS source_page FROM o""")
+def page_edits_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = conversation_pages(spark, sf_dir).withColumn("source_page", F.col("page_no").cast("long"))
+    return V.edited(pages, page_edits(P.page_counts(pages))).select("doc_id", "page_no", "rotation", "source_page")
