@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from .common import checkpointed
 
 SIZE = 8  # cells of each of the three tables of a fingerprint
-_PIECE = 80  # code points; longer paragraphs are cut
+_PIECE = 100  # code points; longer paragraphs are cut
 _PER_SHARD = 8
 _ROUNDS = 16  # of a larger sketch, within a row
 _TURNS = 4  # of cells as rows
@@ -28,9 +28,9 @@ _PRIMES = (2147483647, 2147483629)
 
 
 def paragraphs(text: Column) -> Column:
-    """The different paragraphs of a text: what stands between newlines, cut after the ends of sentences and every 80 code points; empty ones are left out."""
-    ends = F.regexp_replace(F.coalesce(text, F.lit("")), "([.!?])[ ]+", "$1\n")
-    return F.array_distinct(F.array_remove(F.split(F.regexp_replace(ends, f"([^\\n]{{{_PIECE}}})", "$1\n"), "\n", -1), ""))
+    """The different paragraphs of a text: what stands between newlines, cut every 100 code points; empty ones are left out."""
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), f"([^\\n]{{{_PIECE}}})", "$1\n")
+    return F.array_distinct(F.array_remove(F.split(cut, "\n", -1), ""))
 
 
 def digests(text: Column) -> Column:
@@ -114,50 +114,63 @@ def _side(a: Column, b: Column) -> Column:
     return F.pow(F.lit(2), F.ceil(F.log2(shards) / 2)).cast("int")
 
 
-def _cells_of(rows: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """(keys, pair, size, cell, n, k, c) of the subtracted sketches of each pair; cells in which nothing is left are no rows."""
-    size = lambda a, b: F.greatest(F.lit(SIZE), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(4 * (F.size(a) + F.size(b)), F.lit(1))))).cast("int"))
-    sides = [F.struct(F.lit(i).alias("pair"), size(F.col(a), F.col(b)).alias("size"), F.lit(n).alias("n"), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(x)).alias("keys")) for i, (a, b) in enumerate(pairs.values()) for n, x in ((1, a), (-1, b))]
-    x = rows.select(*keys, F.explode(F.array(*sides)).alias("x")).select(*keys, "x.pair", "x.size", "x.n", F.explode("x.keys").alias("k"))
-    places = F.array(*[_place(F.col("k"), j, F.col("size")) + j * F.col("size") for j in range(3)])
-    return _added(x.select("*", _check(F.col("k")).alias("c"), F.explode(places).alias("cell")), keys)
+def _cells_of(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """(keys, at, n, k, c) of the subtracted sketches of each pair; cells in which nothing is left are no rows.
+
+    at: the pair's number, the binary logarithm of the size and the cell, in one number.
+    """
+    power = lambda a, b: F.greatest(F.lit(SIZE.bit_length() - 1), F.ceil(F.log2(F.greatest(4 * (F.size(a) + F.size(b)), F.lit(1)))).cast("int"))
+    both = lambda a, b, x: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(x))
+    sides = [F.struct(((F.lit(i) * 64 + power(a, b)).cast("long") * _AT).alias("at"), F.lit(n).alias("n"), both(a, b, x).alias("keys")) for i, (a, b) in enumerate(pairs) for n, x in ((1, a), (-1, b))]
+    x = rows.select(*keys, F.explode(F.array(*sides)).alias("x")).select(*keys, "x.at", "x.n", F.explode("x.keys").alias("k"))
+    places = F.array(*[F.col("at") + _place(F.col("k"), j, _size(F.col("at"))) + j * _size(F.col("at")) for j in range(3)])
+    return _added(x.select(*keys, "n", "k", _check(F.col("k")).alias("c"), F.explode(places).alias("at")), keys)
+
+
+_AT = 1 << 40
+
+
+def _size(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(at, 40) % 64).cast("int"))
 
 
 def _added(cells: DataFrame, keys: list[str]) -> DataFrame:
-    out = cells.groupBy(*keys, "pair", "size", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    out = cells.groupBy(*keys, "at").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
     return out.where("n != 0 or k != 0 or c != 0")
 
 
 def _turn(cells: DataFrame, keys: list[str], table: int) -> DataFrame:
     """Peels the single digests of one table: a digest leaves its other two cells and stays as a row behind the three tables."""
-    size, k = F.col("size"), F.col("k")
-    row = lambda cell, n: F.struct(cell.cast("long").alias("cell"), n.alias("n"), F.col("k"), F.col("c"))
-    single = (F.col("cell") >= table * size) & (F.col("cell") < (table + 1) * size) & (F.abs("n") == 1) & (_check(k) == F.col("c"))
+    size, k, cell = _size(F.col("at")), F.col("k"), F.col("at") % _AT
+    row = lambda cell, n: F.struct((F.col("at") - F.col("at") % _AT + cell).alias("at"), n.alias("n"), F.col("k"), F.col("c"))
+    single = (cell >= table * size) & (cell < (table + 1) * size) & (F.abs("n") == 1) & (_check(k) == F.col("c"))
     others = [row(_place(k, j, size) + j * size, -F.col("n")) for j in range(3) if j != table]
-    moved = F.when(single, F.array(row(F.col("cell") + 3 * size, F.col("n")), *others)).otherwise(F.array(row(F.col("cell"), F.col("n"))))
-    return _added(cells.select(*keys, "pair", "size", F.explode(moved).alias("x")).select(*keys, "pair", "size", "x.*"), keys)
+    moved = F.when(single, F.array(row(cell + 3 * size, F.col("n")), *others)).otherwise(F.array(row(cell, F.col("n"))))
+    return _added(cells.select(*keys, F.explode(moved).alias("x")).select(*keys, "x.*"), keys)
 
 
-def with_differences(rows: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+def with_differences(rows: DataFrame, keys: list[str], *rounds: dict[str, tuple[str, str]]) -> DataFrame:
     """rows with a column for each pair added: the digests in which two columns of digests differ, as array<struct<k, n>>.
 
     n is 1 where the first column alone has the digest and -1 where the second has. keys tell rows apart and are not null. If
-    rows are partitioned by them, nothing is shuffled. Where either column is null, so is the difference.
+    rows are partitioned by them, nothing is shuffled. Where either column is null, so is the difference. Pairs of a round are
+    peeled together, rounds one after another, which takes less memory.
     """
-    cells = _cells_of(rows, keys, pairs)
-    for turn in range(_TURNS):
-        cells = _turn(cells, keys, turn % 3)
-    behind = F.col("cell") >= 3 * F.col("size")
-    found = cells.groupBy(*keys, "pair").agg(F.collect_list(F.when(behind, F.struct("k", "n"))).alias("found"), F.count_if(~behind).alias("left"))
-    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pair", F.struct("found", "left")))).alias("__found"))
-    rows = rows.join(found, keys, "left")
-    none = F.array().cast("array<struct<k:bigint,n:int>>")
-    for i, (name, (a, b)) in enumerate(pairs.items()):
-        got = F.try_element_at("__found", F.lit(i))
-        rows = rows.withColumn("__side", _side(F.col(a), F.col(b)))
-        null = F.col(a).isNull() | F.col(b).isNull()
-        rows = rows.withColumn(name, F.when(null, F.lit(None)).when(got.isNull(), none).when(got["left"] == 0, got["found"]).otherwise(_larger(F.col(a), F.col(b), F.col("__side"))))
-    return rows.drop("__found", "__side")
+    out, none = rows, F.array().cast("array<struct<k:bigint,n:int>>")
+    for i, pairs in enumerate(rounds):
+        cells = _cells_of(rows, keys, list(pairs.values()))
+        for turn in range(_TURNS):
+            cells = _turn(cells, keys, turn % 3)
+        behind, pair = F.col("at") % _AT >= 3 * _size(F.col("at")), F.shiftright("at", 46).cast("int")
+        found = cells.groupBy(*keys, pair.alias("pair")).agg(F.collect_list(F.when(behind, F.struct("k", "n"))).alias("found"), F.count_if(~behind).alias("left"))
+        found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pair", F.struct("found", "left")))).alias(f"__found{i}"))
+        out = out.join(found, keys, "left")
+        for j, (name, (a, b)) in enumerate(pairs.items()):
+            got, null = F.try_element_at(f"__found{i}", F.lit(j)), F.col(a).isNull() | F.col(b).isNull()
+            out = out.withColumn("__side", _side(F.col(a), F.col(b)))
+            out = out.withColumn(name, F.when(null, F.lit(None)).when(got.isNull(), none).when(got["left"] == 0, got["found"]).otherwise(_larger(F.col(a), F.col(b), F.col("__side"))))
+        out = out.drop(f"__found{i}", "__side")
+    return out
 
 
 def likeness(a: Column, difference: Column) -> Column:
@@ -235,7 +248,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     near: the share of paragraphs, of both texts' different ones, that both have; 1 if neither has any. A null or empty text has
     none. Repeated rows and doc_ids give a row each; other columns are not looked at; an empty table gives none.
     """
-    rows = with_differences(versions(docs.select("doc_id", "text")), ["k1", "k2"], {"to_changed": ("own", "changed"), "to_next": ("own", "next"), "to_again": ("own", "again")})
+    rows = with_differences(versions(docs.select("doc_id", "text")), ["k1", "k2"], {"to_changed": ("own", "changed"), "to_again": ("own", "again")}, {"to_next": ("own", "next")})
     print_of = lambda c: written(F.col(c), sketch(F.col(c), F.lit(SIZE)))
     near = lambda c: likeness(F.col("own"), F.col(c))
     to = lambda times, sha, f, edited, following: F.struct(times.cast("long").alias("times"), F.col(sha).alias("edited_sha256"), f.alias("edited_fingerprint"), edited.alias("near_edited"), following.alias("near_next"))

@@ -216,7 +216,7 @@ e AS (SELECT *, text[1 : n_chars - n_chars // 2] || next[1 : n_chars // 2] AS ed
 v AS (SELECT doc_id, 'own' AS kind, text AS t FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e UNION ALL SELECT doc_id, 'next', next FROM e),
 p AS (
   SELECT DISTINCT doc_id, kind, CAST('0x' || md5(piece)[1 : 15] AS BIGINT) AS k FROM (
-    SELECT doc_id, kind, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])[ ]+', '\1' || chr(10), 'g'), '([^\n]{80})', '\1' || chr(10), 'g'), chr(10))) AS piece FROM v) WHERE piece <> ''),
+    SELECT doc_id, kind, unnest(string_split(regexp_replace(t, '([^\n]{100})', '\1' || chr(10), 'g'), chr(10))) AS piece FROM v) WHERE piece <> ''),
 s AS (SELECT doc_id, kind, count(*) AS n FROM p GROUP BY doc_id, kind),
 b AS (SELECT a.doc_id, b.kind, count(*) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.k = b.k AND a.kind = 'own' AND b.kind <> 'own' GROUP BY a.doc_id, b.kind),
 c AS (

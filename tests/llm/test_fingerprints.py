@@ -43,7 +43,7 @@ def test_pairs_that_fail_are_tried_again(spark, monkeypatch, turns):
 
 
 def test_a_written_fingerprint_reads_back(spark):
-    docs = spark.createDataFrame([(1, "A b. C d.\nE"), (2, "A b. C d.\nF"), (3, None), (4, "")], "id int, text string")
+    docs = spark.createDataFrame([(1, "A b.\nC d.\nE"), (2, "A b.\nC d.\nF"), (3, None), (4, "")], "id int, text string")
     got = docs.select("id", fp.fingerprint(F.col("text")).alias("f"), fp.sketch(fp.digests(F.col("text")), F.lit(fp.SIZE)).alias("cells")).withColumn("back", fp.read(F.col("f"))).collect()
     by = {r.id: r for r in got}
     assert all(r.cells == r.back for r in got) and by[3].f == by[4].f != by[1].f and by[1].f.startswith("3:")
@@ -53,12 +53,12 @@ def test_a_written_fingerprint_reads_back(spark):
 
 
 def test_paragraphs(spark):
-    text = "One. Two!  Three? Four\n\n" + "x" * 170 + "\nOne.\nÜ😀" * 2
+    text = "One. Two!\n\n" + "x" * 210 + "\nOne. Two!\n" + "Ü😀" * 60
     got = spark.createDataFrame([(text,)], "text string").select(fp.paragraphs(F.col("text"))).first()[0]
-    assert got == ["One.", "Two!", "Three?", "Four", "x" * 80, "x" * 10, "Ü😀One.", "Ü😀"] or got[:6] == ["One.", "Two!", "Three?", "Four", "x" * 80, "x" * 10]
+    assert got == ["One. Two!", "x" * 100, "x" * 10, "Ü😀" * 50, "Ü😀" * 10]
 
 
-ROWS = [(5, "a. b. c. d."), (3, "a. b. x."), (3, "a. b. x."), (3, "a. b. x."), (3, "other"), (9, None), (None, "no id. at all."), (1, ""), (4, "É😀" * 900), (-2, "a. b. c. d.")]
+ROWS = [(5, "a.\nb.\nc.\nd."), (3, "a.\nb.\nx."), (3, "a.\nb.\nx."), (3, "a.\nb.\nx."), (3, "other"), (9, None), (None, "no id.\nat all."), (1, ""), (4, "É😀" * 900), (-2, "a.\nb.\nc.\nd.")]
 
 
 def test_rows_follow_each_other(spark):
@@ -71,14 +71,14 @@ def test_rows_follow_each_other(spark):
         by.setdefault(r.doc_id, []).append(r)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     edit = lambda a, b: a[: len(a) - len(a) // 2] + b[: len(a) // 2]
-    assert by[5][0].edited_sha256 == sha(edit("a. b. c. d.", "É😀" * 900)) and by[9][0].edited_sha256 == sha("")
-    assert by[None][0].edited_sha256 == sha(edit("no id. at all.", "")) and by[-2][0].edited_sha256 == sha(edit("a. b. c. d.", "no id. at all."))
+    assert by[5][0].edited_sha256 == sha(edit("a.\nb.\nc.\nd.", "É😀" * 900)) and by[9][0].edited_sha256 == sha("")
+    assert by[None][0].edited_sha256 == sha(edit("no id.\nat all.", "")) and by[-2][0].edited_sha256 == sha(edit("a.\nb.\nc.\nd.", "no id.\nat all."))
     assert by[5][0].fingerprint == by[-2][0].fingerprint and by[9][0].near_next == 0.0 and by[1][0].near_next == 0.0
     assert sum(r.near_next == 1.0 for r in by[3]) == 2 and len(by[3]) == 4
     assert by[4][0].n_chars == 1800
 
 
-@pytest.mark.parametrize("rows", [[], [(1, "one. only.")], [(1, "x. y.")] * 4])
+@pytest.mark.parametrize("rows", [[], [(1, "one.\nonly.")], [(1, "x.\ny.")] * 4])
 def test_few_rows(spark, rows):
     got = fp.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and all(r.near_next == 1.0 for r in got)
