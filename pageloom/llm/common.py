@@ -53,6 +53,14 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores behind it as it takes to be none of the columns'."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextmanager
 def in_text_batches(spark: SparkSession) -> Iterator[None]:
     """text_batches() for what is computed within the block; the session's limit comes back afterwards."""

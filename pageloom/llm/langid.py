@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import free_name, text_batches
 from .words import batches_by_bytes, text_buffer
 
 ORDER = 3
@@ -151,6 +151,7 @@ def predict(docs: DataFrame, model: Contexts) -> DataFrame:
     Each stretch of WINDOW bytes gives every language its probability, all being equally likely beforehand, and lang_pred
     is the language with the largest part of the text; score is that part. So a passage in another language counts by its
     length, not by the bits that it costs. A null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned.
+    Texts don't see each other, so repeated rows give repeated results; of languages with equal parts the first by name is told.
     """
     if not model.languages:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
@@ -159,7 +160,8 @@ def predict(docs: DataFrame, model: Contexts) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    docs = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    has_letter = free_name(names, "_letter")
+    docs = docs.withColumn(has_letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -176,7 +178,7 @@ def predict(docs: DataFrame, model: Contexts) -> DataFrame:
                 np.add.at(share, owner + lo, chance)
             share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
             best = share.argmax(1)
-            letter = b.column("_letter").to_numpy(zero_copy_only=False)
+            letter = b.column(has_letter).to_numpy(zero_copy_only=False)
             lang = np.where(letter, known[best], "und")
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(np.where(letter, share.max(1), 0.0))], names=[*names, "lang_pred", "score"])
 

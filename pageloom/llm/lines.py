@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, delete_shared, shared_dir
+from .common import checkpointed, delete_shared, free_name, shared_dir
 
 _BLANKS = " \t\n\x0b\f\r"
 _HOT, _SALTS = 10_000, 64  # a key with a ten-thousandth of all hits is dealt over so many tasks
@@ -124,9 +124,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool =
     hit = rows.join(salts, ["h1", "h2", "salt"])
     if keep_first:
         hit = hit.where(F.col("_row") != F.col("first"))
-    per_row = hit.groupBy(F.col("_row.hash").alias("_hit")).agg(F.collect_set(F.struct("h1", "h2")).alias("_heavy"))
-    out = docs.join(per_row, row_of(docs)["hash"] == F.col("_hit"), "left").drop("_hit")
+    of_row, its_heavy, remain = (free_name(docs.columns, c) for c in ("_hit", "_heavy", "_kept"))
+    per_row = hit.groupBy(F.col("_row.hash").alias(of_row)).agg(F.collect_set(F.struct("h1", "h2")).alias(its_heavy))
+    out = docs.join(per_row, row_of(docs)["hash"] == F.col(of_row), "left").drop(of_row)
     lines = lines_of(F.col("text"))
-    kept = F.when(F.col("_heavy").isNull(), lines).otherwise(F.filter(lines, lambda x: (line_key(x) == "") | ~F.array_contains(F.col("_heavy"), key_hash(line_key(x)))))
-    out = out.withColumn("_kept", kept)
-    return out.withColumns({"kept_text": F.array_join("_kept", "\n"), "n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("_kept")).cast("long")}).drop("_heavy", "_kept")
+    kept = F.when(F.col(its_heavy).isNull(), lines).otherwise(F.filter(lines, lambda x: (line_key(x) == "") | ~F.array_contains(F.col(its_heavy), key_hash(line_key(x)))))
+    out = out.withColumn(remain, kept)
+    return out.withColumns({"kept_text": F.array_join(remain, "\n"), "n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size(remain)).cast("long")}).drop(its_heavy, remain)

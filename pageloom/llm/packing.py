@@ -159,8 +159,9 @@ def _epoch(capacity: int, population: int, generations: int, epoch: int):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = 8192, islands: int = 2, epochs: int = 2, population: int = 5, generations: int = 8, elite: int = 1) -> DataFrame:
-    """pieces (any columns, with `length` from 1 to capacity) plus sequence_id and offset; every row is placed once."""
-    pieces = checkpointed(pieces)
+    """pieces (any columns, with `length` from 1 to capacity) plus sequence_id and offset; every row is placed once. Columns of these two names are replaced; an empty table gives no rows."""
+    own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    pieces = checkpointed(pieces.select("length", F.struct(*own).alias("row")))
     cols = pieces.columns
     whole = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.where(F.col("length") < capacity)
@@ -200,7 +201,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = 8192, isla
     best = best.mapInPandas(placed, "shard long, bins array<long>, offsets array<long>")
     rows = items.join(best, "shard").select("shard", F.explode(F.arrays_zip("items", "bins", "offsets")).alias("x"))
     rows = rows.select(*[F.col("x.items")[c].alias(c) for c in cols], (F.col("shard") * F.lit(1 << 24) + F.col("x.bins")).alias("sequence_id"), F.col("x.offsets").alias("offset"))
-    return rows.unionByName(whole)
+    return rows.unionByName(whole).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, **options) -> DataFrame:

@@ -461,3 +461,15 @@ def test_token_counts_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     want = {d: len(x.ids) for (d, _), x in zip(rows, tokenizer().encode_batch([r[1] or "" for r in rows], add_special_tokens=False))}
     assert {r["doc_id"]: r["n_tokens"] for r in QUERIES["op10_token_counts"](spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["_letter", "_letter_", "_k", "_r", "_hit", "_HEAVY", "_kept", "_row", "h", "h1", "salt", "first", "shard", "row", "items", "x", "island", "offset"])
+def test_columns_of_internal_names_stay(spark, name):
+    docs = spark.createDataFrame([(i, f"the text {i}\nand a line", "en", "mine") for i in range(12)], f"doc_id long, text string, lang string, `{name}` string")
+    model = langid.train(docs)
+    said = langid.predict(docs, model).collect()
+    dropped = lines.drop_repeated_lines(docs, min_docs=10).collect()
+    assert {r[name] for r in said} == {r[name] for r in dropped} == {"mine"} and {r.n_dropped for r in dropped} == {1}
+    pieces = spark.createDataFrame([(i, 3 + i, "mine") for i in range(12)], f"doc_id long, length int, `{name}` string")
+    placed = packing.pack_pieces(pieces, capacity=10).collect()
+    assert sorted(r.doc_id for r in placed if r.length < 10 or r.offset == 0) == [*range(12)] and (name == "offset" or {r[name] for r in placed} == {"mine"})
