@@ -5,7 +5,7 @@ The statistics are frozen after training, so the code length of a byte depends o
 to the one that is a byte shorter with an escape probability (method C: as likely as there are distinct bytes),
 and a byte that was seen in the context has its share of the counts besides; below them all, bytes are
 equally likely. A context that a language never saw passes everything on. The trees of all languages are laid out as sorted
-tables, one an order: the code lengths of what any of them saw there, and what an escape costs.
+entries by code and language, one table an order: the code lengths of what a language saw there, and what an escape costs it.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import free_name, text_batches
+from .common import free_name, in_text_batches, text_batches
 from .words import batches_by_bytes, text_buffer
 
 ORDER = 3
 WINDOW = 128  # bytes
 _PIECE = 1 << 21  # code lengths that are held at once
-_LARGEST = 256 << 20  # bytes of the tables, which every executor gets
+_COUNTED = 1 << 20  # bytes of a text whose contexts are counted at once
 _DEALT = 8
 
 
@@ -38,128 +38,160 @@ def windows(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(offsets[:-1][owner] + place * width, offsets[-1]), owner
 
 
+def _mask(k: int) -> np.uint32:
+    return np.uint32((1 << 8 * (k + 1)) - 1)
+
+
+def codes(data: np.ndarray, edges: np.ndarray, at: int, to: int) -> np.ndarray:
+    """Each byte of data[at:to] with the ORDER bytes before it in front; blanks precede the texts, which begin at edges."""
+    size, lead = to - at, min(ORDER, at)
+    s = np.concatenate([np.zeros(ORDER - lead, np.uint8), data[at - lead : to]]).astype(np.uint32)
+    out = np.zeros(size, np.uint32)
+    for j in range(ORDER + 1):
+        out = (out << np.uint32(8)) | s[j : j + size]
+    lo, hi = np.searchsorted(edges, [at - ORDER, to])
+    for d in range(ORDER):
+        x = edges[lo:hi] - at + d
+        x = x[(x >= 0) & (x < size)]
+        out[x] = (out[x] & _mask(d)) | (np.uint32(0x20202020) & ~_mask(d))
+    return out
+
+
+class Entries:
+    """Bits by (code, language), for the languages that have any: sorted codes, and where each one's languages begin."""
+
+    def __init__(self, code: np.ndarray, language: np.ndarray, p: np.ndarray):
+        self.code, start = np.unique(code.astype(np.uint32), return_index=True)
+        self.start = np.append(start, len(code))
+        self.language, self.bits = language.astype(np.int32), (-np.log2(p)).astype(np.float32)
+
+    def find(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into some, language, bits) of all entries of the codes."""
+        at = np.minimum(np.searchsorted(self.code, some), len(self.code) - 1)
+        hit = np.flatnonzero(self.code[at] == some)
+        first = self.start[at[hit]]
+        n = self.start[at[hit] + 1] - first
+        entry = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        return np.repeat(hit, n), self.language[entry], self.bits[entry]
+
+
 class Contexts:
-    """The frozen trees of all languages. For each order k: codes of k + 1 bytes that a language saw, with their bits, and contexts of k bytes, with the bits of an escape; (row, language)."""
+    """The frozen trees of all languages, from how often each language has each code: a byte with the ORDER bytes before it.
 
-    def __init__(self, languages: list[str], texts: list[list[bytes]]):
+    For each order k, what a language saw has entries: codes of k + 1 bytes with their bits, contexts of k bytes with the
+    bits of an escape. So the size is that of the trees together, however many languages there are. `nothing` has each byte's bits
+    without any context or language.
+    """
+
+    def __init__(self, languages: list[str], language: np.ndarray, code: np.ndarray, n: np.ndarray):
         self.languages = languages
-        self.seen, self.bits, self.contexts, self.escapes = [], [], [], []
+        self.seen, self.escapes = [], []
         if not languages:
             return
-        whole = [np.concatenate([self._codes(np.frombuffer(b" " * ORDER + t, np.uint8)) for t in some]) for some in texts]
+        many, before, p = np.uint64(len(languages)), None, None
         for k in range(ORDER + 1):
-            counted = [np.unique(x & self._mask(k), return_counts=True) for x in whole]
-            seen = np.unique(np.concatenate([c for c, _ in counted]))
-            contexts = np.unique(seen >> np.uint32(8))
-            context = np.searchsorted(contexts, seen >> np.uint32(8))
-            if (len(seen) + len(contexts)) * len(languages) * 4 > _LARGEST // 2:
-                raise ValueError("the trees of all languages take too much memory: train on fewer documents a language, or on fewer characters of each")
-            p = np.full((len(seen), len(languages)), 1 / 256) if not k else np.exp2(-self.bits[-1].astype(float))[np.searchsorted(self.seen[-1], seen & self._mask(k - 1))]
-            escape = np.ones((len(contexts), len(languages)))
-            for j, (code, m) in enumerate(counted):
-                row = np.searchsorted(seen, code)
-                total, kinds = (np.bincount(context[row], w, minlength=len(contexts)) for w in (m, None))
-                escape[:, j] = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                p[:, j] *= escape[context, j]
-                p[row, j] += m / (total + kinds)[context[row]]
-            self.seen.append(seen)
-            self.bits.append((-np.log2(p)).astype(np.float32))
-            self.contexts.append(contexts)
-            self.escapes.append((-np.log2(escape)).astype(np.float32))
-
-    @staticmethod
-    def _mask(k: int) -> np.uint32:
-        return np.uint32((1 << 8 * (k + 1)) - 1)
-
-    @staticmethod
-    def _codes(s: np.ndarray) -> np.ndarray:
-        """Each byte of s from the one at ORDER on, with the ORDER bytes before it in front."""
-        s = s.astype(np.uint32)
-        out = np.zeros(len(s) - ORDER, np.uint32)
-        for j in range(ORDER + 1):
-            out = (out << np.uint32(8)) | s[j : j + len(out)]
-        return out
+            key, at = np.unique((code & _mask(k)).astype(np.uint64) * many + language.astype(np.uint64), return_inverse=True)
+            c, j, m = key // many, key % many, np.bincount(at, n)
+            context, own = np.unique((c >> np.uint64(8)) * many + j, return_inverse=True)
+            total, kinds = np.bincount(own, m), np.bincount(own)
+            escape = kinds / (total + kinds)
+            lower = p[np.searchsorted(before, (c & np.uint64(_mask(k - 1))) * many + j)] if k else 1 / 256
+            before, p = key, m / (total + kinds)[own] + escape[own] * lower
+            self.seen.append(Entries(c, j, p))
+            self.escapes.append(Entries(context // many, context % many, escape))
+        of = np.bincount(code & _mask(0), n, 256)
+        kinds = np.count_nonzero(of)
+        self.nothing = (-np.log2((of + kinds / 256) / (of.sum() + kinds))).astype(np.float32)
 
     def _cost(self, code: np.ndarray) -> np.ndarray:
         """Bits of each code's last byte in every language."""
-        out = np.zeros((len(code), len(self.languages)), np.float32)
-        todo = np.arange(len(code))
-        for k in range(ORDER, -1, -1):
-            some = code[todo] & self._mask(k)
-            at = np.minimum(np.searchsorted(self.seen[k], some), len(self.seen[k]) - 1)
-            hit = self.seen[k][at] == some
-            out[todo[hit]] += self.bits[k][at[hit]]
-            todo, some = todo[~hit], some[~hit] >> np.uint32(8)
-            at = np.minimum(np.searchsorted(self.contexts[k], some), len(self.contexts[k]) - 1)
-            hit = self.contexts[k][at] == some
-            out[todo[hit]] += self.escapes[k][at[hit]]
-        out[todo] += 8
-        return out
-
-    def lengths(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Bits that each stretch of the texts takes in each language, (stretch, language). offsets: of texts; cuts: of stretches, each within a text.
+        many = len(self.languages)
+        out = np.full(len(code) * many, 8, np.float32)
+        for k in range(ORDER + 1):
+            some = code & _mask(k)
+            row, language, bits = self.escapes[k].find(some >> np.uint32(8))
+            out[row * many + language] += bits
+            row, language, bits = self.seen[k].find(some)
+            out[row * many + language] = bits
+        return out.reshape(len(code), many)
+
+    def lengths(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits that each stretch of the texts takes in each language, (stretch, language), and with `nothing`. offsets: of texts; cuts: of stretches, each within a text.
 
         A stretch's contexts go back into the one before it, but not into another text.
         """
-        out = np.zeros((len(cuts) - 1, len(self.languages)))
+        out, plain = np.zeros((len(cuts) - 1, len(self.languages))), np.zeros(len(cuts) - 1)
         at, stop, step = int(offsets[0]), int(offsets[-1]), max(1 << 12, _PIECE // len(self.languages))
-        edges = offsets[:-1]
         while at < stop:
             to = min(at + step, stop)
-            size, lead = to - at, min(ORDER, at)
-            code = self._codes(np.concatenate([np.zeros(ORDER - lead, np.uint8), data[at - lead : to]]))
-            lo, hi = np.searchsorted(edges, [at - ORDER, to])
-            for d in range(ORDER):  # a text doesn't see the one before it: blanks precede it
-                x = edges[lo:hi] - at + d
-                x = x[(x >= 0) & (x < size)]
-                own = self._mask(d)
-                code[x] = (code[x] & own) | (np.uint32(0x20202020) & ~own)
-            cost = self._cost(code)
+            code, place = np.unique(codes(data, offsets[:-1], at, to), return_inverse=True)
+            cost = self._cost(code)[place]
             first, last = np.searchsorted(cuts, [at + 1, to])
             starts = np.concatenate([[0], cuts[first:last] - at])
             owner = np.searchsorted(cuts, starts + at, "right") - 1
-            keep = np.diff(np.append(starts, size)) > 0
-            out_rows = np.add.reduceat(cost, starts[keep], axis=0, dtype=np.float64)
-            np.add.at(out, owner[keep], out_rows)
+            keep = np.diff(np.append(starts, to - at)) > 0
+            starts, owner = starts[keep], owner[keep]
+            np.add.at(out, owner, np.add.reduceat(cost, starts, axis=0, dtype=np.float64))
+            np.add.at(plain, owner, np.add.reduceat(self.nothing[data[at:to]], starts, dtype=np.float64))
             at = to
-        return out
-
-
-def train(docs: DataFrame, docs_per_language: int = 300, chars: int = 1 << 14) -> Contexts:
-    """Trees of every non-null lang of docs (doc_id, text, lang): from docs_per_language documents each, chosen by hashes among all, of long ones the first `chars` characters; from all that it has, if it has no more.
-
-    These numbers bound the training sample, which reaches the driver; rows equal in doc_id and text are one.
+        return out, plain
+
+
+def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, code, n) of rows (language, text), each piece of texts counted on its own."""
+    for b in it:
+        data, offsets = text_buffer(b.column("text"))
+        language = b.column("language").to_numpy().astype(np.uint64)
+        for lo, hi in batches_by_bytes(offsets, _COUNTED):
+            at, stop = int(offsets[lo]), int(offsets[hi])
+            while at < stop:
+                to = min(at + _COUNTED, stop)
+                owner = np.searchsorted(offsets, np.arange(at, to), "right") - 1
+                key, n = np.unique(language[owner] << np.uint64(32) | codes(data, offsets[:-1], at, to), return_counts=True)
+                code = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.int32)), pa.array(code), pa.array(n.astype(np.int64))], names=["language", "code", "n"])
+                at = to
+
+
+def train(docs: DataFrame, docs_per_language: int = 300) -> Contexts:
+    """Trees of every non-null lang of docs (doc_id, text, lang): from docs_per_language whole documents each, chosen by hashes among all; from all that it has, if it has no more.
+
+    This number bounds the training sample. Its contexts are counted in tasks and only the counts, a row for each
+    language and code that it has, reach the driver. Rows equal in doc_id and text are one; null and empty texts are left out; no rows, no languages.
     """
-    rows = docs.where("lang is not null and text is not null and text != ''").withColumn("_k", F.xxhash64("doc_id", "text"))
+    rows = docs.where("lang is not null and text is not null and text != ''").select("lang", "text", F.xxhash64("doc_id", "text").alias("_k"))
     # Rows are chosen without their texts. A language's least hashes are among the least of each of its shares, so no task gets more than a few shares' worth.
-    narrow = rows.select("lang", "_k")
+    narrow = rows.select("lang", "_k").distinct()
     for by in (["lang", F.pmod("_k", F.lit(_DEALT))], ["lang"]):
         narrow = narrow.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_k"))).where(F.col("_r") <= docs_per_language).drop("_r")
-    chosen = [(r["_k"],) for r in narrow.select("_k").distinct().collect()]
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_k long"))  # docs_per_language for each language
-    few = rows.join(chosen, "_k", "left_semi").select("lang", F.substring("text", 1, chars).alias("text"), "_k").dropDuplicates(["_k", "lang"])
-    texts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in few.collect():
-        texts.setdefault(r["lang"], []).append((r["_k"], r["text"].encode()))
-    names = sorted(texts)
-    return Contexts(names, [[t for _, t in sorted(texts[x])] for x in names])
+    chosen = [(r["lang"], r["_k"]) for r in narrow.collect()]  # docs_per_language for each language
+    languages = sorted({x for x, _ in chosen})
+    if not languages:
+        return Contexts([], *(np.zeros(0, np.int64),) * 3)
+    spark, number = docs.sparkSession, {x: i for i, x in enumerate(languages)}
+    chosen = F.broadcast(spark.createDataFrame([(x, k, number[x]) for x, k in chosen], "lang string, _k long, language int"))
+    few = rows.join(chosen, ["lang", "_k"]).dropDuplicates(["language", "_k"]).select("language", "text")
+    with in_text_batches(spark):
+        counts = few.mapInArrow(_counted, "language int, code long, n long").groupBy("language", "code").agg(F.sum("n").alias("n")).toArrow()
+    return Contexts(languages, *(counts.column(x).to_numpy().astype(t) for x, t in (("language", np.int64), ("code", np.uint32), ("n", np.int64))))
 
 
 def predict(docs: DataFrame, model: Contexts) -> DataFrame:
-    """docs with lang_pred and score added, from the whole text; columns of these names are replaced, others stay.
+    """docs with lang_pred, score and gain added, from the whole text; columns of these names are replaced, others stay.
 
     Each stretch of WINDOW bytes gives every language its probability, all being equally likely beforehand, and lang_pred
     is the language with the largest part of the text; score is that part. So a passage in another language counts by its
-    length, not by the bits that it costs. A null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned.
+    length, not by the bits that it costs. gain is how many bits shorter the text is with the languages, each stretch in any of them,
+    than as bytes without context: the more below 0, the less it looks like any of them. A null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned, and gain is 0 then.
     Texts don't see each other, so repeated rows give repeated results; of languages with equal parts the first by name is told.
     """
     if not model.languages:
-        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0)).withColumn("gain", F.lit(0.0))
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "gain")
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("gain", T.DoubleType())])
     has_letter = free_name(names, "_letter")
     docs = docs.withColumn(has_letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
@@ -168,19 +200,22 @@ def predict(docs: DataFrame, model: Contexts) -> DataFrame:
         known = np.array(m.languages, object)
         for b in it:
             data, offsets = text_buffer(b.column("text"))
-            share = np.zeros((b.num_rows, len(known)))
+            share, gain = np.zeros((b.num_rows, len(known))), np.zeros(b.num_rows)
             for lo, hi in batches_by_bytes(offsets):
                 some = offsets[lo : hi + 1]
                 cuts, owner = windows(some, WINDOW)
-                bits = m.lengths(data, some, cuts)
-                chance = np.exp2(bits.min(1, keepdims=True) - bits)
-                chance *= (np.diff(cuts) / chance.sum(1))[:, None]
+                bits, plain = m.lengths(data, some, cuts)
+                least = bits.min(1)
+                chance = np.exp2(least[:, None] - bits)
+                total = chance.sum(1)
+                np.add.at(gain, owner + lo, plain - least + np.log2(total / len(known)))
+                chance *= (np.diff(cuts) / total)[:, None]
                 np.add.at(share, owner + lo, chance)
             share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
             best = share.argmax(1)
             letter = b.column(has_letter).to_numpy(zero_copy_only=False)
             lang = np.where(letter, known[best], "und")
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(np.where(letter, share.max(1), 0.0))], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(np.where(letter, share.max(1), 0.0)), pa.array(gain)], names=[*names, "lang_pred", "score", "gain"])
 
     return docs.mapInArrow(run, schema)
 

@@ -1,6 +1,7 @@
 """Operators on texts, against plain versions on small tables."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -303,22 +304,25 @@ def brute_bits(text, training, order=langid.ORDER):
         return lower if not m else n[b] / (m + kinds) + kinds / (m + kinds) * lower
 
     data = b" " * order + text.encode()
+    plain = {b"": sum((own[b""] for own in counts.values()), Counter())}
     out = []
     for a in range(order, len(data), langid.WINDOW):
         stop = min(a + langid.WINDOW, len(data))
-        out.append((stop - a, {x: -sum(math.log2(p(counts[x], data[i - order : i], data[i])) for i in range(a, stop)) for x in training}))
+        bits = {x: -sum(math.log2(p(counts[x], data[i - order : i], data[i])) for i in range(a, stop)) for x in training}
+        out.append((stop - a, bits, -sum(math.log2(p(plain, b"", data[i])) for i in range(a, stop))))
     return out
 
 
 def brute_language(text, training):
-    share = Counter()
-    for size, bits in brute_bits(text, training):
+    share, gain = Counter(), 0.0
+    for size, bits, plain in brute_bits(text, training):
         least = min(bits.values())
         odds = {x: 2 ** (least - b) for x, b in bits.items()}
+        gain += plain - least + math.log2(sum(odds.values()) / len(odds))
         for x in odds:
             share[x] += size * odds[x] / sum(odds.values())
     best = max(sorted(training), key=lambda x: share[x])
-    return best, share[best] / sum(share.values())
+    return best, share[best] / sum(share.values()), gain
 
 
 def test_language_model_against_dictionaries(spark):
@@ -328,8 +332,33 @@ def test_language_model_against_dictionaries(spark):
     texts = ["the hut", "und that", "zzz é", "a", "die katze sat " * 40, "123 x"]
     got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     for r, t in zip(got, texts):
-        lang, score = brute_language(t, training)
-        assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-4)
+        lang, score, gain = brute_language(t, training)
+        assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-4) and math.isclose(r["gain"], gain, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_languages_learn_from_whole_texts_counted_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(langid, "_COUNTED", 100)
+    monkeypatch.setattr(langid, "_PIECE", 64)
+    training = {"aa": ["the cat " * 30 + "quizzical"], "bb": ["der hund " * 30, "zebra"]}
+    rows = [(10 * k + i, t, x, None) for k, (x, some) in enumerate(training.items()) for i, t in enumerate(some)]
+    docs = spark.createDataFrame(rows + rows, DOCS)
+    counts = [r.asDict() for b in [spark.createDataFrame([(int(x == "bb"), t) for x, some in training.items() for t in some], "language int, text string")] for r in b.mapInArrow(langid._counted, "language int, code long, n long").collect()]
+    assert sum(c["n"] for c in counts) == sum(len(t) for some in training.values() for t in some)
+    for r in langid.predict(spark.createDataFrame([(1, "a quizzical zebra " * 20)], "doc_id long, text string"), langid.train(docs)).collect():
+        lang, score, gain = brute_language(r["text"], training)
+        assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-4) and math.isclose(r["gain"], gain, rel_tol=1e-4)
+
+
+def test_two_hundred_languages(spark):
+    """Their trees are as large as what each saw: no table of all codes by all languages, no limit on labels."""
+    rnd = random.Random(5)
+    words = {f"l{i:03}": ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 8))) for _ in range(30)] for i in range(200)}
+    rows = [(10 * i + k, " ".join(rnd.choices(words[x], k=120)), x, None) for i, x in enumerate(words) for k in range(4)]
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    assert len(model.languages) == 200 and len(model.seen[-1].bits) < len(model.seen[-1].code) * 20
+    fresh = [(i, " ".join(rnd.choices(words[x], k=60)), x) for i, x in enumerate(words)]
+    got = langid.predict(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model).collect()
+    assert len(got) == 200 and all(r["lang_pred"] == r["lang"] and r["gain"] > 0 for r in got)
 
 
 def test_language_id_odd_rows(spark):

@@ -39,8 +39,7 @@ def brute_until_mixed(rows, batch):
     kept = []
     for r in rows:
         if any(c.isalpha() for c in r[1] or ""):
-            lang, score = brute_language(r[1], training)
-            if score >= 0.4 or len(r[1].encode()) < 32:
+            if brute_language(r[1], training)[2] > -64:
                 kept.append(r)
     # lines
     key = lambda x: lowered(x.strip(SPACE))
@@ -127,6 +126,25 @@ def test_against_brute_force(ran):
     assert len(seqs) <= -(-sum(len(x) for _, x in ids) // 2048) + 1
 
 
+def test_language_stage_rejects_by_evidence(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    parts = [r[0] for r in docs.where("length(text) > 400").groupBy("lang").agg(F.min_by(F.substring("text", 1, 400), "doc_id")).orderBy("lang").select(F.col("min_by(substring(text, 1, 400), doc_id)")).collect()]
+    own = [(-1, "\n".join(parts[:3])), (-2, "Ok"), (-3, parts[0][:20]), (-4, "aGVsbG8gd29ybGQKcXdlcnR5dWlvcGFzZGZnaGprbHp4Y3Zibm0xMjM0NTY3ODkw" * 3), (-5, "123 456"), (-6, None)]
+    own = spark.createDataFrame([(*r, None, "a", 1) for r in own], COLUMNS)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.union(own), "").collect()}
+    assert {x for x in kept if x < 0} == {-1, -2, -3} and {r["doc_id"] for r in docs.collect()} <= kept
+
+
+@pytest.mark.parametrize("name", ["_one", "_row", "_n", "key", "component", "is_first", "row", "gain", "Score", "lang_pred", "kept_text", "n_dropped", "_letter"])
+def test_columns_of_internal_names_pass_the_stages(spark, name):
+    words = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, f"the text {i} of many and {words}\na line", "en", "s", 1, f"mine {i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, f"{COLUMNS}, `{name}` string")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert all(r[name] == f"mine {r['doc_id']}" for r in docs.collect()) and docs.count() > 0
+
+
 def test_near_copies_by_row(spark):
     words = [f"w{i}" for i in range(40)]
     x, y, z, v = " ".join(words), " ".join(words[::-1]), " ".join(words[::2]), " ".join(words[1::2])
