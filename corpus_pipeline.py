@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: language ID, line dedup, near dedup, mixing, packing.
 
 Each stage reads what its predecessor kept, as Parquet. Choices that the operators leave open: language ID rejects
-texts without a letter and, from 32 bytes on, those of which no language makes up two fifths; a line found in ten or more documents stays in
+texts without a letter and those that are longer by REJECTED bits with the languages than as bytes without context; a line found in ten or more documents stays in
 one of them; near copies share 80 % of their five-word shingles and one row stays, of the least doc_id; the mix repeats no
 document more than three times, and a document that a source's target cuts keeps its first words.
 """
@@ -11,35 +11,58 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pageloom.llm import jaccard, langid, lines, mixing, packing
 from pageloom.llm.common import delete_shared, shared_dir
 
+REJECTED = 64  # odds of 2 ** 64 against
+
+
+def _with_others(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that none meets a name that an operator uses."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unpacked(out: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    return out.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in columns])
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is found, or that are too short to tell one language from another."""
+    """Keeps documents with a letter unless the evidence is against all languages, each stretch of a text being in any of them.
+
+    A short text never gathers that much, so it stays. Null and empty texts go; repeated rows stay or go together; an
+    empty table stays empty; without any lang to learn from nothing is kept. Columns of any name pass unchanged.
+    """
     model = langid.train(langid.training_rows(docs))
-    return langid.predict(docs, model).where("lang_pred <> 'und' and (score >= 0.4 or octet_length(text) < 32)").select(*docs.columns)
+    out = langid.predict(_with_others(docs), model).where((F.col("lang_pred") != "und") & (F.col("gain") > -REJECTED))
+    return _unpacked(out, docs.columns, text=F.col("text"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines repeated in ten documents or more, but for one; a document of which nothing else is left goes."""
-    out = lines.drop_repeated_lines(docs, min_docs=10, keep_first=True).where("n_dropped = 0 or kept_text rlike '[^ \\\\t\\\\n\\\\x0b\\\\f\\\\r]'")
-    return out.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Drops lines repeated in ten documents or more, but for one; a document of which nothing else is left goes.
+
+    Null texts and texts without such a line stay as they are; an empty table stays empty. Columns of any name pass unchanged.
+    """
+    out = lines.drop_repeated_lines(_with_others(docs), min_docs=10, keep_first=True).where("n_dropped = 0 or kept_text rlike '[^ \\\\t\\\\n\\\\x0b\\\\f\\\\r]'")
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _unpacked(out, docs.columns, text=text, n_chars=F.length(text).cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: of the least doc_id, then of the least hash, then one of equal rows."""
+    """One row of each group of near copies stays: of the least doc_id, then of the least hash, then one of equal rows.
+
+    Rows without words are in no group and stay; an empty table stays empty. Columns of any name pass unchanged.
+    """
     columns = [F.col(c) for c in docs.columns]
-    keyed = docs.withColumn("_row", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    keyed = docs.select("doc_id", "text", F.struct(*columns).alias("row"), F.xxhash64(*columns, *[c.isNull() for c in columns]).alias("_row"))
     rows = jaccard.jaccard_components(keyed, words=5, percent=80, row="_row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     one = rows.where("component is not null").groupBy("component").agg(F.min_by("_row", order).alias("_row")).select("_row", F.lit(True).alias("_one"))
-    kept = keyed.join(one.union(rows.where("component is null").select("_row", F.lit(False)).distinct()), "_row")
-    return kept.withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("_row"))).where("_n = 1 or not _one").select(*docs.columns)
+    kept = keyed.select("row", "_row").join(one.union(rows.where("component is null").select("_row", F.lit(False)).distinct()), "_row")
+    return kept.withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("_row"))).where("_n = 1 or not _one").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
