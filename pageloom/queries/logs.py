@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history as H
-from ..sources import files
+from ..shared import shared_dir
+from ..sources import files, store
 from .tables import Registry, table
 
 query = Registry()
@@ -109,3 +112,22 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = (k % 50).cast("string")
     line = F.concat(F.lit('data: {"type": "progress", "page": '), page, F.lit(', "total": 50, "percent": '), (k % 50 * 2).cast("string"), F.lit(', "message": "'), F.col("event_type"), F.lit('"}'))
     return files.progress_events(_events(spark, sf_dir).select(F.when(k % 3 == 0, line).when(k % 3 == 1, ": still here").otherwise("").alias("value")))
+
+
+@query("""
+SELECT 'a.pdf' AS output_name, 2 AS version, event_id FROM events WHERE event_type = 'purchase'
+UNION ALL SELECT 'b.pdf', 1, event_id FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'b_' || substr(sha256('r1'), 1, 8) || '.pdf', 1, event_id FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'c_' || substr(sha256('r2'), 1, 8) || '.pdf', 1, event_id FROM events WHERE event_type = 'signup'""")
+def outputs_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name that is overwritten, one that is taken already, and one that is always made unique, by a run that is repeated."""
+    to = f"{shared_dir(spark)}/outputs-{uuid.uuid4().hex}"
+    e = _events(spark, sf_dir).select("event_type", "event_id")
+    of = lambda kind: e.where(F.col("event_type") == kind).select("event_id")
+    store.put(of("click"), to, "a.pdf")
+    store.put_new(of("view"), to, "b.pdf", "r0")
+    store.put_new(of("error"), to, "b.pdf", "r1")
+    store.put(of("purchase"), to, "a.pdf")
+    for _ in range(2):
+        store.put_unique(of("signup"), to, "c.pdf", "r2")
+    return store.read(spark, to).select("output_name", F.col("version").cast("int").alias("version"), "event_id")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.pages import page_counts
 from ..shared import shared_dir
-from ..sources import frames
+from ..sources import frames, store
 from ..streaming import latest as L
+from ..streaming import newest
 from ..streaming import progress as R
 from ..streaming import state as S
 from .logs import SQL_UNDO_REDO, download_requests, edit_actions
@@ -182,3 +183,14 @@ def current_responses_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As far as the watermark has come when the input is read."""
     requests, responses = asked_and_answered(stream_of(spark, sf_dir, "events"))
     return drained(L.current_responses_stream(requests, responses, within="6 hours")).select("key", "request_id", F.unix_micros("answered").alias("micros"))
+
+
+@query("SELECT user_id, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 50")
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 50 events of each user as they are kept up to date, one micro-batch after another."""
+    to = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    log = stream_of(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", "user_id")
+    run = log.writeStream.foreachBatch(newest.merge_newest(f"{to}/kept", key="user_id")).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    kept = store.read(spark, f"{to}/kept")
+    return (table(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id").limit(0) if kept is None else kept).select("user_id", "id")

@@ -87,20 +87,10 @@ def archives(entries: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Overwrites a table of pages."""
+    """Overwrites a whole table of pages; store.put overwrites what one name has."""
     pages.write.mode("overwrite").parquet(path)
 
 
 def write_new(pages: DataFrame, path: str, run: str) -> None:
     """Appends a table of pages under a name of its own, which the run's id makes."""
     pages.withColumn("output_name", unique_name(F.col("output_name"), F.lit(run))).write.mode("append").partitionBy("output_name").parquet(path)
-
-
-def write_named(pages: DataFrame, path: str, name: str, run: str) -> str:
-    """Writes a table of pages below path under the name, or, if it exists, under one of its own, which the run's id makes; returns the name."""
-    sc = pages.sparkSession.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path, name)
-    if at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at):
-        name = pages.sparkSession.range(1).select(unique_name(F.lit(name), F.lit(run))).first()[0]
-    pages.write.mode("error").parquet(f"{path}/{name}")
-    return name

@@ -128,9 +128,6 @@ def test_sinks(spark, tmp_path):
     for run in ("r1", "r2"):
         files.write_new(pages, f"{tmp_path}/new", run)
     assert spark.read.parquet(f"{tmp_path}/new").count() == 6 and len([x for x in (tmp_path / "new").iterdir() if "output_name=" in x.name]) == 4
-    names = [files.write_named(pages, f"{tmp_path}/if", "a.pdf", run) for run in ("r1", "r2", "r3")]
-    assert names[0] == "a.pdf" and len(set(names)) == 3 and all(x.endswith(".pdf") for x in names)
-    assert all(spark.read.parquet(f"{tmp_path}/if/{x}").count() == 3 for x in names)
 
 
 def test_debounced_stream_matches_batch(spark, tmp_path):
