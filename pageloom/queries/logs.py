@@ -115,19 +115,21 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'a.pdf' AS output_name, 2 AS version, event_id FROM events WHERE event_type = 'purchase'
-UNION ALL SELECT 'b.pdf', 1, event_id FROM events WHERE event_type = 'view'
-UNION ALL SELECT 'b_' || substr(sha256('r1'), 1, 8) || '.pdf', 1, event_id FROM events WHERE event_type = 'error'
-UNION ALL SELECT 'c_' || substr(sha256('r2'), 1, 8) || '.pdf', 1, event_id FROM events WHERE event_type = 'signup'""")
+WITH d AS (SELECT lang, doc_id, sha256(text) AS text_sha256 FROM documents)
+SELECT 'a.pdf' AS output_name, 2 AS version, doc_id, text_sha256 FROM d WHERE lang = 'en'
+UNION ALL SELECT 'b.pdf', 1, doc_id, text_sha256 FROM d WHERE lang = 'de'
+UNION ALL SELECT 'b_' || substr(sha256('r1'), 1, 8) || '.pdf', 1, doc_id, text_sha256 FROM d WHERE lang = 'es'
+UNION ALL SELECT 'c_' || substr(sha256('r2'), 1, 8) || '.pdf', 1, doc_id, text_sha256 FROM d WHERE lang = 'fr'""")
 def outputs_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name that is overwritten, one that is taken already, and one that is always made unique, by a run that is repeated."""
+    """Whole texts under a name that is overwritten, one that is taken already, and one that is always made unique, by a run that is repeated."""
     to = f"{shared_dir(spark)}/outputs-{uuid.uuid4().hex}"
-    e = _events(spark, sf_dir).select("event_type", "event_id")
-    of = lambda kind: e.where(F.col("event_type") == kind).select("event_id")
-    store.put(of("click"), to, "a.pdf")
-    store.put_new(of("view"), to, "b.pdf", "r0")
-    store.put_new(of("error"), to, "b.pdf", "r1")
-    store.put(of("purchase"), to, "a.pdf")
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    of = lambda lang: d.where(F.col("lang") == lang).select("doc_id", "text")
+    store.put(of("fr"), to, "a.pdf")
+    store.put_new(of("de"), to, "b.pdf", "r0")
+    store.put_new(of("es"), to, "b.pdf", "r1")
+    store.put(of("en"), to, "a.pdf")
+    store.forget(spark, to, "a.pdf")
     for _ in range(2):
-        store.put_unique(of("signup"), to, "c.pdf", "r2")
-    return store.read(spark, to).select("output_name", F.col("version").cast("int").alias("version"), "event_id")
+        store.put_unique(of("fr"), to, "c.pdf", "r2")
+    return store.read(spark, to).select("output_name", F.col("version").cast("int").alias("version"), "doc_id", F.sha2("text", 256).alias("text_sha256"))
