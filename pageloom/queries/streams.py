@@ -15,6 +15,9 @@ from ..streaming import latest as L
 from ..streaming import newest
 from ..streaming import progress as R
 from ..streaming import state as S
+from ..streaming import strokes as D
+from .annotations import ORACLES as EDITS
+from .annotations import drawn_samples
 from .logs import SQL_UNDO_REDO, download_requests, edit_actions
 from .tables import SQL_PAGES, Registry, conversation_pages, table
 
@@ -194,3 +197,17 @@ def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.awaitTermination()
     kept = store.read(spark, f"{to}/kept")
     return (table(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id").limit(0) if kept is None else kept).select("user_id", "id")
+
+
+@query(EDITS["annotation_draw"])
+def annotation_draw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same samples as a stream from files of them, in three micro-batches or more, releases among them."""
+    at = f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}"
+    samples = drawn_samples(spark, sf_dir)
+    releases = samples.groupBy("page_id", "object_id", "type").agg(F.count("*").alias("total"))
+    releases.unionByName(samples, allowMissingColumns=True).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000))).write.parquet(at)
+    kept = spark.read.parquet(at)
+    stream = spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", max(1, len(kept.inputFiles()) // 3)).parquet(at)
+    parts = drained(D.drawn_stream(stream, late="36500 days")).withColumn("path", F.array_join(F.transform(F.filter("points", lambda v, i: i % 2 == 0), lambda v: v.cast("long").cast("string")), ","))
+    whole = parts.groupBy("page_id", "object_id", "type").agg(F.array_sort(F.collect_list(F.struct("part", "path"))).alias("parts"))
+    return whole.select("page_id", "object_id", "type", F.array_join("parts.path", ",").alias("path"))
