@@ -9,17 +9,21 @@ projections a table has is fitted to the number of rows and their spread: as man
 visit least. The rows of a bucket are dealt into blocks of bounded size, as are the queries that visit it; a pair of blocks is one matrix
 product that leaves each query's nearest, scored by inner products of the original vectors. Queries that found fewer than
 k rows, though there are more, are compared with all.
+
+As M is large beside most vectors where a few are long, vectors longer than twice the median are in bands by powers of two, each with
+an M, a sample and tables of its own; neighbouring bands with no more rows than a block are that block. Bands are searched from the longest down, and a
+query whose k-th score is out of the reach of a band's longest vector doesn't ask there.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,6 +48,7 @@ class Hashes:
     def __init__(self, width: int, peak: float, largest: float, tables: int, projections: int, cell: float, seed: int):
         """peak: the largest component's size, which all are divided by before they are squared; largest: the largest length, so divided."""
         rng = np.random.default_rng(seed)
+        self.width = width
         self.axes = rng.normal(size=(width + 1, tables, projections))
         self.shift = rng.uniform(0, cell, (tables, projections))
         self.peak, self.largest, self.cell, self.tables = peak, largest, cell, tables
@@ -154,6 +159,30 @@ def fit_hashes(rows: DataFrame, k: int, tables: int, projections: tuple[int, ...
     return min(tried, key=lambda t: t[:2])[2]
 
 
+def _log_length(v: Column) -> Column:
+    """Of base 2, which no component's size makes overflow."""
+    top = F.array_max(F.transform(v, F.abs))
+    return F.log2(top) + F.log2(F.aggregate(F.transform(v, lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x)) / 2
+
+
+def norm_bands(rows: DataFrame, block: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """rows (vec_id, v) with `level`, 0 below twice the median length and one more for each doubling, and bands (lowest, highest level, rows), the longest first.
+
+    A band is one level, or levels above 0 with at most `block` rows together: so there are no more bands than twice the blocks. Doubles have some 2100 levels.
+    """
+    middle = rows.agg(F.percentile_approx(_log_length(F.col("v")), 0.5, 1000)).first()[0]
+    if middle is None:
+        return rows.withColumn("level", F.lit(0)), []
+    rows = rows.withColumn("level", F.greatest(F.lit(0), F.floor(_log_length(F.col("v")) - F.lit(middle)).cast("int")))
+    bands: list[tuple[int, int, int]] = []
+    for level, n in sorted(rows.groupBy("level").count().collect(), reverse=True):
+        if bands and level and bands[-1][2] + n <= block:
+            bands[-1] = (level, bands[-1][1], bands[-1][2] + n)
+        else:
+            bands.append((level, level, n))
+    return rows, bands
+
+
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, projections: tuple[int, ...] = (3, 4, 5), cell: float = 2.0, success: float = 0.75, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row where the SQL condition is_query holds.
 
@@ -165,10 +194,10 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    hashes = fit_hashes(rows, k, tables, projections, cell, success)
-    if hashes is None:
+    rows, bands = norm_bands(rows, block)
+    if not bands:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = hashes.axes.shape[0] - 1
+    width = rows.agg(F.max(F.size("v"))).first()[0]
 
     def emit(owner: np.ndarray, table: np.ndarray, cells: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
         ends = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1])
@@ -176,18 +205,25 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
         owner = pa.array(owner)
         return pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), bucket, b.column("vec_id").take(owner), b.column("v").take(owner)], names=["t", "bucket", "vec_id", "v"])
 
-    def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            cells = hashes.buckets(matrix(b.column("v"), width)[0])
-            n = len(cells)
-            yield emit(np.repeat(np.arange(n), tables), np.tile(np.arange(tables), n), cells.reshape(n * tables, -1), b)
+    def hashed(hashes: Hashes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                cells = hashes.buckets(matrix(b.column("v"), hashes.width)[0])
+                n = len(cells)
+                yield emit(np.repeat(np.arange(n), tables), np.tile(np.arange(tables), n), cells.reshape(n * tables, -1), b)
 
-    def probed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for at in range(0, b.num_rows, 128):
-                some = b.slice(at, 128)
-                for t, row, cells in hashes.probes(matrix(some.column("v"), width)[0], some.column("vec_id").to_numpy(), success):
-                    yield emit(row, np.full(len(row), t), cells, some)
+        return run
+
+    def probed(hashes: Hashes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                for at in range(0, b.num_rows, 128):
+                    some = b.slice(at, 128)
+                    x = matrix(some.column("v"), width)[0][:, : hashes.width]  # what the band's vectors lack adds nothing
+                    for t, row, cells in hashes.probes(x, some.column("vec_id").to_numpy(), success):
+                        yield emit(row, np.full(len(row), t), cells, some)
+
+        return run
 
     schema = "t int, bucket array<int>, vec_id long, v array<double>"
     packed = "t int, bucket array<int>, ids binary, x binary"
@@ -203,10 +239,6 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
         # Dealt anew: the join may have left all blocks of a bucket in one partition.
         return dealt.repartition("t", "bucket", "block").groupBy("t", "bucket", "block").applyInArrow(pack, packed)
 
-    asked = rows.where(is_query)
-    there = checkpointed(blocks(rows.mapInArrow(hashed, schema)))
-    asking = checkpointed(blocks(asked.mapInArrow(probed, schema)))
-
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i in range(b.num_rows):
@@ -225,7 +257,42 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
         dealt = df.select(F.lit(0).alias("t"), F.array().cast("array<int>").alias("bucket"), "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(number)).alias("block"))
         return dealt.groupBy("t", "bucket", "block").applyInArrow(pack, packed).select("ids", "x")
 
-    once = checkpointed(compared(asking.toDF("t", "bucket", "qids", "q").join(there, ["t", "bucket"])))
+    def few_compared(few: DataFrame, asked: DataFrame) -> DataFrame:
+        """All of a band of one block with all queries, which get it whole."""
+        held = few.toPandas()
+        x, xid = np.zeros((len(held), width)), held["vec_id"].to_numpy()
+        for i, v in enumerate(held["v"]):
+            x[i, : len(v)] = v
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                q, qid = matrix(b.column("v"), width)[0], b.column("vec_id").to_numpy()
+                for at in range(0, len(q), 512):
+                    found = _nearest(q[at : at + 512], qid[at : at + 512], x, xid, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+        return asked.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def in_reach(asked: DataFrame, found: DataFrame, longest: float) -> DataFrame:
+        """Queries whose k-th score isn't above what a vector of that length, as a logarithm, can have."""
+        kth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")) == k
+        settled = found.withColumn("kth", kth).where("kth and score > 0").select(F.col("query_id").alias("vec_id"), F.log2("score").alias("kth"))
+        return asked.join(settled, "vec_id", "left").where(F.col("kth").isNull() | (F.col("kth") <= _log_length(F.col("v")) + F.lit(longest + 1e-9))).drop("kth")
+
+    asked = rows.where(is_query).select("vec_id", "v")
+    once = None
+    for low, high, number in bands:
+        band = rows.where(F.col("level").between(low, high))
+        ask = asked if once is None else in_reach(asked, once, band.agg(F.max(_log_length(F.col("v")))).first()[0])
+        band = band.select("vec_id", "v")
+        if low and number <= block:
+            found = few_compared(band, ask)
+        else:
+            hashes = fit_hashes(band, k, tables, projections, cell, success)
+            there = checkpointed(blocks(band.mapInArrow(hashed(hashes), schema)))
+            asking = checkpointed(blocks(ask.mapInArrow(probed(hashes), schema)))
+            found = compared(asking.toDF("t", "bucket", "qids", "q").join(there, ["t", "bucket"]))
+        once = checkpointed(found if once is None else once.union(found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     n, ids = rows.agg(F.count("*"), F.countDistinct("vec_id")).first()
     enough = once.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= min(k, ids - 1))
     short = checkpointed(asked.join(enough, "vec_id", "left_anti"))

@@ -157,6 +157,41 @@ def test_share_compared(spark):
     assert share < 2 and recall >= 0.9
 
 
+def norms_of(kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 24))
+    if kind == "tail":
+        return x * np.exp(1.5 * rng.normal(size=(3000, 1)))
+    x[7] *= kind
+    return x
+
+
+@pytest.mark.parametrize("kind", [10, 1000, "tail"])
+def test_search_where_norms_differ(spark, kind):
+    """Long vectors neither hide the others nor make a query compare all."""
+    x = norms_of(kind)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in ann.nearest(rows, "vec_id % 20 = 0", k=20, block=256).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(got[q]) & set(np.argsort(-score)[:20].tolist()))
+        assert len(got[q]) == 20
+    assert hits / 20 / 150 >= 0.9
+    leveled, bands = ann.norm_bands(rows.selectExpr("vec_id", "embedding v"), 256)
+    assert sum(n for *_, n in bands) == 3000 and [b[0] for b in bands] == sorted((b[0] for b in bands), reverse=True) and bands[-1][0] == 0
+    assert kind == "tail" or [n for *_, n in bands] == [1, 2999]
+    length = np.linalg.norm(x, axis=1)
+    for r in leveled.select("vec_id", "level").collect():
+        assert r.level == max(0, math.floor(math.log2(length[r.vec_id] / np.median(length)) + 0.02)) or r.level == max(0, math.floor(math.log2(length[r.vec_id] / np.median(length)) - 0.02))
+    at = [r.vec_id for r in leveled.where("level = 0").collect()]
+    share, recall = share_compared(spark, x[at])
+    assert share < 2 and recall >= 0.85
+
+
 @pytest.mark.parametrize("n, k", [(1, 20), (5, 20), (15, 20), (15, 3)])
 def test_search_finds_all_of_a_few(spark, n, k):
     rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(0).normal(size=(n, 64)))]
