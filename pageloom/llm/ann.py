@@ -194,7 +194,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows, bands = norm_bands(rows, block)
+    leveled, bands = norm_bands(rows, block)
     if not bands:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = rows.agg(F.max(F.size("v"))).first()[0]
@@ -279,12 +279,11 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
         settled = found.withColumn("kth", kth).where("kth and score > 0").select(F.col("query_id").alias("vec_id"), F.log2("score").alias("kth"))
         return asked.join(settled, "vec_id", "left").where(F.col("kth").isNull() | (F.col("kth") <= _log_length(F.col("v")) + F.lit(longest + 1e-9))).drop("kth")
 
-    asked = rows.where(is_query).select("vec_id", "v")
+    asked = rows.where(is_query)
     once = None
     for low, high, number in bands:
-        band = rows.where(F.col("level").between(low, high))
+        band = rows if len(bands) == 1 else leveled.where(F.col("level").between(low, high)).select("vec_id", "v")
         ask = asked if once is None else in_reach(asked, once, band.agg(F.max(_log_length(F.col("v")))).first()[0])
-        band = band.select("vec_id", "v")
         if low and number <= block:
             found = few_compared(band, ask)
         else:
