@@ -7,8 +7,8 @@ chances of the cells visited add up to `success`. That place follows from the in
 query's own nearest in a sample tell what that is: a query in a crowd visits few cells and one by itself many. How many
 projections a table has is fitted to the number of rows and their spread: as many as make queries of the sample compare and
 visit least. The rows of a bucket are dealt into blocks of bounded size, as are the queries that visit it; a pair of blocks is one matrix
-product that leaves each query's nearest, scored by inner products of the original vectors. Queries that found fewer than
-k rows, though there are more, are compared with all.
+product that leaves each query's nearest, scored by inner products of the original vectors; a task keeps the k nearest of all its
+products, so what it tells follows its queries, not the blocks that they visit. Queries that found fewer than k rows, though there are more, are compared with all.
 
 As M is large beside most vectors where a few are long, vectors longer than twice the median are in bands by powers of two, each with
 an M, a sample and tables of its own; neighbouring bands with no more rows than a block are that block. Bands are searched from the longest down, and a
@@ -32,6 +32,7 @@ from .vectors import matrix, unit, usable
 
 SAMPLE = 8192  # rows that the index is fitted on: those with the least hashes
 _TRIED = 64  # of these, queries that the number of projections is chosen by
+_FOUND = 1 << 20  # rows found that a task holds
 _VISIT = 64  # a cell costs a query as much as so many rows
 _HELD = 1 << 20  # chances that are held at once
 _ERF = np.vectorize(math.erf, otypes=[float])
@@ -131,6 +132,48 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
     return qid[i[rank < k]], xid[j[rank < k]], score[rank < k]
 
 
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score): the k nearest of each query among all that were found; a row that was found repeatedly counts once, by its best score."""
+    qid, xid, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-score, xid, qid))
+    qid, xid, score = qid[order], xid[order], score[order]
+    first = np.ones(len(qid), bool)
+    first[1:] = (qid[1:] != qid[:-1]) | (xid[1:] != xid[:-1])
+    qid, xid, score = qid[first], xid[first], score[first]
+    order = np.lexsort((xid, -score, qid))
+    qid, xid, score = qid[order], xid[order], score[order]
+    near = np.arange(len(qid)) - np.searchsorted(qid, qid) < k
+    return qid[near], xid[near], score[near]
+
+
+def nearest_of_blocks(pairs: Iterator[pa.RecordBatch], width: int, k: int, most: int = _FOUND) -> Iterator[pa.RecordBatch]:
+    """query_id, vec_id, score: each query's k nearest in all these pairs of blocks (qids, q, ids, x).
+
+    No more than about `most` rows are held; with more queries than that allows, what there is so far is told, and their later blocks are told apart.
+    """
+
+    def told(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+    for b in pairs:
+        for i in range(b.num_rows):
+            qid, q, xid, x = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("qids", "<i8"), ("q", "<f8"), ("ids", "<i8"), ("x", "<f8")))
+            q, x = q.reshape(-1, width), x.reshape(-1, width)
+            for at in range(0, len(q), 512):
+                found.append(_nearest(q[at : at + 512], qid[at : at + 512], x, xid, k))
+                held += len(found[-1][0])
+                if held > most:
+                    found = [_best(found, k)]
+                    held = len(found[0][0])
+                    if held > most // 2:
+                        yield told(found[0])
+                        found, held = [], 0
+    if found:
+        yield told(_best(found, k))
+
+
 def fit_hashes(rows: DataFrame, k: int, tables: int, projections: tuple[int, ...], cell: float, success: float, seed: int = 7) -> Hashes | None:
     """Hashes for rows (vec_id, v) with a sample of at most SAMPLE of them; None if there are none."""
     n, width, peak = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
@@ -240,13 +283,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, tables: int = 2, pro
         return dealt.repartition("t", "bucket", "block").groupBy("t", "bucket", "block").applyInArrow(pack, packed)
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i in range(b.num_rows):
-                qid, q, xid, x = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("qids", "<i8"), ("q", "<f8"), ("ids", "<i8"), ("x", "<f8")))
-                q, x = q.reshape(-1, width), x.reshape(-1, width)
-                for at in range(0, len(q), 512):
-                    found = _nearest(q[at : at + 512], qid[at : at + 512], x, xid, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+        return nearest_of_blocks(it, width, k)
 
     def compared(pairs: DataFrame) -> DataFrame:
         found = pairs.select("qids", "q", "ids", "x").mapInArrow(compare, "query_id long, vec_id long, score double")

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pageloom.llm import ann, epsilon
@@ -102,6 +103,25 @@ def test_search_reaches_its_recall(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) / (10 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("most, told", [(1 << 20, 1), (500, 8)])
+def test_a_task_keeps_the_nearest_of_all_its_blocks(most, told):
+    rng = np.random.default_rng(11)
+    q, x = rng.normal(size=(30, 6)), rng.normal(size=(400, 6))
+    qids, ids = np.arange(30), np.arange(400)
+    x[300:] = x[:100]  # rows that come again, as from another table
+    ids[300:] = ids[:100]
+    pairs = [{"qids": qids.astype("<i8").tobytes(), "q": q.tobytes(), "ids": ids[i : i + 25].astype("<i8").tobytes(), "x": x[i : i + 25].tobytes()} for i in range(0, 400, 25)]
+    batches = pa.Table.from_pylist(pairs).to_batches(max_chunksize=3)
+    got = [r for b in ann.nearest_of_blocks(iter(batches), 6, 10, most) for r in b.to_pylist()]
+    assert len(got) <= told * 30 * 10
+    for i in range(30):
+        found = {r["vec_id"]: r["score"] for r in got if r["query_id"] == i}
+        want = {j: s for j, s in enumerate(x[:300] @ q[i]) if j != i}
+        best = sorted(found, key=lambda j: (-found[j], j))[:10]
+        assert best == sorted(want, key=lambda j: (-want[j], j))[:10]
+        assert all(math.isclose(found[j], want[j]) for j in best)
+
+
 def test_search_on_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (20, []), (40, [0.0, 0.0]), (5, [float("nan"), 1.0]), (None, [1.0, 0.0]), (6, [0.5, 0.0]), (60, [3.0, 1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", score int")
