@@ -8,8 +8,8 @@ For the pairs that are left, the overlaps of all blocks of columns (ranges of ha
 computed and accumulated, and the sum decides.
 
 Classes of equal n-gram sets count as one row of the matrix. Within a column, rows are first held against the one
-whose position there is least; only rows that stay unconnected after that are held against each other, so a
-large group of near copies costs a few comparisons a row and not one for each pair. Of two rows of a column, the
+whose position there is least; only the others, where they stay unconnected after that, are held against each other, so a
+large group of near copies costs a few comparisons a row and not one for each pair, and a column of two rows is done at once. Of two rows of a column, the
 smaller one must have it in an even shorter prefix, so rows that share a template just below the threshold don't meet.
 Every pair that is similar enough is compared or connected already, hence the components are exact (up to 64-bit hashes).
 """
@@ -17,13 +17,16 @@ Every pair that is similar enough is compared or connected already, hence the co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import bitmap_of, checkpointed, connected_components, in_bitmap, in_text_batches, merged_slices, zipped
+from .common import bitmap_of, checkpointed, connected_components, in_bitmap, in_text_batches, merged_slices, stored, zipped
 from .words import mix, shingle_sets
 
 _SLOTS = 1 << 21  # counters of the sketch that orders columns; it changes speed, never results
@@ -123,26 +126,34 @@ def _level(n: int | Column) -> int | Column:
 
 
 def _blocks(docs: DataFrame, words: int, percent: int, rows) -> DataFrame:
-    """(sig, level, block, members): the rows of the matrix that the bitmap `rows` asks for, cut into blocks of columns.
+    """(key, sig, level, block, members): the rows of the matrix that the bitmap `rows` asks for, cut into blocks of columns.
 
     A pair is cut as the larger of the two sets, so a set is cut as it would be itself and as the largest one that may match it.
+    Rows that share key and set come once from each task.
     """
+    names, types = ["key", "sig", "level", "block", "members"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["sig", "level", "block", "members"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in it:
-            wanted = in_bitmap(rows.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            wanted = in_bitmap(rows.value, keys)
+            keys = keys[wanted].tolist()
             out: list[tuple] = []
             size = 0
-            for _, u in shingle_sets(b.column(2).filter(pa.array(wanted)), words):
+            for row, u in shingle_sets(b.column(2).filter(pa.array(wanted)), words):
                 if not len(u):
                     continue
                 sig = _signature(u)
+                if (keys[row], sig) in seen:
+                    continue
+                seen.add((keys[row], sig))
                 for level in range(_level(len(u)), _level(len(u) * 100 // percent) + 1):
                     cut = np.searchsorted(u, np.arange(1, 4**level, dtype=np.uint64) << np.uint64(64 - 2 * level)) if level else np.zeros(0, np.int64)
-                    out += [(sig, level, k, x.tobytes()) for k, x in enumerate(np.split(u, cut)) if len(x)]
+                    out += [(keys[row], sig, level, k, x.tobytes()) for k, x in enumerate(np.split(u, cut)) if len(x)]
                     size += len(u)
                 if size > 1 << 20:
                     yield batch(out)
@@ -150,14 +161,14 @@ def _blocks(docs: DataFrame, words: int, percent: int, rows) -> DataFrame:
             if out:
                 yield batch(out)
 
-    return docs.mapInArrow(run, "sig long, level int, block int, members binary").groupBy("sig", "level", "block").agg(F.first("members").alias("members"))
+    return docs.mapInArrow(run, "key long, sig long, level int, block int, members binary")
 
 
 def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The overlap of each pair (a, b) in one block of columns, for many pairs at once."""
 
     def flat(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        n = pa.compute.binary_length(c).to_numpy() // 8
+        n = pc.binary_length(c).to_numpy() // 8
         return np.frombuffer(b"".join(c.to_pylist()), np.uint64), np.repeat(np.arange(len(n)), n)
 
     for b in it:
@@ -168,7 +179,7 @@ def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((g, pair))
             g, pair = g[order], pair[order]
             met = pair[1:][(g[1:] == g[:-1]) & (pair[1:] == pair[:-1])]
-            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("a", "b", "need")), pa.array(np.bincount(met, minlength=some.num_rows))], names=["a", "b", "need", "overlap"])
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("a", "b", "need", "block")), pa.array(np.bincount(met, minlength=some.num_rows))], names=["a", "b", "need", "block", "overlap"])
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
@@ -209,54 +220,65 @@ def _classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataF
     # Columns are counted over one row of each class; a row more, that shares a slot, makes a column count as shared for nothing.
     met = _prefixes(docs, words, percent, rank, one_each).groupBy("g").agg(F.count("*").alias("rows"))
     shared = send(bitmap_of(met.where("rows > 1").select("g")))
-    entries = checkpointed(_prefixes(docs, words, percent, rank, one_each, shared).groupBy("g", "sig", "n").agg(F.min("pos").alias("pos"), F.min("key").alias("key")))
-    total = entries.count()
-
-    def beside(rows: DataFrame, columns: DataFrame) -> DataFrame:
-        """rows with what `columns` (g, rows, ...) says of their column; hot columns, _HOT at most, come by broadcast, so none of them is one task."""
-        is_hot = F.col("rows") * _HOT >= F.lit(total)
-        few = columns.where(is_hot)
-        rest = rows.join(F.broadcast(few.select("g")), "g", "left_anti").join(columns.where(~is_hot), "g")
-        return rows.join(F.broadcast(few), "g").unionByName(rest).withColumn("hot", is_hot)
-
+    entries = _prefixes(docs, words, percent, rank, one_each, shared).groupBy("g", "sig", "n").agg(F.min("pos").alias("pos"), F.min("key").alias("key"))
+    column = W.partitionBy("g")
     near = lambda n, pos, m, q: (n - pos >= required(n, m, percent)) & (m - q >= required(n, m, percent))
+    of = lambda r="": F.struct(*[F.col(r + c).alias(c) for c in ("sig", "n", "key")])
+
+    def beside(df: DataFrame, **told: Column) -> DataFrame:
+        """df with what these aggregates tell of its columns; those of hot columns (`hot`), _HOT at most, come by broadcast, so none of them is one task."""
+        few = df.where("hot").groupBy("g").agg(*[x.alias(c) for c, x in told.items()])
+        return df.where("not hot").withColumns({c: x.over(column) for c, x in told.items()}).unionByName(df.where("hot").join(F.broadcast(few), "g"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, na, ka, b, nb, kb), those whose overlap, accumulated over all blocks of columns, is what their sizes require."""
-        asked = send(bitmap_of(pairs.select("ka").union(pairs.select("kb"))))
-        blocks = checkpointed(_blocks(docs, words, percent, asked))
         cut = pairs.withColumn("need", required(F.col("na"), F.col("nb"), percent)).withColumn("level", _level(F.greatest("na", "nb")))
-        cut = cut.select("a", "b", "need", "level", F.explode(F.sequence(F.lit(0), F.pow(F.lit(4), F.col("level")).cast("int") - 1)).alias("block"))
-        full = cut.join(blocks.toDF("a", "level", "block", "xs"), ["a", "level", "block"]).join(blocks.toDF("b", "level", "block", "ys"), ["b", "level", "block"])
-        parts = full.select("a", "b", "need", "xs", "ys").mapInArrow(_overlaps, "a long, b long, need long, overlap long")
+        cut = cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.pow(F.lit(4), F.col("level")).cast("int") - 1)))
+        for x, members in (("a", "xs"), ("b", "ys")):
+            blocks = _blocks(docs, words, percent, send(bitmap_of(pairs.select(f"k{x}"))))
+            on = [f"k{x}", x, "level", "block"]
+            cut = cut.join(blocks.toDF(*on, members), on)
+        parts = cut.select("a", "b", "need", "block", "xs", "ys").mapInArrow(_overlaps, "a long, b long, need long, block int, overlap long")
+        parts = parts.groupBy("a", "b", "need", "block").agg(F.max("overlap").alias("overlap"))  # a row may have come from several tasks
         return checkpointed(parts.groupBy("a", "b", "need").agg(F.sum("overlap").alias("overlap")).where("overlap >= need").select("a", "b"))
 
-    # In each column, every row against the one that comes first there: the least edited of a group of copies.
-    of = lambda r="": F.struct(*[F.col(r + c).alias(c) for c in ("sig", "n", "key")])
-    heads = entries.groupBy("g").agg(F.min(F.struct("pos", "n", "sig", "key")).alias("h"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = beside(entries, heads).where((F.col("sig") != F.col("h.sig")) & near(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
-    pairs = pairs.select(F.greatest(of(), of("h.")).alias("a"), F.least(of(), of("h.")).alias("b")).selectExpr(*PAIR).distinct()
-    pairs = checkpointed(pairs)
-    links = linked(pairs)
-    reach = checkpointed(connected_components(links, "a", "b").toDF("sig", "c"))
-
-    # What is left in a column: rows that aren't connected yet. Those of the component that its first row has don't meet each other.
-    left = checkpointed(entries.join(reach, "sig", "left").withColumn("c", F.coalesce("c", "sig")))
-    mixed = left.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", F.struct("pos", "n", "sig")).alias("main"), F.count("*").alias("rows")).where("lo < hi")
-    left = beside(left, mixed.select("g", "main", "rows")).select("g", "hot", F.struct("sig", "n", "key", "pos", "c").alias("x"), (F.col("c") == F.col("main")).alias("in_main"))
-    # The smaller row of a pair must have the column in the prefix for rows of its own size.
-    large, small = left.withColumnRenamed("x", "l"), left.where(F.col("x.n") - F.col("x.pos") >= required(F.col("x.n"), F.col("x.n"), percent)).withColumnRenamed("x", "s")
-    order = F.struct("l.n", "l.sig") > F.struct("s.n", "s.sig")
-    close = near(F.col("l.n"), F.col("l.pos"), F.col("s.n"), F.col("s.pos"))
-    # In a hot column, the rows outside the main component go to every salt, and those that they are held against to one.
-    each = lambda df, x: df.select("g", x, F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    dealt = lambda df, x: df.select("g", x, F.when(F.col("hot"), F.pmod(F.xxhash64(f"{x}.sig"), F.lit(_SALTS)).cast("int")).otherwise(0).alias("salt"))
-    sides = ((each(large.where("not in_main"), "l"), dealt(small, "s")), (dealt(large.where("in_main"), "l"), each(small.where("not in_main"), "s")))
-    meets = [x.join(y, ["g", "salt"]).where(order & (F.col("l.c") != F.col("s.c")) & close) for x, y in sides]
-    met = meets[0].union(meets[1]).groupBy(of("l.").alias("l"), of("s.").alias("s")).agg(F.count("*").alias("overlap"), F.max("l.pos").alias("lp"), F.max("s.pos").alias("sp"))
-    most = F.col("overlap") + F.least(F.col("l.n") - F.col("lp"), F.col("s.n") - F.col("sp")) - 1
-    more = met.where(most >= required(F.col("l.n"), F.col("s.n"), percent)).select(F.greatest("l", "s").alias("a"), F.least("l", "s").alias("b")).selectExpr(*PAIR)
-    more = checkpointed(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    def headed() -> DataFrame:
+        """The entries of shared columns, with the row that comes first there (h), if the two may match; `first` is that row itself."""
+        with stored(entries) as all_entries:
+            total = all_entries.count()
+            hot = checkpointed(all_entries.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") * _HOT >= F.lit(total)).select("g", F.lit(True).alias("hot")))
+            marked = all_entries.join(F.broadcast(hot), "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+            rows = beside(marked, h=F.min(F.struct("pos", "n", "sig", "key")), rows=F.count("*")).where("rows > 1").withColumn("first", F.col("sig") == F.col("h.sig"))
+            rows = rows.withColumn("h", F.when(~F.col("first") & near(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")), F.col("h"))).where("rows > 2 or h is not null")
+            return stack.enter_context(stored(rows))
+
+    with ExitStack() as stack:
+        # In each column, every row against the one that comes first there: the least edited of a group of copies.
+        rest = headed()
+        pairs = rest.where("h is not null").select(F.greatest(of(), of("h.")).alias("a"), F.least(of(), of("h.")).alias("b")).selectExpr(*PAIR).distinct()
+        pairs = checkpointed(pairs)
+        reach = checkpointed(connected_components(linked(pairs), "a", "b").toDF("sig", "c"))
+
+        # What is left in a column: rows that aren't connected yet, without the first, which has met all others. So columns of two rows are done.
+        # Those of the component that the first row has don't meet each other.
+        left = rest.where("rows > 2").select("g", "hot", "first", "sig", "n", "pos", "key").join(reach, "sig", "left").withColumn("c", F.coalesce("c", "sig"))
+        others = F.when(~F.col("first"), F.col("c"))
+        left = beside(left, lo=F.min(others), hi=F.max(others), main=F.min(F.struct("pos", "n", "sig", "c"))).where("lo < hi and not first")
+        left = stack.enter_context(stored(left.select("g", "hot", F.struct("sig", "n", "key", "pos", "c").alias("x"), (F.col("c") == F.col("main.c")).alias("in_main"))))
+        # The smaller row of a pair must have the column in the prefix for rows of its own size.
+        large, small = left.withColumnRenamed("x", "l"), left.where(F.col("x.n") - F.col("x.pos") >= required(F.col("x.n"), F.col("x.n"), percent)).withColumnRenamed("x", "s")
+        order = F.struct("l.n", "l.sig") > F.struct("s.n", "s.sig")
+        close = near(F.col("l.n"), F.col("l.pos"), F.col("s.n"), F.col("s.pos"))
+        # In a hot column, the rows outside the main component go to every salt, and those that they are held against to one.
+        each = lambda df, x: df.select("g", x, F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+        dealt = lambda df, x: df.select("g", x, F.when(F.col("hot"), F.pmod(F.xxhash64(f"{x}.sig"), F.lit(_SALTS)).cast("int")).otherwise(0).alias("salt"))
+        sides = ((each(large.where("not in_main"), "l"), dealt(small, "s")), (dealt(large.where("in_main"), "l"), each(small.where("not in_main"), "s")))
+        meets = [x.join(y, ["g", "salt"]).where(order & (F.col("l.c") != F.col("s.c")) & close) for x, y in sides]
+        # What a pair has not met in here lies behind: where it is close, it is among the pairs of first rows.
+        met = meets[0].union(meets[1]).groupBy(of("l.").alias("l"), of("s.").alias("s")).agg(F.count("*").alias("overlap"), F.max("l.pos").alias("lp"), F.max("s.pos").alias("sp"))
+        most = F.col("overlap") + F.least(F.col("l.n") - F.col("lp"), F.col("s.n") - F.col("sp")) - 1
+        more = met.where(most >= required(F.col("l.n"), F.col("s.n"), percent)).select(F.greatest("l", "s").alias("a"), F.least("l", "s").alias("b")).selectExpr(*PAIR)
+        more = checkpointed(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         ends = reach.select(F.col("sig").alias("a"), F.col("c").alias("b"))
         reach = checkpointed(connected_components(ends.union(linked(more)), "a", "b").toDF("sig", "c"))

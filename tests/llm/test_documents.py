@@ -157,6 +157,21 @@ def test_jaccard_of_a_template_and_of_long_sets(spark, monkeypatch, hot):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, 5, 80)
 
 
+def test_jaccard_keeps_no_large_step(spark, monkeypatch):
+    """Entries of columns and blocks of sets are in no checkpoint, which would stay, and what is stored for a while is gone afterwards."""
+    from pathlib import Path
+
+    from pageloom.llm import common
+
+    kept = []
+    monkeypatch.setattr(jaccard, "checkpointed", lambda df: kept.append(df.columns) or common.checkpointed(df))
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 4, 60 + i // 4)), "en", "a") for i in range(24)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, 4, 85)
+    assert kept and not [c for c in kept if {"pos", "members", "x"} & set(c)]
+    assert not list(Path(common.shared_dir(spark).removeprefix("file:")).glob("stored-*"))
+
+
 @pytest.mark.parametrize("at_once", [0, 5, 1 << 20])
 def test_connected_components(spark, at_once):
     import random
