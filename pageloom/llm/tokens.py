@@ -95,7 +95,7 @@ class WordEncoder:
             out[i] = x.ids
         return out
 
-    def encode(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids in a row, number of ids of each text) for ranges of the texts, of about `most` bytes; every text once, in order."""
         data, offsets = text_buffer(texts)
         for lo, hi in batches_by_bytes(offsets, most):

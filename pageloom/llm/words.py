@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_PIECE = 1 << 20
+_PIECE = 1 << 18  # bytes that are hashed at once; each takes 8 in every array of powers, values and sums
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -108,7 +108,7 @@ _STEP = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct hashes of its k-word shingles) of every text; fewer than k words make one shingle, none make none."""
     data, offsets = text_buffer(texts)
-    for lo, hi in batches_by_bytes(offsets):
+    for lo, hi in batches_by_bytes(offsets, 1 << 20):
         h, _, _, n = words_of(data, offsets[lo : hi + 1], lower=True)
         if len(h) >= k:
             s = np.zeros(len(h) - k + 1, np.uint64)
