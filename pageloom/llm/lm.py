@@ -103,6 +103,11 @@ def _part_of(codes: np.ndarray, bits: int) -> np.ndarray:
     return (((codes >> np.uint64(16)).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
+def _by_place(place: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers from 0 on; numpy sorts 16-bit ones by radix."""
+    return np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
+
+
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
@@ -131,7 +136,7 @@ def count_table(texts: DataFrame, tokenizer_path: str, bits: int) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             part = _part_of(codes, bits)
-            order = np.argsort(part, kind="stable")
+            order = _by_place(part)
             cut = _starts(part[order])
             c, n = np.split(codes[order], cut[1:]), np.split(counts[order], cut[1:])
             yield from _counts_batch(list(zip(part[order][cut].tolist(), c, n, strict=True))).to_batches()
@@ -227,7 +232,7 @@ def exploded(texts: DataFrame, tokenizer_path: str, bits: int, salts: int) -> Da
         m = _sizes(first, len(pair)).astype(np.int32)
         pair = pair[first]
         place = _part_of(pair >> low, bits) * salts + keys[(pair & np.uint64(0xFFFF)).astype(np.int64)] % salts
-        order = np.argsort(place, kind="stable")
+        order = _by_place(place)
         return place[order], pair[order], m[order]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Token ids of whole texts by the public tokenizer whose pre-tokenizer drops white space.
 
-No token of that vocabulary crosses white space, so the ids of a text are those of its words in a row.
+No token of that vocabulary crosses white space, so the ids of a text are those of its words in a row. None joins a letter to
+a full stop or the like either, so words are cut there: "word", "word," and "(word)" share what is kept.
 Each Python worker keeps the ids of the words that it has met; only new words reach the tokenizer.
 """
 
@@ -19,6 +20,11 @@ from .words import batches_by_bytes, text_buffer, words_of
 
 _EMPTY = np.uint64(0)
 
+# Words are cut between kinds 1 and 2. Apostrophes and what special tokens are made of are of neither.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KINDS[list(b"!\"#$%&()*+,-./:;=?@[\\]^`{}~")] = 2
+
 # How the tokenizer writes each byte: printable ones as themselves, the rest in order from U+0100.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SHOWN = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -99,7 +105,7 @@ class WordEncoder:
         """(first row, ids in a row, number of ids of each text) for ranges of the texts, of about `most` bytes; every text once, in order."""
         data, offsets = text_buffer(texts)
         for lo, hi in batches_by_bytes(offsets, most):
-            h, s, e, n = words_of(data, offsets[lo : hi + 1], lower=False)
+            h, s, e, n = words_of(data, offsets[lo : hi + 1], lower=False, kinds=_KINDS)
             h[h == _EMPTY] = np.uint64(1)
             at = self._find(h)
             new = np.flatnonzero(at < 0)

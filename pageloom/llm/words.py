@@ -50,8 +50,8 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends, words of each text) of the texts that offsets delimit; lower: A-Z count as a-z."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, words of each text) of the texts that offsets delimit; lower: A-Z count as a-z; kinds: of each byte, words end as well between kinds 1 and 2."""
     value = _LOWER_VALUE if lower else _VALUE
     hashes, starts, ends = [], [], []
     at, stop = int(offsets[0]), int(offsets[-1])
@@ -68,6 +68,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
         first[0] = first[-1] = True
         lo, hi = np.searchsorted(edge, [at, to])
         first[edge[lo:hi] - at] = True
+        if kinds is not None:
+            kind = kinds[b]
+            first[1:-1] |= kind[1:] + kind[:-1] == 3
         after_space = np.empty(len(b), bool)
         after_space[0] = True
         np.logical_not(word[:-1], out=after_space[1:])

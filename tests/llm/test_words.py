@@ -51,3 +51,25 @@ def test_words_dont_depend_on_pieces(monkeypatch, piece):
     monkeypatch.setattr(words, "_PIECE", piece)
     for x, y in zip(whole, words.words_of(data, offsets, lower=False), strict=True):
         assert np.array_equal(x, y)
+
+
+def ids_of(enc, texts):
+    return [x.tolist() for _, ids, n in enc.encode(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+@pytest.mark.parametrize("special_as_text", [True, False])
+def test_cut_words_have_the_tokenizers_ids(special_as_text):
+    enc = WordEncoder(WORD_BPE, special_as_text)
+    rng = random.Random(5)
+    parts = ["a", "S", "'s", "'", "re", "'LL", ".", ",", "(", "_", "<|endoftext|>", "<|", "|>", "é", "é", "…", "≠", ";", ";", "3", "½", "-", "漢", "😀", " ", "\n", " ", "ſ", "K"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(enc, texts) == want
+
+
+def test_marks_beside_a_word_are_kept_apart():
+    """So texts with many marks don't fill the table with words that it has, and the tokenizer sees each word once."""
+    enc = WordEncoder(WORD_BPE)
+    words_ = ["tele", "scope", "lantern"]
+    ids_of(enc, [f"{a}{w}{b}" for w in words_ for a in ("", "(", '"') for b in ("", ",", ".", "!", ")", "...")])
+    assert enc.n == len(words_) + len({"(", '"', ",", ".", "!", ")", "..."})
